@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import fingerprints, rules
+from . import bpe, chat, fingerprints, quality, rules, toxicity
 
 QUERIES = {
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
     "op7_quality_rules": rules.op7_quality_rules,
+    "op8_quality_classifier": quality.op8_quality_classifier,
+    "op9_chat_formatting": chat.op9_chat_formatting,
+    "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
 ORACLE_SQL = {"op7_quality_rules": rules.OP7_SQL}
