@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, quality, rules, toxicity
+from . import bpe, chat, counts, fingerprints, packing, quality, rules, toxicity
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
+    "op3_token_counts": counts.op3_token_counts,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
     "op7_quality_rules": rules.op7_quality_rules,
