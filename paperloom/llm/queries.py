@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, counts, fingerprints, packing, quality, rules, toxicity
+from . import bpe, chat, counts, fingerprints, minhash, packing, pii, quality, rules, toxicity
 
 QUERIES = {
+    "op1_near_dedup": minhash.op1_near_dedup,
     "op2_packing": packing.op2_packing,
     "op3_token_counts": counts.op3_token_counts,
+    "op4_pii_surrogates": pii.op4_pii_surrogates,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
     "op7_quality_rules": rules.op7_quality_rules,
