@@ -1,14 +1,63 @@
-"""The training-corpus pipeline: filters, near-duplicate removal, surrogates and packing, one after another."""
+"""The training-corpus pipeline: toxicity filter, quality filter, near-duplicate removal, surrogates, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.  Every stage
+reads its input as a table, so none repeats the work of those before it, and a lost executor costs a reread.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from paperloom.llm import minhash, packing, pii, quality, toxicity
+from paperloom.llm.common import materialize, table
+from paperloom.session import importable
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the multiple-instance model doesn't reject; it learns from the labels of training rows among ``docs``."""
+    return toxicity.keep_clean(docs, toxicity.fit(importable(spark), docs, table(spark, sf_dir, "labels")))
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the pairwise ranking puts above its cut; it learns from the labels of training rows among ``docs``."""
+    return quality.keep_good(docs, quality.fit(importable(spark), docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    importable(spark)
+    return minhash.keep_one(docs)
+
+
+def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for personal data and credentials."""
+    importable(spark)
+    return pii.replace_text(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces of training sequences, with their ids."""
+    import public_tokenizers
+
+    importable(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_classifier", drop_poor),
+    ("near_dedup", drop_near_copies),
+    ("pii_surrogates", replace_private),
+    ("packing", pack),
+]
+
+#: SQL can express none of the classifiers, so the stages are tested against plain versions instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the table of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
