@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Code points of a text and bytes of a match up to which no tree is built; remembered matches of a worker.
-TEXT_LEAF, PIECE_LEAF, REMEMBERED = 8192, 48, 300_000
+TEXT_LEAF, PIECE_LEAF, REMEMBERED = 8192, 48, 800_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,12 +60,16 @@ class ByteCoder:
         parts = [piece[i : i + 1] for i in range(len(piece))]
         if len(parts) > 2 * self.piece_leaf:
             return self._merge_long(parts)
-        get, none = self.ranks.get, len(self.ranks) + 1
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: get(parts[i] + parts[i + 1], none))
-            if parts[best] + parts[best + 1] not in self.ranks:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        get, none = self.ranks.get, 1 << 60
+        costs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while costs and (least := min(costs)) != none:
+            i = costs.index(least)
+            parts[i : i + 2] = [whole := parts[i] + parts[i + 1]]
+            del costs[i]
+            if i:
+                costs[i - 1] = get(parts[i - 1] + whole, none)
+            if i < len(costs):
+                costs[i] = get(whole + parts[i + 1], none)
         return parts
 
     def _merge_long(self, parts: list[bytes]) -> list[bytes]:
