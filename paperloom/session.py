@@ -1,10 +1,12 @@
-"""Session helpers."""
+"""Session helpers: workers' import path, and tables in the folder that the cluster shares."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -16,3 +18,32 @@ def importable(spark: SparkSession) -> SparkSession:
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares for checkpoints; a local one only where none is configured and the master is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "paperloom-checkpoints")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, so a lost executor costs a reread."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`materialize` wrote, once nothing will read it again."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    own = shared_dir(spark).removeprefix("file:").lstrip("/")
+    for file in df.inputFiles()[:1]:
+        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if own in path.toString():
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
