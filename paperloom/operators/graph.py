@@ -19,6 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     written to the shared folder, which ends its lineage.
     """
     graph = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    before = _digest(graph)
     while True:
         both = graph.unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -26,14 +27,20 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         new = materialize(small.where("u <> v").distinct(), "edges")
-        done = new.join(graph, ["u", "v"], "left_anti").isEmpty() and graph.join(new, ["u", "v"], "left_anti").isEmpty()
+        after = _digest(new)
         discard(graph)
         graph = new
-        if done:
+        if after == before:
             break
+        before = after
     return graph.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(graph.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _digest(graph: DataFrame) -> tuple:
+    """Edges of a graph and a hash of their set: one row."""
+    return tuple(graph.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+
 def valid_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes with an id."""
     return nodes.where(F.trim("node_id") != "")
