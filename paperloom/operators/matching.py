@@ -128,3 +128,13 @@ def survey_titles(df: DataFrame, per_topic: int = 12) -> DataFrame:
         taken = first.orderBy("variant_no", "rank").limit(per_topic)
         kept = taken if kept is None else kept.unionByName(taken)
     return good.drop("key_").limit(0) if kept is None else kept.select(*df.columns)
+
+
+def look_up(queries: DataFrame, *candidates: DataFrame) -> DataFrame:
+    """For each query (qid, query) the :func:`best_match` of the first source (candidates) that has one."""
+    found = None
+    for source in candidates:
+        rest = queries if found is None else queries.join(found.select("qid"), "qid", "left_anti")
+        one = best_match(rest, source)
+        found = one if found is None else found.unionByName(one)
+    return found

@@ -206,3 +206,12 @@ def to_file(text: str | dict, path: str) -> None:
             f.write(text if isinstance(text, str) else json.dumps(text, ensure_ascii=False, indent=2))
 
 
+def outputs(folder: str, most: int = 40) -> dict[str, list[str]]:
+    """The newest files of a run's folder by kind, on the driver."""
+    from pathlib import Path
+
+    files = sorted((p for p in Path(folder).rglob("*") if p.is_file()), key=lambda p: (-p.stat().st_mtime, str(p)))[:most]
+    kinds: dict[str, list[str]] = {}
+    for p in files:
+        kinds.setdefault(p.suffix.lstrip(".") or "other", []).append(str(p.relative_to(folder)))
+    return kinds

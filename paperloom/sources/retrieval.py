@@ -45,6 +45,27 @@ def cache_statistics(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return hit.agg(F.count_if(F.col("hit_")).alias("hits"), F.count_if(F.col("hit_").isNull()).alias("misses")).join(cache.agg(F.count("*").alias("entries")))
 
 
+def gather(*sources: DataFrame) -> DataFrame:
+    """Records of several services for one topic (topic_no, variant_no, title, citation_count, …) with a survey's title, the most cited
+    first within each variant: rank, ties by source and title."""
+    from pyspark.sql import Window
+
+    from ..functions.text import any_term
+
+    rows = None
+    for k, df in enumerate(sources):
+        one = df.withColumn("source_", F.lit(k))
+        rows = one if rows is None else rows.unionByName(one)
+    order = Window.partitionBy("topic_no", "variant_no").orderBy(F.desc("citation_count"), "source_", "title")
+    good = rows.where(any_term(F.lower("title"), ("survey", "review", "overview", "taxonomy")))
+    return good.withColumn("rank", F.row_number().over(order)).drop("source_")
+
+
+def template_queries(topics: DataFrame, terms: tuple[str, ...] = ("survey", "review", "systematic review", "overview", "taxonomy")) -> DataFrame:
+    """The queries of topics (seq, topic) for which none were generated."""
+    return topics.select("seq", "topic", F.posexplode(F.array(*[F.concat("topic", F.lit(f" {t}")) for t in terms])).alias("place", "query"))
+
+
 def numbered(*parts: DataFrame, order: list[str] | None = None) -> DataFrame:
     """The union of sources with ``seq``: sources in turn, each in a stated order."""
     from ..operators.ranking import with_rank
