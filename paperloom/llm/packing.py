@@ -36,7 +36,7 @@ WINDOW, END, SHARD_DOCS, SHARD_TOKENS, QUERY_TERMS, NEIGHBOURS = 2048, 1, 2048,
 #: BM25's saturation and length normalisation.
 K1, B = 1.2, 0.75
 #: Runs and pre-tokens whose ids a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 850_000
 
 
 class WordCoder:
@@ -55,23 +55,30 @@ class WordCoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.runs: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # of runs and of pre-tokens: a pre-token by itself is a run with the same ids
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, words: list[str]) -> None:
         """Ids of new pre-tokens, encoded together and parted after each token that ends a word."""
-        ids = self.whole(" ".join(words))
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(words):
             raw, at = ids.tobytes(), 0
             for w, to in zip(words, cuts.tolist(), strict=True):
-                self.words[w] = raw[4 * at : 4 * to]
+                self.known[w] = raw[4 * at : 4 * to]
                 at = to
         else:
-            self.words.update((w, self.whole(w).tobytes()) for w in words)
+            self.known.update((w, self.whole(w).tobytes()) for w in words)
+
+    def parts(self, run: str) -> list[str]:
+        """The pre-tokens of a run; most are letters, or letters and a stop."""
+        if run.isalpha():
+            return [run]
+        if run[-1] in ".," and run[:-1].isalpha():
+            return [run[:-1], run[-1]]
+        return self.find(run)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
@@ -81,18 +88,18 @@ class WordCoder:
             text = unicodedata.normalize("NFC", text)
         if "<|" in text and any(s in text for s in self.special):
             return self.whole(text).tobytes()
-        runs, known = text.lower().split(), self.runs
+        runs, known = text.lower().split(), self.known
         try:
             return b"".join(map(known.__getitem__, runs))
         except KeyError:
-            if len(known) > REMEMBERED or len(self.words) > REMEMBERED:
+            if len(known) > REMEMBERED:
                 known.clear()
-                self.words.clear()
-            new = {r: self.find(r) for r in runs if r not in known}
-            if words := list({w for parts in new.values() for w in parts if w not in self.words}):
+            new = {r: self.parts(r) for r in runs if r not in known}
+            if words := list({w for parts in new.values() for w in parts if w not in known}):
                 self.learn(words)
             for r, parts in new.items():
-                known[r] = b"".join(map(self.words.__getitem__, parts))
+                if len(parts) != 1:
+                    known[r] = b"".join(map(known.__getitem__, parts))
             return b"".join(map(known.__getitem__, runs))
 
 
