@@ -276,12 +276,12 @@ def classes(docs: DataFrame, weighted: bool = False) -> DataFrame:
     counted = now.groupBy("a", "root").agg(F.count("*").alias("m"))
     largest = counted.groupBy("a").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1").select("a", "top")
     left = materialize(now.join(largest, "a").select("a", F.col("b").alias("node"), "size", "common", "beyond", "root", (F.col("root") != F.col("top")).alias("outside")), "left")
-    side = lambda df, c, *on: df.select(*on, F.col("node").alias(c), *(F.col(v).alias(f"{c}_{v}") for v in ("size", "common", "root")))
+    side = lambda df, c, *on: df.select(*on, F.col("node").alias(c), *(F.col(v).alias(f"{c}_{v}") for v in ("size", "common", "root", "outside")))
     # sizes must fit, and what the pivot doesn't account for must lie within what each has beyond it
     needed = SIMILARITY / (1 + SIMILARITY) * (F.col("x_size") + F.col("y_size"))
     beyond = F.least(F.col("x_size") - F.col("x_common"), F.col("y_size") - F.col("y_common"))
     apart = (F.col("x_root") != F.col("y_root")) & (F.least("x_size", "y_size") >= SIMILARITY * F.greatest("x_size", "y_size") - 1e-9)
-    apart &= needed - F.least("x_common", "y_common") <= beyond + 1e-6
+    apart &= (needed - F.least("x_common", "y_common") <= beyond + 1e-6) & (~F.col("x_outside") | (F.col("y") < F.col("x")))
     # two near texts share something that the pivot doesn't have ...
     marks = left.withColumn("mark", F.explode("beyond"))
     one = side(marks.where("outside"), "y", "a", "mark").join(side(marks, "x", "a", "mark"), ["a", "mark"]).where(apart).select("x", "y")
