@@ -8,11 +8,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch for a Python worker, where the session has its default of 64 MB: a task holds few batches at a time.
+BATCH = "16m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package where it isn't installed, whatever folder the driver was started in."""
+    """Let Python workers find this package where it isn't installed, whatever folder the driver was started in, and bound their batches."""
+    if spark.conf.get(_BATCH, None) in ("64m", "67108864", "67108864b"):
+        spark.conf.set(_BATCH, BATCH)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
