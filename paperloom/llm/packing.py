@@ -184,8 +184,11 @@ def pack_shard(documents: list[np.ndarray], window: int = WINDOW) -> Iterator[tu
                 seed = cut
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> DataFrame:
-    """doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id and offset of each piece; one narrow pass."""
+def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, forget: bool = False) -> DataFrame:
+    """doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id and offset of each piece; one narrow pass.
+
+    With ``forget``, workers drop the ids they remember after each task, which takes time and leaves memory to other stages.
+    """
 
     def shards(source: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
         own, last = coder(path), np.array([end], "<u4").tobytes()
@@ -200,6 +203,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> Da
                     ids, documents, size = [], [], 0
         if documents:
             yield ids, documents
+        if forget:
+            own.known.clear()
 
     def batches(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32

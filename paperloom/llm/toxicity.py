@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import remainder, table
 
 #: Documents of each label in the training sample, hashed features, remembered words of a worker.
-PER_CLASS, FEATURES, REMEMBERED = 2500, 1 << 18, 500_000
+PER_CLASS, FEATURES, REMEMBERED = 2500, 1 << 18, 400_000
 
 #: Score from which a document counts as toxic; probability from which a sentence is reported.
 THRESHOLD, OFFENDING = 0.7, 0.5
@@ -184,6 +184,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(where, span)],
                 ["doc_id", "score", "predicted", "offending"],
             )
+        own.known.clear()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(batches, "doc_id long, score double, predicted int, offending array<struct<start:bigint,end:bigint,probability:double>>")
@@ -198,6 +199,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         own = shared.value
         for batch in source:
             yield batch.filter(pa.array([own.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+        own.known.clear()
 
     return docs.mapInArrow(batches, docs.schema)
 
