@@ -629,9 +629,9 @@ cover AS (SELECT topic, element, count(*) AS coverage_count, n_records FROM c0 J
 
 
 def analysed(spark, sf) -> DataFrame:
-    """Documents with the short words they cover; one in five is taken as analysed."""
+    """All documents with the short words they cover."""
     words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", " "), " "), lambda x: F.length(x).between(3, 5))
-    return read(spark, sf, "documents").where(F.col("doc_id") % 5 == 0).select(F.col("source").alias("topic"), F.col("doc_id").alias("seq"), words.alias("covered"), F.col("lang").alias("orientation"))
+    return read(spark, sf, "documents").select(F.col("source").alias("topic"), F.col("doc_id").alias("seq"), words.alias("covered"), F.col("lang").alias("orientation"))
 
 
 @query(f"WITH {COVER} SELECT topic, element, coverage_count, n_records, coverage_count < greatest(1, round_even(0.3 * n_records, 0)::BIGINT) AS low_coverage FROM cover")
