@@ -729,7 +729,7 @@ def q_concept_edges(spark, sf):
     r(node, root) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node WHERE r.root < u.b) SELECT node, min(root) AS root FROM r GROUP BY 1"""
 )
 def q_components(spark, sf):
-    li = read(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
+    li = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
     return graph.components(li)
 
 

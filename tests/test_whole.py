@@ -63,3 +63,19 @@ def test_gaps_of_every_document(spark, analysed):
         if e.endswith("n") and not e.startswith("t") and k >= 3:
             want.add((t, e, "convergence", round(k / n[t], 4)))
     assert {tuple(r) for r in catalog.q_gap_rules(spark, sf).collect()} == want
+
+
+def test_components_take_every_link(spark, tmp_path):
+    rows = [(1, 1, 50.0), (2, 1, 3.0), (2, 2, 49.0), (3, 3, 50.0), (4, 4, 1.0), (5, 3, 20.0), (5, 3, 50.0), (6, 5, 49.0), (7, 5, 50.0)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for part, supplier, _ in rows:
+        a, b = find(part), find(supplier + 1000000)
+        up[max(a, b)] = min(a, b)
+    assert {tuple(r) for r in catalog.q_components(spark, str(tmp_path)).collect()} == {(x, find(x)) for x in list(up)}
