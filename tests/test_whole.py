@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from paperloom.functions import fuzzy, text
 from paperloom.plans import catalog
 
 TEXTS = ["the tan cat ran", "The TAN dog, then an owl", "eau und que the", "ten thin men", "a to", "tin can; the pan", "und the sun", "que sera ran", "can ban ran the", "tan ten tin", "the van ran", "", "thin can eau"]
@@ -79,3 +80,24 @@ def test_components_take_every_link(spark, tmp_path):
         a, b = find(part), find(supplier + 1000000)
         up[max(a, b)] = min(a, b)
     assert {tuple(r) for r in catalog.q_components(spark, str(tmp_path)).collect()} == {(x, find(x)) for x in list(up)}
+
+
+def test_find_records_looks_every_title_up(spark, tmp_path):
+    shared = "a corpus of river sediment measurements gathered over many decades by volunteers along the northern coast "
+    firsts = [shared * 2 + "with copper", shared * 2 + "with copper and tin", "zinc", "Copper smelting of early towns", "zinc", "", "early smelting: copper towns", "unrelated lighthouse keepers", shared.strip(), "Glacier melt in the western ranges", "glacier melts in the western range"]
+    rows = [(k, f"{t}\nbody", "en", "web" if k % 5 else "wiki", 9) for k, t in enumerate(firsts, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    sides = spark.createDataFrame([(k, t, t[9:69], s) for (k, _, _, s, _), t in zip(rows, firsts, strict=True)], "k long, t string, f string, s string")
+    own = sides.select("k", "s", "t", "f", text.title_signature("t").alias("t_"), text.title_signature("f").alias("f_")).collect()
+    want = set()
+    for a in own:
+        f, peers = a["f"].strip().lower(), [b for b in own if b["s"] == a["s"]]
+        sure = [b["k"] for b in peers for t in [b["t"].lower()] if f and (f == t or len(f) > 15 and f in t or len(t) > 15 and t in f)]
+        if sure:
+            want.add((a["s"], a["k"], min(sure)))
+        elif f and a["f_"]:
+            best, second = sorted(((-fuzzy.token_set_ratio(a["f_"], b["t_"]), b["k"]) for b in peers if b["t_"]))[:2] if sum(bool(b["t_"]) for b in peers) > 1 else ((0, 0), (0, 0))
+            if -best[0] >= 70 and second[0] - best[0] >= 15:
+                want.add((a["s"], a["k"], best[1]))
+    assert len(want) > 5
+    assert {(r["topic"], r["fid"], r["seq"]) for r in catalog.q_find_records(spark, str(tmp_path)).collect()} == want
