@@ -1,10 +1,10 @@
 """Lexical retrieval packing.
 
 The documents of a task are taken in shards of bounded size, in the order of the table.  Each shard has its own BM25
-inverted index over token ids.  A seed document opens a window; its query, the terms that weigh most in it, retrieves the
-unused documents that are lexically nearest, and these fill the window greedily, best first, whole where they fit.  What is
+inverted index over token ids.  A seed document opens a window; its query, all of its terms, ranks the unused documents
+that share one, and these fill the window greedily, best first, whole where they fit, down to the last of them.  What is
 then left of the window takes the beginning of the best one that did not fit; the rest of that document seeds the next
-window.  So each window but a shard's last is full, and the last is cut at the powers of two of its length, where no
+window.  Documents of different shards never meet.  So each window but a shard's last is full, and the last is cut at the powers of two of its length, where no
 padding is needed.
 
 Nothing is shuffled and memory is bounded by the shard, whatever keys are frequent; a lost task is repeated from its part
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Tokens of a sequence, id that ends a document, documents and tokens of a shard, terms of a query, neighbours taken from one answer.
-WINDOW, END, SHARD_DOCS, SHARD_TOKENS, QUERY_TERMS, NEIGHBOURS = 2048, 1, 2048, 2_000_000, 24, 24
+#: Tokens of a sequence, id that ends a document, documents and tokens of a shard, terms of a query (no limit).
+WINDOW, END, SHARD_DOCS, SHARD_TOKENS, QUERY_TERMS = 2048, 1, 2048, 2_000_000, float("inf")
 #: BM25's saturation and length normalisation.
 K1, B = 1.2, 0.75
 #: Runs and pre-tokens whose ids a worker remembers.
@@ -128,26 +128,40 @@ class Index:
         self.begin = np.concatenate([[0], np.cumsum(df)])
         self.posted, self.weight = owner[order], impact[order].astype(np.float64)
         self.used = np.zeros(self.n, bool)
-
-    def neighbours(self, seed: int, most: int) -> np.ndarray:
-        """At most ``most`` unused documents that share a query term with ``seed``, best first; ties by place."""
+        common = np.flatnonzero(df > self.n // 8)  # terms of many documents have their weights in rows
+        self.row = np.full(len(df), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.n))
+        for row, t in zip(self.rows, common.tolist(), strict=True):
+            x, y = self.begin[t], self.begin[t + 1]
+            row[self.posted[x:y]] = self.weight[x:y]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document for all terms of ``seed``; 0 for used ones and those that share no term."""
         a, b = self.at[seed], self.at[seed + 1]
-        own = self.impact[a:b]
-        chosen = np.argpartition(-own, QUERY_TERMS)[:QUERY_TERMS] if b - a > QUERY_TERMS else np.arange(b - a)
-        spans = [(self.begin[t], self.begin[t + 1]) for t in self.terms[a:b][chosen[own[chosen] > 0]]]
-        if not spans:
-            return np.zeros(0, np.int64)
-        scores = np.bincount(np.concatenate([self.posted[x:y] for x, y in spans]), np.concatenate([self.weight[x:y] for x, y in spans]), self.n)
+        terms = self.terms[a:b][self.impact[a:b] > 0]
+        row = self.row[terms]
+        scores, rare = np.zeros(self.n), terms[row < 0]
+        if len(rare):
+            spans = [slice(x, y) for x, y in zip(self.begin[rare].tolist(), self.begin[rare + 1].tolist(), strict=True)]
+            scores = np.bincount(np.concatenate([self.posted[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        for r in row[row >= 0].tolist():
+            scores += self.rows[r]
         scores[self.used] = 0
-        best = np.argpartition(-scores, most)[:most] if self.n > most else np.arange(self.n)
-        best = best[scores[best] > 0]
-        return best[np.lexsort((best, -scores[best]))]
+        return scores
+
+    def neighbours(self, seed: int, most: int | None = None) -> np.ndarray:
+        """The unused documents that share a term with ``seed``, or the first ``most``, best first; ties by place."""
+        scores = self.scores(seed)
+        found = np.flatnonzero(scores > 0)
+        return found[np.argsort(-scores[found], kind="stable")][:most]
 
 
 def pack_shard(documents: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of a shard; sequences are numbered from 0."""
     index = Index(documents)
     total = [len(d) for d in documents]
+    lengths = np.array(total)
     left, sequence, offset, next_seed = sum(total), 0, 0, 0
     room = window if left >= window else 1 << max(left.bit_length() - 1, 0)
 
@@ -170,18 +184,19 @@ def pack_shard(documents: list[np.ndarray], window: int = WINDOW) -> Iterator[tu
         index.used[seed] = True
         while seed is not None:
             yield from place(seed, 0)
-            near, cut, seed = index.neighbours(seed, NEIGHBOURS), None, None
-            for d in near:
-                if offset == 0:
-                    break  # the seed's window is full
-                if total[d] <= room - offset:
-                    index.used[d] = True
-                    yield from place(int(d), 0)
-                elif cut is None:
-                    cut = int(d)
-            if offset and cut is not None:  # its beginning fills this window, and its rest seeds the next
-                index.used[cut] = True
-                seed = cut
+            if offset == 0:
+                break  # the seed's window is full
+            scores, seed = index.scores(seed), None
+            while offset:  # the best of those that fit, as long as there is one
+                d = int(np.where(lengths <= room - offset, scores, 0).argmax())
+                if scores[d] <= 0 or total[d] > room - offset:
+                    break
+                index.used[d], scores[d] = True, 0
+                yield from place(d, 0)
+            best = int(scores.argmax())
+            if offset and scores[best] > 0:  # its beginning fills this window, and its rest seeds the next
+                seed = best
+                index.used[seed] = True
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, forget: bool = False) -> DataFrame:

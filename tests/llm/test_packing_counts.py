@@ -86,6 +86,25 @@ def test_related_documents_share_windows():
     assert sum(len(g) == 1 for g in group.values()) >= len(group) - 3
 
 
+def test_queries_take_all_terms():
+    rng = np.random.default_rng(1)
+    docs = [rng.choice(np.arange(2, 200), 60, replace=False).astype("<u4") for _ in range(40)]
+    index = packing.Index(docs)
+    index.used[0] = True
+    df = {t: sum(t in d for d in docs) for t in docs[0].tolist()}
+    score = {k: sum(np.log1p((40 - df[t] + 0.5) / (df[t] + 0.5)) for t in set(docs[0].tolist()) & set(docs[k].tolist())) for k in range(1, 40)}
+    assert index.neighbours(0, 40).tolist() == sorted((k for k in score if score[k] > 0), key=lambda k: (-round(score[k], 4), k))
+
+
+def test_windows_take_all_related_documents():
+    topics = [[10, 11], [20, 21]]
+    docs = [np.array(topics[k % 2] + [100 + k], "<u4") for k in range(80)]
+    group = defaultdict(set)
+    for d, _, _, seq, _ in packing.pack_shard(docs, 120):
+        group[seq].add(d % 2)
+    assert all(len(g) == 1 for g in group.values())
+
+
 def test_query(spark, sf):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     t = Tokenizer.from_file(PATH)
