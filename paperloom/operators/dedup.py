@@ -1,13 +1,12 @@
 """Duplicate resolution in order of arrival, and merging.
 
 A record joins the earliest-matching leader by DOI, else by arXiv id, else by title, else by fuzzy title (the first leader that
-is similar enough), or becomes a leader; only leaders' own keys are ever matched.  That is not transitive, so clusters are not
-the components of the match graph, but two records can influence each other only within a component.  So matches become edges
-(three equi-joins and a blocked similarity join), components are found by joins, and each component is replayed in order; records
-without a match never leave the JVM.
-
-Components are bounded by how often one work was retrieved.  Keys that a large share of rows have in common are taken out first:
-the replay needs of equal (doi, arxiv, title) triples only the first.
+is similar enough), or becomes a leader; only leaders' own keys are ever matched.  So a record leads exactly if none before it
+leads and has a key in common with it, which is settled in rounds of joins and aggregates: who is first in all of its keys
+leads, whoever shares a key with a new leader follows, and the rest goes on without them.  A key's holders are only ever
+reduced to their first, in each task before the shuffle, so that a key (or the empty title) that a large share of the rows has
+in common is no burden.  What is open after ``ROUNDS`` rounds are chains of records that each depend on the one before; they
+are replayed in order, component by component.  Followers then look up their leader by key.
 """
 
 from __future__ import annotations
@@ -22,15 +21,15 @@ from pyspark.sql import types as T
 from ..functions import fuzzy
 from ..functions.text import normalized_title
 from ..schema import RECORD, present
-from ..session import importable, materialize
+from ..session import discard, importable, materialize
 from .graph import components
 
-#: Least fuzzy ratio, in percent; length of the substrings that block the similarity join.
-PERCENT, GRAM = 95, 4
+#: Least fuzzy ratio, in percent; length of the substrings that block the similarity join; rounds before chains are replayed.
+PERCENT, GRAM, ROUNDS = 95, 4, 3
 
 
 def fuzzy_pairs(titles: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b), a < b, of rows (id, title) with distinct titles whose ratio is ``percent`` or more; exact.
+    """Pairs (a, b, ta, tb), a < b, of rows (id, title) with distinct titles whose ratio is ``percent`` or more; exact.
 
     Titles of lengths x <= y with ratio r lie within d = (1 - r)(x + y) insertions and deletions, and y <= x (2 - r) / r.  Each
     edit spoils at most GRAM substrings, so the GRAM*d + 1 rarest substrings of both titles have one in common: only those are
@@ -39,16 +38,19 @@ def fuzzy_pairs(titles: DataFrame, percent: int = PERCENT) -> DataFrame:
     gap = (100 - percent) / 100
     reach = 200 / percent  # (x + y) / x at most, since 2 x / (x + y) >= percent / 100 for the shorter x
     spoiled = F.floor(F.length("title") * (gap * reach) + 1e-6) * GRAM + 1
-    longest = F.greatest(F.length("title") - GRAM + 1, F.lit(1))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), longest), lambda i: F.substring(F.col("title"), i, F.lit(GRAM))))
-    rows = titles.select("id", "title", spoiled.cast("int").alias("keep"), F.explode(grams).alias("gram"))
+    # one scan of the title: a look ahead at each code point
+    runs = F.regexp_extract_all("title", F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1))
+    grams = F.when(F.length("title") < GRAM, F.array("title")).otherwise(F.array_distinct(runs))
+    rows = titles.select("id", F.length("title").alias("n"), spoiled.cast("int").alias("keep"), F.explode(grams).alias("gram"))
     usual = rows.groupBy("gram").agg(F.count("*").alias("df"))
-    ordered = rows.join(usual.where("df > 1"), "gram", "left").select("id", "title", "keep", "gram", F.coalesce("df", F.lit(1)).alias("df"))
+    ordered = rows.join(usual.where("df > 1"), "gram", "left").select("id", "n", "keep", "gram", F.coalesce("df", F.lit(1)).alias("df"))
     prefix = ordered.withColumn("n_", F.row_number().over(Window.partitionBy("id").orderBy("df", "gram"))).where("n_ <= keep AND df > 1")
-    one = prefix.select("gram", F.col("id").alias("a"), F.col("title").alias("ta"), F.length("title").alias("la"))
-    two = prefix.select("gram", F.col("id").alias("b"), F.col("title").alias("tb"), F.length("title").alias("lb"))
+    one = prefix.select("gram", F.col("id").alias("a"), F.col("n").alias("la"))
+    two = prefix.select("gram", F.col("id").alias("b"), F.col("n").alias("lb"))
     budget = F.floor((F.col("la") + F.col("lb")) * gap + 1e-6).cast("int")
-    near = one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= budget)).select("a", "b", "ta", "tb", budget.alias("budget")).distinct()
+    # grams and lengths only: the titles join the candidates, not each of their grams
+    pairs = one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= budget)).select("a", "b", budget.alias("budget")).distinct()
+    near = pairs.join(titles.select(F.col("id").alias("a"), F.col("title").alias("ta")), "a").join(titles.select(F.col("id").alias("b"), F.col("title").alias("tb")), "b")
     near = near.where(F.expr("levenshtein(ta, tb, budget) BETWEEN 0 AND budget"))
 
     @F.pandas_udf(T.BooleanType())
@@ -56,49 +58,79 @@ def fuzzy_pairs(titles: DataFrame, percent: int = PERCENT) -> DataFrame:
         for a, b in batches:
             yield pd.Series([fuzzy.close(x, y, percent) for x, y in zip(a, b, strict=True)], dtype="bool")
 
-    return near.where(close("ta", "tb")).select("a", "b")
+    return near.where(close("ta", "tb")).select("a", "b", "ta", "tb")
+
 
+def leaders(df: DataFrame, percent: int | None = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+    """seq and leader (the leading record's seq) of each record; ``percent`` None leaves the fuzzy step out.  ``seq`` is unique.
 
-def leaders(df: DataFrame, percent: int | None = PERCENT) -> DataFrame:
-    """seq and leader (the leading record's seq) of each record; ``percent`` None leaves the fuzzy step out.  ``seq`` is unique."""
+    Null and empty DOIs and arXiv ids match nothing; a null title counts as the empty one, which is a title like any other.
+    """
     importable(df.sparkSession)
     keyed = df.select("seq", present("doi").alias("doi"), present("arxiv_id").alias("arxiv"), F.coalesce(normalized_title("title"), F.lit("")).alias("title"))
-    keyed = materialize(keyed, "keys")
-    edges = None
-    for key in ("doi", "arxiv", "title"):
-        # everyone with a key hangs on the first who has it: as many edges as rows, whatever the key's share
-        firsts = keyed.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("a"), F.count("*").alias("n")).where("n > 1")
-        own = keyed.join(firsts, key).where("seq <> a").select("a", F.col("seq").alias("b"))
-        edges = own if edges is None else edges.unionByName(own)
+    keyed = materialize(keyed, "records")
+    # of records with the same three keys none but the first can lead
+    firsts = materialize(keyed.groupBy("doi", "arxiv", "title").agg(F.min("seq").alias("seq")), "firsts")
+    keys = _keys(firsts, ("doi", "arxiv", "title"))
+    near = None
     if percent is not None:
-        titles = keyed.groupBy("title").agg(F.min("seq").alias("id"))
-        edges = edges.unionByName(fuzzy_pairs(titles.select("id", "title"), percent))
-    roots = materialize(components(edges), "roots")
-    grouped = keyed.join(roots.withColumnRenamed("node", "seq"), "seq")
-    replayed = grouped.groupBy("root").applyInPandas(_replay(percent), "seq long, leader long")
-    alone = keyed.join(roots, keyed["seq"] == roots["node"], "left_anti").select("seq", F.col("seq").alias("leader"))
-    return alone.unionByName(replayed)
-
-
-def _replay(percent: int | None):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        by_key: dict[tuple[str, str], int] = {}
-        titles: list[tuple[str, int]] = []
-        out = []
-        for seq, *keys in zip(rows["seq"], rows["doi"], rows["arxiv"], rows["title"], strict=True):
-            named = [(kind, k) for kind, k in zip(("doi", "arxiv", "title"), keys, strict=True) if isinstance(k, str)]
-            leader = next((by_key[k] for k in named if k in by_key), None)
-            if leader is None and percent is not None:
-                leader = next((s for t, s in titles if fuzzy.close(t, keys[2], percent)), None)
-            if leader is None:
-                leader = seq
-                by_key.update((k, seq) for k in named)
-                titles.append((keys[2], seq))
-            out.append((seq, leader))
-        return pd.DataFrame(out, columns=["seq", "leader"])
-
-    return run
+        titles = materialize(keyed.groupBy("title").agg(F.min("seq").alias("id")), "titles")
+        pairs = fuzzy_pairs(titles, percent)
+        near = materialize(pairs.select(F.concat_ws("-", "a", "b").alias("key"), F.explode(F.array("ta", "tb")).alias("title")), "near")
+        keys = keys.unionByName(firsts.join(near, "title").select("seq", F.lit("near").alias("kind"), "key"))
+    open_ = materialize(keys, "keys")
+    following = None
+    for turn in range(rounds + 1):
+        held = open_.groupBy("kind", "key").agg(F.min("seq").alias("first"), F.count("*").alias("n")).where("n > 1")
+        if turn == rounds or held.isEmpty():
+            break
+        ranked = materialize(open_.join(held.drop("n"), ["kind", "key"]), "held")
+        leading = ranked.groupBy("seq").agg(F.bool_and(F.col("first") == F.col("seq")).alias("leads")).where("leads").select(F.col("seq").alias("first"))
+        found = materialize(ranked.where("seq > first").join(leading, "first", "left_semi").select("seq").distinct(), "following")
+        following = found if following is None else following.unionByName(found)
+        # leaders and keys without company have nothing left to decide
+        rest = ranked.join(leading.withColumnRenamed("first", "seq"), "seq", "left_anti").join(found, "seq", "left_anti").select("seq", "kind", "key")
+        rest = materialize(rest, "keys")
+        discard(ranked)
+        discard(open_)
+        open_ = rest
+    if not held.isEmpty():
+        links = open_.join(held.select("kind", "key", "first"), ["kind", "key"])
+        roots = components(links.where("seq <> first").select(F.col("first").alias("a"), F.col("seq").alias("b")))
+        chained = open_.join(roots.withColumnRenamed("node", "seq"), "seq").groupBy("root").applyInPandas(_followers, "seq long")
+        following = chained if following is None else following.unionByName(chained)
+    leading = firsts if following is None else firsts.join(following, "seq", "left_anti")
+    leading = materialize(leading, "leading")
+    # the first of DOI, arXiv id and title by which an earlier leader is found
+    known = _keys(leading, ("doi", "arxiv", "title")).withColumnRenamed("seq", "by")
+    own = _keys(keyed, ("doi", "arxiv", "title")).join(known, ["kind", "key"]).where("by <= seq")
+    place = F.when(F.col("kind") == "doi", 0).when(F.col("kind") == "arxiv", 1).otherwise(2)
+    joined = own.groupBy("seq").agg(F.min_by("by", place).alias("leader"))
+    if near is None:
+        return joined
+    joined = materialize(joined, "joined")
+    alike = near.select("key", "title").join(leading.select("title", F.col("seq").alias("by")), "title").select("key", "by", F.col("title").alias("theirs"))
+    rest = keyed.select("seq", "title").join(joined, "seq", "left_anti").join(near, "title").join(alike, "key").where("theirs <> title AND by < seq")
+    return joined.unionByName(rest.groupBy("seq").agg(F.min("by").alias("leader")))
+
+
+def _keys(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """seq, kind and key of the keys that records have."""
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in kinds])
+    return rows.select("seq", F.explode(each).alias("x")).select("seq", "x.*").where("key IS NOT NULL")
+
+
+def _followers(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a component's (seq, kind, key) the records that share a key with an earlier leader."""
+    taken: set[tuple[str, str]] = set()
+    out = []
+    for seq, group in rows.sort_values("seq").groupby("seq"):
+        own = set(zip(group["kind"], group["key"], strict=True))
+        if taken & own:
+            out.append(seq)
+        else:
+            taken |= own
+    return pd.DataFrame({"seq": out}, dtype="int64")
 
 
 def first_present(name: str, seq: str = "seq") -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.numbers import half_even_index, round_half_up
+from ..session import materialize
 
 
 def canonical_scores(df: DataFrame, year_now: int, topic: str = "topic", out: str = "canonical_score") -> DataFrame:
@@ -70,17 +71,20 @@ def scored(df: DataFrame, year_now: int, venues: dict[str, float]) -> DataFrame:
 def with_rank(df: DataFrame, *order: Column, name: str = "rank", partitions: int | None = None) -> DataFrame:
     """Add the dense position in a total order, from 1, without gathering the rows in one task.
 
-    Rows are range-partitioned and sorted; each task numbers its own, and the tasks' counts (one small row each) give the
-    offsets.  ``order`` should end in a unique column.
+    Rows are range-partitioned and sorted, and each task numbers its own.  The numbered rows are written once, and both the
+    tasks' counts (one small row each), which give the offsets, and the result are read from there: a range exchange that is
+    planned twice samples other bounds the second time.  ``order`` should end in a unique column; ties without one are in any
+    order, but every rank is given once.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id())
-    part = F.shiftright("at_", 33)
+    at = "paperloom_at"
+    dealt = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright(at, 33)
     counts = dealt.groupBy(part.alias("part_")).agg(F.count("*").alias("n_"))
     # as many rows as tasks, which the session bounds
     before = counts.select("part_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
     joined = dealt.withColumn("part_", part).join(F.broadcast(before), "part_")
-    return joined.select(*df.columns, (F.col("before_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))
+    return joined.select(*[c for c in df.columns if c != name], (F.col("before_") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))
 
 
 def quality_rank(df: DataFrame, score: str = "quality_score", seq: str = "seq") -> DataFrame:

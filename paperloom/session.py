@@ -37,10 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, so a lost executor costs a reread."""
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, so a lost executor costs a reread.
+
+    The table goes when :func:`discard` is called, or else when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(files)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,27 +11,44 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.numbers import round_half_up
-from ..functions.text import diagram_label, normalized_title
+from ..functions.text import blank, diagram_label, normalized_title
 
+# Columns of an exported record, in order.
 PAPER_COLUMNS = (
-    "rank", "title", "authors", "year", "venue", "topic", "quality_score", "venue_score", "citation_score", "recency_score",
-    "survey_signal_score", "structure_signal_score", "canonical_score_component", "citation_count", "influential_citation_count",
-    "influential_ratio", "authority_tier", "doi", "arxiv_id", "url", "pdf_url", "sources",
+    "rank", "title", "year", "venue", "authors", "topic_queries", "citation_count", "influential_citation_count",
+    "background_citation_count", "influential_ratio", "canonical_score", "authority_tier", "llm_authority_assessment",
+    "recommended_action", "orientation", "quality_score", "doi", "arxiv_id", "url", "pdf_url", "abstract", "sources",
 )
 
 
-def _line(c: str) -> Column:
-    return F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("\n"), F.lit(" "))
-
-
 def paper_rows(df: DataFrame) -> DataFrame:
-    """Ranked records as flat rows for tables."""
-    return df.select(
-        "rank", _line("title").alias("title"), F.array_join(F.slice("authors", 1, 5), "; ").alias("authors"), "year", _line("venue").alias("venue"),
-        F.array_join("topic_queries", "; ").alias("topic"), "quality_score", *scores.COMPONENTS, "citation_count", "influential_citation_count",
-        round_half_up(scores.influential_ratio(), 4).alias("influential_ratio"), "authority_tier", "doi", "arxiv_id", "url", "pdf_url",
-        F.array_join("sources", "; ").alias("sources"),
-    ).select(*PAPER_COLUMNS)
+    """Ranked records as flat rows for tables: lists joined, absent texts and years blank, scores rounded.
+
+    The judge's and the analysis' columns are taken from ``authority_assessment``, ``recommended_action`` and ``orientation`` where
+    ``df`` has them and ``judge_failed`` or ``analysis_failed`` doesn't say that they are worthless; else they are blank.
+    """
+    own = set(df.columns)
+
+    def said(c: str, failed: str) -> Column:
+        if c not in own:
+            return F.lit("")
+        fine = ~F.coalesce(F.col(failed), F.lit(False)) if failed in own else F.lit(True)
+        return F.when(fine, blank(c)).otherwise("")
+
+    cells = {
+        "year": F.when(F.coalesce("year", F.lit(0)) != 0, F.col("year").cast("string")).otherwise(""),
+        "authors": F.array_join(F.slice(F.coalesce("authors", F.array().cast("array<string>")), 1, 5), "; "),
+        "influential_ratio": round_half_up(scores.influential_ratio(), 4),
+        "canonical_score": round_half_up(F.col("canonical_score"), 4),
+        "llm_authority_assessment": said("authority_assessment", "judge_failed"),
+        "recommended_action": said("recommended_action", "judge_failed"),
+        "orientation": said("orientation", "analysis_failed"),
+        "quality_score": round_half_up(F.col("quality_score"), 1),
+        "abstract": F.replace(blank("abstract"), F.lit("\n"), F.lit(" ")),
+    }
+    cells |= {c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), "; ") for c in ("topic_queries", "sources")}
+    cells |= {c: blank(c) for c in ("venue", "authority_tier", "doi", "arxiv_id", "url", "pdf_url")}
+    return df.select(*[cells.get(c, F.col(c)).alias(c) for c in PAPER_COLUMNS])
 
 
 def summary_rows(ranked: DataFrame, summaries: DataFrame) -> DataFrame:

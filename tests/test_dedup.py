@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.functions import fuzzy
@@ -73,6 +74,39 @@ def test_replay_equals_brute_force(spark, seed):
     assert got == brute(rows, 95)
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_chains_beyond_the_rounds_are_replayed(spark, rounds):
+    """Each record shares its DOI with the one before and its arXiv id with the one after."""
+    rows = [{"seq": k, "title": f"t{k}", "doi": f"d{k // 2}", "arxiv_id": f"x{(k + 1) // 2}"} for k in range(40)]
+    got = {r["seq"]: r["leader"] for r in dedup.leaders(records(spark, rows), None, rounds).collect()}
+    assert got == brute(rows, 101)
+
+
+def test_a_copy_may_follow_another_than_its_first(spark):
+    """The first of two equal records joins a leader by title; then a leader with their DOI arrives."""
+    rows = [{"seq": 0, "title": "t"}, {"seq": 1, "title": "t", "doi": "d"}, {"seq": 2, "title": "u", "doi": "d"}, {"seq": 3, "title": "t", "doi": "d"}]
+    got = {r["seq"]: r["leader"] for r in dedup.leaders(records(spark, rows), None).collect()}
+    assert got == brute(rows, 101) == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
+def test_keys_that_many_records_share(spark):
+    """50,000 records: a third has one title, a third none, many one DOI."""
+    k = F.col("id")
+    title = F.when(k % 3 == 0, "The same title").when(k % 3 == 1, F.when(k % 2 == 0, "")).otherwise(F.concat(F.lit("t"), k % 997))
+    df = spark.range(50_000).select(k.alias("seq"), F.when(k % 5 == 0, "d").when(k % 7 == 0, F.concat(F.lit("e"), k % 1000)).alias("doi"), F.when(k % 11 == 0, F.concat(F.lit("a"), k % 313)).alias("arxiv_id"), title.alias("title"))
+    rows = [r.asDict() for r in df.collect()]
+    leaders, want = {}, {}
+    for r in rows:
+        own = [(c, r[c]) for c in ("doi", "arxiv_id") if r[c]] + [("title", (r["title"] or "").lower())]
+        hit = next((leaders[x] for x in own if x in leaders), None)
+        if hit is None:
+            hit = r["seq"]
+            leaders |= dict.fromkeys(own, hit)
+        want[r["seq"]] = hit
+    got = {r["seq"]: r["leader"] for r in dedup.leaders(with_defaults(df), None).collect()}
+    assert got == want
+
+
 def test_fuzzy_join_is_exact(spark):
     rng = random.Random(9)
     stems = ["".join(rng.choice("abcde ") for _ in range(rng.randint(8, 90))) for _ in range(12)]

@@ -91,3 +91,18 @@ def test_ranks_are_dense(spark):
     got = sorted((r["rank"], -r["s"], r["seq"]) for r in ranking.with_rank(df, F.desc("s"), F.col("seq")).collect())
     assert [g[0] for g in got] == list(range(1, 1001))
     assert [g[1:] for g in got] == sorted(g[1:] for g in got)
+
+
+@pytest.mark.parametrize("partitions", [4, 7, 16, 64])
+def test_ranks_are_dense_behind_a_shuffle(spark, partitions):
+    """Several runs with all columns selected: bounds that were sampled twice would differ between them."""
+    rows = spark.range(100_000).select(F.col("id").alias("seq"), (F.col("id") * 7919 % 1013).alias("s"), F.md5(F.col("id").cast("string")).alias("text"))
+    for k in range(5):
+        df = rows.repartition(5 + k, "text")
+        got = ranking.with_rank(df, F.desc("s"), F.col("seq"), partitions=partitions)
+        ranks = got.agg(F.count_distinct("rank"), F.min("rank"), F.max("rank")).first()
+        assert tuple(ranks) == (100_000, 1, 100_000)
+        # the s of seq is known, so its place is too: who is before it has a greater s, or the same and a lesser seq
+        wrong = got.select("rank", "s", "seq").toPandas().sort_values("rank")
+        keys = list(zip(-wrong["s"], wrong["seq"], strict=True))
+        assert keys == sorted(keys)
