@@ -122,15 +122,23 @@ def plain_signature(spark, text):
 
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.IntegerType())])
     v = [r[0] >> bits for r in spark.createDataFrame(numbered, schema).select(F.xxhash64("a", "b")).collect()]
-    slots = {}
-    for value, pos in sorted(zip(v, range(n), strict=True)):
-        slots.setdefault(value >> (64 - fp.SLOT_BITS - bits), []).append((pos, value))
-    out = []
-    for slot in sorted(slots):
-        two = sorted(slots[slot][:2])
-        (t,) = h(tuple(x for _, x in two)) if len(two) > 1 else h(two[0][1])
-        out.append((slot << (64 - fp.SLOT_BITS)) | (t & ((1 << (64 - fp.SLOT_BITS)) - 1)))
-    return out
+    circle = [(x << bits | k) for x, k in zip(v, range(n), strict=True)]
+    starts = [p << (64 - fp.SLOT_BITS) for p in range(-fp.SLOTS // 2, fp.SLOTS // 2)]
+    least = [tuple(x >> bits for x in sorted(sorted(circle, key=lambda x: (x - at) % 2**64)[:2], key=lambda x: x % 2**bits)) for at in starts]
+    return [at | (t & ((1 << (64 - fp.SLOT_BITS)) - 1)) for at, t in zip(starts, h(*least), strict=True)]
+
+
+@pytest.mark.parametrize("n", [20, 40, 100])
+def test_short_texts_with_swapped_halves(spark, n):
+    """Half of the pairs of k-mers have one in either half, and stand the other way round."""
+    rng = random.Random(n)
+    rows = []
+    for k in range(60):
+        words = [f"w{rng.randrange(99999)}" for _ in range(n)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[n // 2 :] + words[: n // 2]))]
+    sigs = {r["doc_id"]: r["signature"] for r in fp.fingerprint(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    mean = sum(len(set(sigs[2 * k]) & set(sigs[2 * k + 1])) / fp.SLOTS for k in range(60)) / 60
+    assert 0.35 < mean < 0.6
 
 
 @pytest.mark.parametrize("text", ["", "one", "one two", "a b a b a b a", "x" * 50, "日本語の長い文章です。とても長いので切られます" * 3, " ".join(f"w{k % 37}" for k in range(300))])
@@ -159,3 +167,28 @@ def test_next_document_over_many_ranges(spark, monkeypatch):
     got = {r["doc_id"]: r["next_text"] for r in fp.with_next(df, {"text": "next_text"}).collect()}
     order = sorted(ids, reverse=True)
     assert got == {i: f"t{order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
+
+
+def test_next_document_where_many_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(fp, "RANGE_ROWS", 7)
+    rows = [(5, f"t{k}") for k in range(80)] + [(None, f"n{k}") for k in range(60)] + [(k, f"u{k}") for k in range(6, 90)] + [(5, "t0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("paperloom", F.lit(1)).withColumn("part", F.lit("kept")).repartition(6)
+    got = fp.with_next(df, {"text": "next_text"}).collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in got) == sorted((i or -1, t) for i, t in rows)
+    assert {r["part"] for r in got} == {"kept"}
+    # each row follows one other, and the ids fall along the way, but for the one step from the last to the first
+    assert sorted(r["next_text"] for r in got) == sorted(t for _, t in rows)
+    kind = lambda t: {"u": 2, "t": 1, "n": 0}[t[0]]
+    rises = [(r["text"], r["next_text"]) for r in got if kind(r["next_text"]) > kind(r["text"])]
+    assert len(rises) == 1 and rises[0][1] == "u89"
+    assert all(r["next_text"] == f"u{r['doc_id'] - 1}" for r in got if (r["doc_id"] or 0) > 6)
+
+
+def test_range_lookup(spark):
+    for n in (0, 1, 63, 64, 65, 4095, 4096, 9000):
+        cuts = sorted(random.Random(n).randrange(50_000) for _ in range(n))
+        df = fp._before(spark.range(0, 50_000, 97), "id", cuts, "a")
+        df = fp._before(df, "id", cuts, "b", equal=True)
+        import bisect
+
+        assert all((r["a"], r["b"]) == (bisect.bisect_left(cuts, r["id"]), bisect.bisect_right(cuts, r["id"])) for r in df.collect())
