@@ -6,14 +6,24 @@ conjugated with a shift, so that
 
 * the same value always gets the same surrogate, in every document and run (coreference);
 * two values never share one, since values of one format are permuted and formats are kept apart (distinctness);
-* no value stays what it was, wherever its format has two values or more;
+* no value stays what it was, wherever its format has two values or more (a walk past values that aren't in the format may come
+  back to a rare word of few letters);
 
 and no table of values has to be shared between tasks.  Both properties are checked all the same: within every batch as it
-is written, and over a whole corpus by :func:`collisions`.
+is written, and over the whole corpus by :func:`collisions`, which the registered query runs before it returns.
+
+Names are found by a known given name or a title, and run over initials, particles and all capitalised words that follow.
+Every word of a name found anywhere in a text is then replaced wherever it stands in that text by itself, so that a family
+name or a given name alone means the surrogate of the same person.
 
 Formats: letters stay letters of their script, case and class (vowel or consonant), digits stay digits, everything else stays;
 card numbers with a valid check digit get another valid one, and so do IBANs; octets stay octets; given names are exchanged
-within the list of their script and gender; hexadecimal stays hexadecimal; top-level domains and known key prefixes stay.
+within the list of their script and gender; other words of names are exchanged cluster by cluster, consonants that begin, part or
+end a syllable for others that do, and keep the endings that show gender; hexadecimal stays hexadecimal; top-level domains and
+known key prefixes stay.
+
+Limits: names without a title or a listed given name are not found, and a title's gender is kept by keeping the title and the
+word's ending, since lists are finite and surrogates must stay distinct.
 
 Defined results: null texts stay null; texts without entities stay as they are; repeated rows are treated alike; extra columns
 are kept by :func:`replace_text` and not returned by :func:`surrogates`; texts of any length are read whole.
@@ -30,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 #: The key of the registered query; others belong in a secret store.
 KEY = b"paperloom surrogate key"
@@ -40,7 +50,8 @@ ALPHABETS = (
     "0123456789",
     "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ",
     "àáâãäåèéêëìíîïòóôõöùúûü", "ÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜ", "çñß", "ÇÑ",
-    "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ",
+    "āăąēĕėęěīĭįōŏőūŭůűų", "ćĉċčďđĝğģĥħķĺļľłńņňŕřśŝşšţťźżž", "ĀĂĄĒĔĖĘĚĪĬĮŌŎŐŪŬŮŰŲ", "ĆĈĊČĎĐĜĞĢĤĦĶĹĻĽŁŃŅŇŔŘŚŜŞŠŢŤŹŻŽ",
+    "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "ёіїє", "ЁІЇЄ",
     "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
 )
 HEX = "0123456789abcdef"
@@ -54,6 +65,20 @@ GIVEN = {
     ("greek", "f"): "Αικατερίνη Αναστασία Βασιλική Ειρήνη Ελένη Μαρία Σοφία".split(),
     ("greek", "m"): "Αλέξανδρος Γεώργιος Δημήτριος Ιωάννης Κωνσταντίνος Νικόλαος Παναγιώτης".split(),
 }
+# Clusters of consonants and vowels by place in a word and length, and endings that show gender.
+CLUSTERS = (
+    ("begin", "b c d f g h j k l m n p r s t v w z"), ("begin", "bl br ch cl cr dr fl fr gl gr kl kn kr pf ph pl pr sh sk sl sm sn sp st sw th tr tw vl wh"),
+    ("begin", "chr sch scr shr spl spr str thr"), ("begin", "schl schm schn schr schw"),
+    ("part", "b c d f g h j k l m n p r s t v w y z"),
+    ("part", "bb br ch ck cl dd dl dr ff fr gg gl gr kl kr lb ld lf lk ll lm ln ls lt mb mm mp nd ng nk nn ns nt pl pp pr rb rd rf rg rk rl rm rn rs rt sh sk sp ss st th tr tt"),
+    ("part", "cht ldr mbr ndr ngl ntr rth sch str"),
+    ("end", "b c d f g h k l m n p r s t w y z"), ("end", "by ch ck cs dt dy ff ft gh ld ll lm ln ls lt ly mp my nd ng nk nn ns nt ny pf rd rg rk rl rm rn rs rt ry rz sh sk ss st sy th tt ty tz"),
+    ("end", "cht ldt nds ngs rst rth sch tts"),
+    ("begin", "q x y"), ("part", "q x"), ("end", "j q v x"), ("vowel", "a e i o u"), ("vowel", "ae ai au ea ee ei eu ia ie io oa oe oi oo ou ua ue ui"),
+)
+ENDINGS = re.compile("(?:ova|eva|ska|skaya|sky|ski|dottir|[aeio]|ова|ева|ина|ская|ский|ов|ев|ин|[ая]|ίδου|οπούλου|όπουλος|ίδης)$")
+PARTICLES = frozenset("van von der den de del della di da du la le el al bin ibn zu zur ten ter".split())
+_UNITS = {(place, unit): units.split() for place, units in CLUSTERS for unit in units.split()}
 _LIST_OF = {name: names for names in GIVEN.values() for name in names}
 
 
@@ -191,20 +216,93 @@ def _secret(c: Cipher, text: str) -> str:
     return _hex(c, text) if re.fullmatch(r"[0-9a-f]{8,}", text) else in_format(c, "secret", text)
 
 
+def _ipv6(c: Cipher, text: str) -> str:
+    return in_format(c, "ipv6", text, {x: alphabet for alphabet in (HEX, HEX.upper()) for x in (alphabet if alphabet == HEX else alphabet[10:])})
+
+
+def _units(word: str) -> list[tuple[str, list[str]]]:
+    """The clusters of a word, each with those that may stand in its place; letters by themselves where a cluster is unknown."""
+    out = []
+    for m in re.finditer("[aeiou]+|[a-z]+?(?=[aeiou]|[^a-z]|$)|[^a-z]", word):
+        unit = m[0]
+        place = "vowel" if unit[0] in "aeiou" else "begin" if m.start() == 0 else "end" if m.end() == len(word) else "part"
+        if (same := _UNITS.get((place, unit))) is not None:
+            out.append((unit, same))
+        else:
+            out += [(x, list(_CLASS_OF.get(x, x))) for x in unit]
+    return out
+
+
+def _ending(word: str) -> str:
+    found = ENDINGS.search(word, 2)
+    return found[0] if found else ""
+
+
+def _family(c: Cipher, word: str) -> str:
+    """Another word of the same clusters, case and ending; walked until it is no listed name and has that ending still."""
+    low = word.lower()
+    upper = [a != b for a, b in zip(word, low, strict=True)] if len(word) == len(low) else [False] * len(low)
+    ending = _ending(low)
+    stem = low[: len(low) - len(ending)]
+    shape = lambda x: [same for _, same in _units(x)]
+    places = shape(stem)
+    n = 1
+    for same in places:
+        n *= len(same)
+    cased = lambda x: "".join(ch.upper() if up else ch for ch, up in zip(x, upper, strict=True))
+    tweak = f"family|{ending}|{''.join(map(str, map(int, upper)))}|{'|'.join(s[0] + str(len(s)) for s in places)}".encode()
+    now = stem
+    while True:
+        x = 0
+        for unit, same in _units(now):
+            x = x * len(same) + same.index(unit)
+        x = c.replace(x, n, tweak)
+        parts = []
+        for same in reversed(places):
+            x, k = divmod(x, len(same))
+            parts.append(same[k])
+        now = "".join(reversed(parts))
+        if shape(now) == places and _ending(now + ending) == ending and cased(now + ending) not in _LIST_OF:
+            return cased(now + ending)
+
+
 def _name(c: Cipher, text: str) -> str:
-    """A known given name is exchanged within its list; other name words get letters of their classes."""
+    """A known given name is exchanged within its list; other name words are exchanged by clusters; particles stay."""
     out = []
-    for part in re.split(r"([ \-])", text):
+    for part in re.split(r"([ \-.'’])", text):
         if (names := _LIST_OF.get(part)) is not None:
             out.append(names[c.replace(names.index(part), len(names), names[0].encode())])
+        elif len(part) == 1 or part in PARTICLES or not part:
+            out.append(in_format(c, "initial", part) if part.isupper() else part)
         else:
-            out.append(in_format(c, "surname", part, keep=lambda x: x not in _LIST_OF))
+            out.append(_family(c, part))
     return "".join(out)
 
 
-_CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][a-zß-öø-ÿа-яёά-ώ]+"
+def _address(c: Cipher, text: str) -> str:
+    """Digits become digits; words that say which kind of street it is stay."""
+    parts = re.split(r"(\d+)|(\W+)", text)
+    kept = re.compile(rf"(?:{_STREETS}|{'|'.join(sorted(PARTICLES))})$")
+
+    def one(x: str) -> str:
+        if x[:1].isdigit():
+            return in_format(c, "house", x)
+        if (inner := re.fullmatch(r"(\w{2,}?)(straße|strasse|gasse|weg|platz|allee)", x)) is not None:
+            return _family(c, inner[1]) + inner[2]
+        return x if len(x) < 2 or kept.match(x) or not x[0].isalpha() else _family(c, x)
+
+    return "".join(one(x) for x in parts if x)
+
+
+_LOWER = "a-zß-öø-ÿĀ-žа-яёіїєά-ώ"
+_CAPITAL = rf"[A-ZÀ-ÖØ-ÞĀ-ŽА-ЯЁІЇЄΑ-Ω](?:['’][A-ZÀ-Þ])?[{_LOWER}]+(?:[A-Z][a-z]+)?"
+_WORD = rf"{_CAPITAL}(?:-{_CAPITAL})*"
+_INITIAL = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]\."
+_REST = rf"(?: (?:(?:{'|'.join(sorted(PARTICLES))}) ){{0,2}}{_WORD}| {_INITIAL}(?= (?:{_INITIAL}|{_WORD})))"
 _NAMES = "|".join(sorted(_LIST_OF, key=len, reverse=True))
 _TITLES = r"(?:Mrs?|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora?|Sra?)\.? "
+_STREETS = "Street|St|Road|Rd|Avenue|Ave|Lane|Boulevard|Blvd|Drive|rue|avenue|boulevard|place|calle|Calle|avenida|plaza"
+_MENTION = re.compile(rf"(?<![\w]){_CAPITAL}(?![\w])")
 
 #: Kind, pattern (the group ``v`` is replaced, or all) and surrogate; earlier kinds win where two begin at one place.
 KINDS = (
@@ -216,8 +314,11 @@ KINDS = (
     ("phone", r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]*\d)", _phone),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", lambda c, t: in_format(c, "ssn", t)),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)", _ip),
+    ("ipv6", r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![\w:])", _ipv6),
+    ("passport", r"(?i:\bpassport(?: (?:no|number|nr))?\.?\s*[:#]?\s+)(?P<p>[A-Z]{0,2}\d{6,9}\b)", lambda c, t: in_format(c, "passport", t)),
     ("card", r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)", _card),
-    ("name", rf"\b(?:{_TITLES}(?P<w>{_CAPITAL}(?: {_CAPITAL})?)|(?:{_NAMES}) {_CAPITAL})\b", _name),
+    ("address", rf"\b\d{{1,5}} (?:{_WORD} ){{1,3}}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Boulevard|Blvd|Drive)\b|\b\d{{1,5}},? (?:rue|avenue|boulevard|place) (?:(?:de|du|des|la) ){{0,2}}{_WORD}|\b[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|gasse) \d{{1,4}}\b|\b(?:[Cc]alle|[Aa]venida) (?:(?:de|del|la) ){{0,2}}{_WORD},? \d{{1,4}}\b", _address),
+    ("name", rf"\b(?:{_TITLES}(?P<w>(?:(?:(?:{'|'.join(sorted(PARTICLES))}) ){{0,2}}{_WORD}|{_INITIAL}(?= )){_REST}{{0,5}})|(?:{_NAMES}){_REST}{{1,5}})(?!\w)", _name),
 )
 
 _MADE = {kind: make for kind, _, make in KINDS}
@@ -228,18 +329,28 @@ _TRACE = re.compile(r"[0-9@]|[=:]").search
 
 def detect(text: str) -> Iterator[tuple[str, int, int]]:
     """Kind, start and end of the entities of a text, in its order and disjoint."""
+    found = []
     for m in (_ALL if _TRACE(text) else _NAMED).finditer(text):
         kind = m.lastgroup if m.lastgroup.startswith("k_") else next(g for g, v in m.groupdict().items() if v is not None and g.startswith("k_"))
-        inner = {"k_secret": "v", "k_name": "w"}.get(kind)
+        inner = {"k_secret": "v", "k_name": "w", "k_passport": "p"}.get(kind)
         group = inner if inner and m.groupdict().get(inner) is not None else 0
-        yield kind[2:], *m.span(group)
+        found.append((kind[2:], *m.span(group)))
+    names = [text[a:b] for kind, a, b in found if kind == "name"]
+    words = {w for name in names for cut in (r" ", r"[ \-]", r"[ \-.'’]") for w in re.split(cut, name) if len(w) > 1 and w[0].isupper()}
+    if any(text.count(w) > sum(n.count(w) for n in names) for w in words):
+        # the same words by themselves, between what has been found
+        ends = [0, *(b for _, _, b in found)]
+        starts = [*(a for _, a, _ in found), len(text)]
+        found += [("name", m.start(), m.end()) for a, b in zip(ends, starts, strict=True) for m in _MENTION.finditer(text, a, b) if m[0] in words]
+        found.sort(key=lambda x: x[1])
+    yield from found
 
 
 class Replacer:
     """Replaces entities under one key; remembers the surrogates of recent values."""
 
     def __init__(self, key: bytes):
-        self.cipher, self.known, self.owner = Cipher(key), {}, {}
+        self.key, self.cipher, self.known, self.owner = key, Cipher(key), {}, {}
 
     def surrogate(self, kind: str, value: str) -> str:
         if (found := self.known.get((kind, value))) is None:
@@ -251,6 +362,9 @@ class Replacer:
                 raise ValueError(f"two values of kind {kind} share a surrogate")
         return found
 
+    def value_id(self, value: str) -> str:
+        return hmac.digest(self.key, b"value|" + value.encode("utf-8", "surrogatepass"), "sha256")[:16].hex()
+
     def text(self, text: str | None) -> tuple[str | None, list[tuple[str, int, int, str]]]:
         """The text with surrogates, and kind, start, end (in the given text) and surrogate of each entity."""
         found = [(kind, a, b, self.surrogate(kind, text[a:b])) for kind, a, b in detect(text)] if text else []
@@ -269,19 +383,24 @@ def replacer(key: bytes) -> Replacer:
 
 
 def surrogates(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``text_col`` with surrogates, and entities (kind, start, end, surrogate); one narrow pass."""
-    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("surrogate", pa.string())]))
+    """``id_col``, ``text_col`` with surrogates, and entities (kind, start, end, surrogate, value_id); one narrow pass.
+
+    A value_id is a keyed digest of the value: it tells values apart without telling them.
+    """
+    names = ("kind", "start", "end", "surrogate", "value_id")
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("surrogate", pa.string()), ("value_id", pa.string())]))
 
     def batches(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = replacer(key)
         for batch in source:
-            done = [own.text(t) for t in batch.column(1).to_pylist()]
-            where = [[dict(zip(("kind", "start", "end", "surrogate"), x, strict=True)) for x in found] for _, found in done]
+            old = batch.column(1).to_pylist()
+            done = [own.text(t) for t in old]
+            where = [[dict(zip(names, (*x, own.value_id(t[x[1] : x[2]])), strict=True)) for x in found] for t, (_, found) in zip(old, done, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array(where, span)], ["id", "body", "entities"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
-    out = rows.mapInArrow(batches, f"id {kind}, body string, entities array<struct<kind:string,start:bigint,end:bigint,surrogate:string>>")
+    out = rows.mapInArrow(batches, f"id {kind}, body string, entities array<struct<kind:string,start:bigint,end:bigint,surrogate:string,value_id:string>>")
     return out.select(F.col("id").alias(id_col), F.col("body").alias(text_col), "entities")
 
 
@@ -305,18 +424,19 @@ def replace_text(docs: DataFrame, key: bytes = KEY, text_col: str = "text", leng
     return docs.mapInArrow(batches, docs.schema)
 
 
-def collisions(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Surrogates that stand for two values or more: none.  ``rows`` are the :func:`surrogates` of ``docs`` with unique ids.
+def collisions(rows: DataFrame) -> DataFrame:
+    """Surrogates of :func:`surrogates`' ``rows`` that stand for two values or more, and values with two surrogates: none.
 
-    Values are compared as hashes; each value and surrogate is counted once per task before the shuffle.
+    Least and greatest are combined in each task before the shuffle, so a frequent value is no burden.
     """
-    spans = rows.select("doc_id", F.explode("entities").alias("e"))
-    values = spans.join(docs.select("doc_id", "text"), "doc_id").select(
-        "e.kind", "e.surrogate", F.sha2(F.expr("substring(text, int(e.start) + 1, int(e.end - e.start))"), 256).alias("value")
-    )
-    return values.distinct().groupBy("kind", "surrogate").count().where("count > 1")
+    e = rows.select(F.explode("entities").alias("e")).select("e.kind", "e.surrogate", "e.value_id")
+    clash = lambda one, other: e.groupBy("kind", F.col(one).alias("shared")).agg(F.min(other).alias("least"), F.max(other).alias("greatest")).where("least <> greatest")
+    return clash("surrogate", "value_id").unionByName(clash("value_id", "surrogate"))
 
 
 def op4_pii_surrogates(spark, sf_dir):
-    """All documents with surrogates for personal data and credentials, and where they stand."""
-    return surrogates(table(spark, sf_dir, "documents"))
+    """All documents with surrogates for personal data and credentials, and where they stand; fails if two values share one."""
+    rows = materialize(surrogates(table(spark, sf_dir, "documents")), "surrogates")
+    if not (found := collisions(rows)).isEmpty():
+        raise ValueError(f"values that share a surrogate: {found.first()}")
+    return rows
