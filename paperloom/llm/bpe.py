@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Code points of a text and bytes of a match up to which no tree is built; remembered matches of a worker.
-TEXT_LEAF, PIECE_LEAF, REMEMBERED = 8192, 48, 800_000
+#: Code points of a text and bytes of a match up to which no tree is built, bytes up to which merges are looked for one by one;
+#: remembered matches of a worker, and bytes of one.
+TEXT_LEAF, PIECE_LEAF, PLAIN, REMEMBERED, REMEMBERED_BYTES = 256, 8, 96, 800_000, 192
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -58,7 +59,7 @@ class ByteCoder:
     def merge(self, piece: bytes) -> list[bytes]:
         """The merges applied to the bytes of ``piece``, lowest rank first and leftmost among equals."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        if len(parts) > 2 * self.piece_leaf:
+        if len(parts) > PLAIN:
             return self._merge_long(parts)
         get, none = self.ranks.get, 1 << 60
         costs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
@@ -126,7 +127,7 @@ class ByteCoder:
             found = (whole,) if whole is not None else tuple(self.ranks[t] for t in self.tokens(raw))
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            if len(raw) <= 4 * self.piece_leaf:
+            if len(raw) <= REMEMBERED_BYTES:
                 self.known[piece] = found
         return found
 

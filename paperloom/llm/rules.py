@@ -39,7 +39,8 @@ class Policy:
     rules: tuple[str, ...]
 
 
-#: Ratios are compared as whole numbers, so that every engine agrees on them.
+#: Ratios are compared as whole numbers, so that every engine agrees on them.  Distinct words grow with the root of the words at
+#: least, however long a text is.
 RULES = (
     Rule("few_words", 0, "n_words < 50"),
     Rule("repeated_windows", 1, "100 * n_repeat_words > 50 * n_words"),
@@ -48,7 +49,7 @@ RULES = (
     Rule("short_words", 4, "10 * word_chars < 15 * n_words"),
     Rule("long_words", 5, "word_chars > 20 * n_words"),
     Rule("shouting", 6, "100 * n_upper > 50 * word_chars"),
-    Rule("few_distinct_words", 7, "100 * n_distinct_words < 4 * n_words AND n_words < 2000"),
+    Rule("few_distinct_words", 7, "n_distinct_words * n_distinct_words < n_words"),
 )
 
 POLICIES = (
@@ -72,23 +73,32 @@ def _without(text: Column, characters: str) -> Column:
     return text
 
 
-def _covered(hashes: str, width: int) -> Column:
-    """Positions covered by ``width``-word windows that occur twice or more; ``hashes`` names the array of word hashes.
+def _repeated(df: DataFrame, hashes: str, width: int, out: str) -> DataFrame:
+    """Replace the column ``hashes`` (of a text's words) by ``out``: the positions covered by ``width``-word windows that occur twice or more.
 
-    A window's hash and its position share one long (the position takes just the bits that the document needs), so that a
-    primitive sort brings equal windows together and the positions come along.
+    A window's hash and its position share one long (the position takes the bits that the document needs), so that a primitive
+    sort brings equal windows together and the positions come along.  Whole hashes are compared then; only where neighbours
+    share the upper bits alone, windows are sorted again as pairs of whole hash and position.
     """
-    last = f"size({hashes}) - {width}"
+    keep = [c for c in df.columns if c not in (hashes, "bits")]
+    last, mask = f"size({hashes}) - {width}", "(shiftleft(1L, bits) - 1L)"
     parts = ", ".join(f"get({hashes}, i + {k})" for k in range(width))
-    return F.expr(
-        f"""CASE WHEN {last} < 1 THEN 0L ELSE
-        aggregate(array(sort_array(transform(sequence(0, {last}), i -> (xxhash64({parts}) & ~(shiftleft(1L, bits) - 1L)) | i))), 0L, (nothing, s) ->
-          aggregate(array(sort_array(transform(filter(transform(s, (x, j) -> CASE
-              WHEN shiftright(x, bits) = shiftright(get(s, j + 1), bits) OR shiftright(x, bits) = shiftright(get(s, j - 1), bits)
-              THEN x & (shiftleft(1L, bits) - 1L) ELSE -1L END), p -> p >= 0L), p -> p))), 0L, (zero, p) ->
-            CASE WHEN size(p) = 0 THEN 0L
-            ELSE aggregate(transform(p, (x, j) -> least({width}L, coalesce(get(p, j + 1) - x, {width}L))), 0L, (a, x) -> a + x) END)) END"""
-    )
+    at = f"int({{}} & {mask})".format
+    near = "get(s, j + 1)"
+    whole = lambda x, y: f"(shiftright({x}, bits) = shiftright({y}, bits) AND get(f, {at(x)}) = get(f, {at(y)}))"
+    steps = [
+        {"f": f"CASE WHEN {last} < 1 THEN array() ELSE transform(sequence(0, {last}), i -> xxhash64({parts})) END", "bits": "bits"},
+        {"s": f"sort_array(transform(f, (x, i) -> (x & ~{mask}) | i))", "f": "f", "bits": "bits"},
+        {"mixed": f"exists(transform(s, (x, j) -> coalesce(shiftright(x, bits) = shiftright({near}, bits) AND get(f, {at('x')}) <> get(f, {at(near)}), false)), y -> y)", "s": "s", "f": "f", "bits": "bits"},
+        {"p": f"""CASE WHEN mixed THEN
+            aggregate(array(sort_array(transform(f, (x, i) -> struct(x AS h, i AS i)))), CAST(array() AS array<int>), (z, t) -> sort_array(filter(transform(t, (x, j) ->
+              CASE WHEN x.h = get(t, j + 1).h OR x.h = get(t, j - 1).h THEN x.i ELSE -1 END), p -> p >= 0)))
+          ELSE sort_array(filter(transform(s, (x, j) -> CASE WHEN {whole('x', near)} OR {whole('x', 'get(s, j - 1)')} THEN {at('x')} ELSE -1 END), p -> p >= 0)) END"""},
+        {out: f"CASE WHEN size(p) = 0 THEN 0L ELSE aggregate(transform(p, (x, j) -> least({width}, coalesce(get(p, j + 1) - x, {width}))), 0L, (a, x) -> a + x) END"},
+    ]
+    for step in steps:
+        df = df.select(*keep, *(F.expr(x).alias(n) for n, x in step.items()))
+    return df
 
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,11 +124,7 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.length(F.bin(F.size("words"))).alias("bits"),
     )
-    measured = hashed.select(
-        "id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
-        _covered("hashes", 3).alias("n_repeat_words"), "n_upper",
-        F.size(F.array_distinct("hashes")).cast("long").alias("n_distinct_words"),
-    )
+    measured = _repeated(hashed.withColumn("n_distinct_words", F.size(F.array_distinct("hashes")).cast("long")), "hashes", 3, "n_repeat_words")
     failures = " | ".join(f"(CASE WHEN {r.fails} THEN {1 << r.bit}L ELSE 0L END)" for r in rules) or "0L"
     return measured.select(F.col("id").alias(id_col), *MEASUREMENTS, F.expr(failures).alias("failures"))
 
@@ -174,7 +180,7 @@ m AS (
 f AS (
   SELECT *, (n_words < 50)::BIGINT | ((100 * n_repeat_words > 50 * n_words)::BIGINT << 1) | ((100 * n_symbols > 40 * n_words)::BIGINT << 2)
     | ((100 * n_dup_lines > 50 * n_lines)::BIGINT << 3) | ((10 * word_chars < 15 * n_words)::BIGINT << 4) | ((word_chars > 20 * n_words)::BIGINT << 5)
-    | ((100 * n_upper > 50 * word_chars)::BIGINT << 6) | ((100 * n_distinct_words < 4 * n_words AND n_words < 2000)::BIGINT << 7) AS failures
+    | ((100 * n_upper > 50 * word_chars)::BIGINT << 6) | ((n_distinct_words * n_distinct_words < n_words)::BIGINT << 7) AS failures
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
 """

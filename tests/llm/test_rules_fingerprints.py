@@ -192,3 +192,17 @@ def test_range_lookup(spark):
         import bisect
 
         assert all((r["a"], r["b"]) == (bisect.bisect_left(cuts, r["id"]), bisect.bisect_right(cuts, r["id"])) for r in df.collect())
+
+
+def test_windows_whose_hashes_share_their_upper_bits(spark):
+    """Word hashes are given here, and so few bits are left of a window's that most windows seem equal."""
+    rng = random.Random(8)
+    rows = [(k, [rng.randrange(6) for _ in range(rng.randint(0, 60))], bits) for k in range(60) for bits in (6, 60, 62)]
+    rows = [(n, h, b) for n, (_, h, b) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "id long, hashes array<long>, bits int")
+    got = {r["id"]: r["n"] for r in rules._repeated(df, "hashes", 3, "n").collect()}
+    for n, h, _ in rows:
+        grams = {}
+        for i in range(len(h) - 2):
+            grams.setdefault(tuple(h[i : i + 3]), []).append(i)
+        assert got[n] == len({i + k for at in grams.values() if len(at) > 1 for i in at for k in range(3)})
