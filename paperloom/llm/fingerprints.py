@@ -16,6 +16,8 @@ equal texts have equal fingerprints; repeated rows stay repeated; extra columns
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,9 +98,9 @@ def _before(df: DataFrame, key: str, cuts: list[int], out: str, equal: bool = Fa
     return df
 
 
-def with_next(docs: DataFrame, carried: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_next(docs: DataFrame, carried: dict[str, str], id_col: str = "doc_id", text_col: str = "text", prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Add columns of the document that follows by descending id (after the last comes the first): ``carried`` maps the
-    columns to take from it to the names they get; they follow from the text.
+    columns to take from it to the names they get; they follow from the text.  ``prepare`` adds columns before rows are shuffled.
 
     Ids are cut into ranges of bounded size, each sorted in its own task, and the first document of a range is also sent, as a
     guest, to the range before it, so that rows are shuffled once and no task sees the whole order.  An id that many rows have
@@ -131,17 +133,19 @@ def with_next(docs: DataFrame, carried: dict[str, str], id_col: str = "doc_id",
     hosts = hosts.select("paperloom_host", F.col("paperloom_top.paperloom_key").alias("paperloom_key"), F.col("paperloom_top.mix").alias("paperloom_mix"))
     first = docs.withColumn("paperloom_key", key).join(F.broadcast(hosts), "paperloom_key")
     first = first.where(F.col("paperloom_mix") == mix) if shared else first
-    guests = first.groupBy(F.col("paperloom_host").alias("paperloom_part")).agg(F.max_by(F.struct(*carried), mix).alias("paperloom_x")).select("paperloom_part", "paperloom_x.*")
-    both = dealt(docs).withColumn("paperloom_guest", F.lit(False)).unionByName(guests.withColumn("paperloom_guest", F.lit(True)), allowMissingColumns=True)
+    # only the ranges' first documents are prepared twice
+    guests = prepare(first).groupBy(F.col("paperloom_host").alias("paperloom_part")).agg(F.max_by(F.struct(*carried), mix).alias("paperloom_x")).select("paperloom_part", "paperloom_x.*")
+    both = prepare(dealt(docs)).withColumn("paperloom_guest", F.lit(False)).unionByName(guests.withColumn("paperloom_guest", F.lit(True)), allowMissingColumns=True)
     w = Window.partitionBy("paperloom_part").orderBy("paperloom_guest", F.desc("paperloom_key"), F.desc(mix))
-    return both.select(*docs.columns, "paperloom_guest", *(F.lead(c).over(w).alias(to) for c, to in carried.items())).where("NOT paperloom_guest").drop("paperloom_guest")
+    own = prepare(docs).columns
+    return both.select(*own, "paperloom_guest", *(F.lead(c).over(w).alias(to) for c, to in carried.items())).where("NOT paperloom_guest").drop("paperloom_guest")
 
 
 def op6_document_fingerprints(spark, sf_dir):
     """Fingerprints of every whole text, of its edited text (half replaced by the next document's start), and their likenesses."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = signature(docs.select("doc_id", "text", pieces(F.col("text")).alias("w")), "w", "sig")
-    pairs = with_next(own, {"text": "next_text", "sig": "sig_next"}).withColumn("n_chars", F.char_length("text"))
+    signed = lambda df: signature(df.withColumn("w", pieces(F.col("text"))), "w", "sig")
+    pairs = with_next(docs, {"text": "next_text", "sig": "sig_next"}, prepare=signed).withColumn("n_chars", F.char_length("text"))
     half = "int(n_chars div 2)"
     edited = pairs.select(
         "doc_id", "sig", "sig_next", F.col("n_chars").cast("long").alias("n_chars"),

@@ -89,6 +89,64 @@ def test_filters_keep_columns(spark):
     out = toxicity.keep_clean(df, model)
     assert out.schema == df.schema and out.count() == 3
     assert toxicity.score(df, model).count() == 3 and toxicity.score(df.limit(0), model).count() == 0
-    q = quality.Model(toxicity.np.zeros(16), toxicity.np.ones(16), toxicity.np.zeros(16), 0.0)
+    width = len(quality.features(""))
+    q = quality.Model(toxicity.np.zeros(width), toxicity.np.ones(width), toxicity.np.zeros(width), toxicity.np.zeros(quality.HASHED), 0.0)
     assert quality.keep_good(df, q).schema == df.schema and quality.keep_good(df, q).count() == 3
     assert quality.score(df, q).count() == 3
+
+
+def test_content_tells_what_form_does_not():
+    """Texts of one form: only the words tell good from bad."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    text = lambda own: " ".join(rng.choice(own) for _ in range(40))
+    good, bad = [text(words[:40]) for _ in range(200)], [text(words[20:]) for _ in range(200)]
+    model = quality.train(good[:100] + bad[:100], [1] * 100 + [0] * 100, 0.5)
+    s, t = model.scores(good[100:]), model.scores(bad[100:])
+    assert sum(a > b for a, b in zip(s, t, strict=True)) >= 97
+    assert sum(x >= quality.THRESHOLD for x in s) >= 90 and sum(x < quality.THRESHOLD for x in t) >= 90
+
+
+def plain_score(model, text):
+    """The same sum, word by word."""
+    import math
+    from collections import Counter
+
+    words = (text or "").lower().split()
+    h = [zlib.crc32(w.encode()) for w in words]
+    wrap = lambda x: (x + 2**63) % 2**64 - 2**63
+    counts = Counter(x % quality.HASHED for x in h) + Counter((wrap(a * 0x9E3779B1 + b * 0x85EBCA6B + 1) >> 7) % quality.HASHED for a, b in zip(h, h[1:]))
+    norm = math.sqrt(sum(math.log1p(c) ** 2 for c in counts.values()))
+    own = sum(model.hashed[k] * math.log1p(c) / norm for k, c in counts.items())
+    form = sum(w * max(-6.0, min(6.0, (f - c) / s)) for w, f, c, s in zip(model.weights, quality.features(text), model.centre, model.scale))
+    z = form + own - model.cut + math.log(quality.THRESHOLD / (1 - quality.THRESHOLD))
+    return 1 / (1 + math.exp(-max(-500, min(500, z))))
+
+
+def test_quality_query_equals_plain_score(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(spark, docs, labels)
+    long = spark.createDataFrame([(-1, "word next " * 200_000, ""), (-2, None, ""), (-3, "", "")], "doc_id long, text string, score string")
+    rows = docs.select("doc_id", "text", docs["source"].alias("score")).unionByName(long)
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    got = {r["doc_id"]: r["score"] for r in quality.score(rows, model).collect()}
+    assert set(got) == set(texts)
+    assert all(got[k] == pytest.approx(plain_score(model, t), abs=1e-9) for k, t in texts.items())
+
+
+def test_ties_at_the_quantile_fall_on_one_side():
+    model = quality.train(["same words here"] * 6 + ["other bad words !!"] * 2, [1] * 5 + [0] * 3, 3 / 8)
+    a, b = set(model.scores(["same words here"] * 4)), set(model.scores(["other bad words !!"] * 3))
+    assert len(a) == len(b) == 1 and a > b or min(a) > max(b)
+
+
+def test_toxicity_of_very_long_texts(spark):
+    rows = [(k, " ".join(["fine words stand here."] * 20) + (" vile slur here." if k % 2 else "")) for k in range(40)]
+    model = toxicity.train([t for _, t in rows], [k % 2 for k, _ in rows])
+    long = "fine words stand here. " * 100_000
+    df = spark.createDataFrame([(1, long + "vile slur here."), (2, long), (3, None), (4, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
+    # every sentence adds to a noisy-or, but only the last one is an offence
+    assert 1 >= got[1]["score"] >= got[2]["score"] and got[1]["score"] > 0.5 and got[3]["score"] == got[4]["score"] == 0
+    assert [e["start"] >= len(long) - 1 for e in got[1]["offending"]] == [True]
