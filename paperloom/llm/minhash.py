@@ -1,18 +1,20 @@
 """Near-duplicate classes by DartMinHash.
 
-Sketch.  A document is a set of shingles of five words with weights (1 each, or their counts).  Element x owns the strip
+Sketch.  A document is a set of shingles of five words, weighted by how often they occur.  Element x owns the strip
 [0, weight(x)) of a plane whose other axis is rank; hashing throws darts into the strips of all possible elements, one to a
-unit of area on average, the same for every document.  A document keeps the darts below rank theta = T / total weight, about
-T = k ln k + 2k of them whatever its size, deals each to one of k coordinates by its hash and keeps the earliest in each.  If a
-coordinate stays empty, theta doubles.  Two documents agree in a coordinate with probability equal to their (weighted) Jaccard
-similarity.  ``ROWS`` coordinates make a band; equal bands make candidates.
+unit of area on average, the same for every document.  The plane is cut into regions by weight, [2^v - 1, 2^(v+1) - 1), and
+each region into cells of area 1, 2^v wide and 2^-v tall, so that an element costs as many cells as the logarithm of its
+weight and the darts it keeps.  A document keeps the darts below rank theta = T / total weight, about T = k ln k + 2k of them
+whatever its size, deals each to one of k coordinates by its hash and keeps the earliest in each.  If a coordinate stays
+empty, theta doubles.  Two documents agree in a coordinate with probability equal to their weighted Jaccard similarity
+(least over greatest weights).  ``ROWS`` coordinates make a band; equal bands make candidates.
 
 Classes.  Equal texts are one node from the start.  A bucket (documents with one band in common) is never expanded into its
 pairs: each member is compared with the bucket's pivot, exactly and on whole texts, and those that are near are linked into classes
 (connected components).  Two members x and y that the bucket of pivot p leaves in
 different classes may still be near one another.  If no shingle that
-goes beyond p is in both, x and y share at most the lesser of what each has in common with p, which is too little unless almost
-all of both is.  So such members are compared if they share one of the (few, least) shingles that go beyond the pivot, or if almost
+goes beyond p (or occurs more often than in p) is in both, x and y share at most the lesser of what each has in common with p,
+which is too little unless almost all of both is.  So such members are compared if they share one of the (few, least) shingles that go beyond the pivot, or if almost
 all of both comes from it and sizes fit: this finds every link among a bucket's members, and copies that drifted apart on their own
 give no pairs, however many they are.  Texts of similarity 0.8 share no band of 25 in 5 of 100,000 cases.
 
@@ -34,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import materialize, table
+from .common import discard, materialize, table
 
 #: Words of a shingle, least similarity, bands, coordinates of a band.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
-#: Rows that are broadcast at most.
-BROADCAST_ROWS = 400_000
+#: Members of a pivot that are compared in one go.
+CHUNK = 256
 
 _U = np.uint64
 _BASE, _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0xD6E8FEB86659FD93)
@@ -105,34 +107,30 @@ def shingles(text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(elements: np.ndarray, weights: np.ndarray | None = None, k: int = BANDS * ROWS) -> np.ndarray | None:
-    """DartMinHash: the earliest dart of each of k coordinates, as a hash; None without elements.
-
-    Strips wider than 1 are laid out in unit layers, each with darts of its own; the last layer of a fractional weight keeps the
-    darts that fall within the weight.
-    """
+    """DartMinHash: the earliest dart of each of k coordinates, as a hash; None without elements.  Weights are positive, 1 each if None."""
     if not len(elements):
         return None
     if weights is None:
-        layer, width, total = elements, None, float(len(elements))
-    else:
-        n = np.ceil(weights).astype(np.int64)
-        deep = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        layer = np.repeat(elements, n)
-        layer = np.where(deep > 0, mix(layer ^ mix(deep.astype(_U) * _C + _B)), layer)
-        width, total = np.minimum(np.repeat(weights, n) - deep, 1.0), float(weights.sum())
-    theta = (k * math.log(k) + 2 * k) / total
+        weights = np.ones(len(elements))
+    regions = np.maximum(np.ceil(np.log2(weights + 1) - 1e-12).astype(np.int64), 1)
+    level = np.arange(regions.sum()) - np.repeat(np.cumsum(regions) - regions, regions)
+    strip = np.repeat(elements, regions)
+    strip = np.where(level > 0, mix(strip ^ mix(level.astype(_U) * _C + _B)), strip)
+    width = np.exp2(level)
+    share = (np.repeat(weights, regions) - (width - 1)) / width  # of the strip's width that belongs to the element
+    theta = (k * math.log(k) + 2 * k) / float(weights.sum())
     while True:
-        # unit cells along the rank axis; the number of darts in each is Poisson(1), drawn from the cell's hash
-        cells = math.ceil(theta)
-        cell = mix(layer[:, None] + mix(np.arange(cells, dtype=_U) * _A + _C)[None, :])
-        count = np.searchsorted(_POISSON, uniform(cell), side="right").ravel()
-        flat = np.repeat(cell.ravel(), count)
+        # cells up to theta along the rank axis; the number of darts in each is Poisson(1), drawn from the cell's hash
+        cells = np.ceil(theta * width).astype(np.int64)
+        owner = np.repeat(np.arange(len(strip)), cells)
+        row = np.arange(len(owner)) - np.repeat(np.cumsum(cells) - cells, cells)
+        cell = mix(strip[owner] + mix(row.astype(_U) * _A + _C))
+        count = np.searchsorted(_POISSON, uniform(cell), side="right")
+        flat, owner, row = np.repeat(cell, count), np.repeat(owner, count), np.repeat(row, count)
         number = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
         dart = mix(flat + (number.astype(_U) + _U(1)) * _BASE)
-        rank = uniform(dart) + np.repeat(np.tile(np.arange(cells), len(layer)), count)
-        keep = rank < theta
-        if width is not None:
-            keep &= uniform(mix(dart ^ _B)) < np.repeat(np.repeat(width, cells), count)
+        rank = (uniform(dart) + row) / width[owner]
+        keep = (rank < theta) & (uniform(mix(dart ^ _B)) < share[owner])
         dart, rank = dart[keep], rank[keep]
         coordinate = (mix(dart ^ _C) % _U(k)).astype(np.int64)
         order = np.argsort(-rank, kind="stable")
@@ -170,7 +168,7 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
 # -- distributed steps -----------------------------------------------------------------------------------------------
 
 
-def sketches(docs: DataFrame, weighted: bool = False) -> DataFrame:
+def sketches(docs: DataFrame, weighted: bool = True) -> DataFrame:
     """doc_id, node (MD5 of the text), size (shingles) and bands (keys; empty without shingles) of each row; one narrow pass."""
 
     def batches(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,72 +190,78 @@ def sketches(docs: DataFrame, weighted: bool = False) -> DataFrame:
 _NONE = -(2**63)
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast ``df`` if its counted ``rows`` are few; else the join shuffles."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def differences(pivot: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray], weighted: bool) -> np.ndarray:
     """Shingles of ``own`` that go beyond ``pivot``; as many of the least as another text near ``own`` must share one of.
 
-    A near text shares SIMILARITY of the size of ``own`` at least, of which ``pivot`` can account for the common part only.
+    A near text shares SIMILARITY of the size of ``own`` at least, of which ``pivot`` can account for the common part only.  So
+    much has to come from what goes beyond; shingles at the end whose weights together don't reach it can be left out.
     """
     (x, n), (y, m) = own, pivot
+    if not weighted:
+        n, m = np.ones_like(n), np.ones_like(m)
     if not len(y):
         return x
     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    there = y[at] == x
-    if weighted:
-        return x[np.where(there, n > m[at], True)]
-    beyond = x[~there]
-    shared = max(1, math.ceil(SIMILARITY * len(x) - (len(x) - len(beyond)) - 1e-9))
-    return beyond[: max(0, len(beyond) - shared + 1)]
+    excess = n - np.where(y[at] == x, np.minimum(n, m[at]), 0)
+    total = int(n.sum())
+    needed = max(1, math.ceil(SIMILARITY * total - (total - int(excess.sum())) - 1e-9))
+    tail = np.cumsum(excess[::-1])[::-1]
+    return x[(excess > 0) & (tail >= needed)]
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, weighted: bool = False, detail: bool = False) -> DataFrame:
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, weighted: bool = True, detail: bool = False) -> DataFrame:
     """a, b, linked (their whole texts have ``SIMILARITY`` or more), common (size of the common part) of pairs (a, b) of nodes, and with
     ``detail`` the :func:`differences` of b from a; without, only pairs whose sizes allow the similarity.
 
-    Only texts in such pairs leave the table.
+    Only texts in such pairs leave the table.  The members b of a pivot a are dealt into chunks, each of which meets the pivot's
+    text once, at its head, so that a pivot with a large share of all members is no burden to any task.
     """
+    used = []
     if not detail:
         size = nodes.select("node", "size")
         sized = pairs.join(size.select(F.col("node").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("size").alias("nb")), "b")
         pairs = materialize(sized.where(F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9).select("a", "b"), "pairs")
+        used.append(pairs)
     ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
     wanted = materialize(ends.join(nodes.select("node", F.coalesce("doc_id", F.lit(_NONE)).alias("k")), "node"), "wanted")
+    used.append(wanted)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = rows.join(_small(wanted, wanted.count()), "k").where(F.unhex(F.md5("text")) == F.col("node")).groupBy("node").agg(F.first("text").alias("text"))
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    texts = rows.join(wanted, "k").where(F.unhex(F.md5("text")) == F.col("node")).groupBy("node").agg(F.first("text").alias("text"))
+    texts = materialize(texts, "texts")
+    used.append(texts)
+    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b")
+    members = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "chunk", F.lit(True).alias("member"), "b", "text")
+    heads = chunks.join(texts.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("member"), F.col("a").alias("b"), "text")
 
     def batches(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: dict[bytes, tuple] = {}
-
-        def sets(node, text):
-            if (found := recent.get(node)) is None:
-                if len(recent) >= 64:
-                    recent.pop(next(iter(recent)))
-                found = recent[node] = shingles(text.as_py())
-            return found
-
+        head, mine = None, None
         for batch in source:
-            linked, common, beyond = [], [], []
-            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
-                one, two = sets(a, x), sets(b, y)
-                j = jaccard(one, two, weighted)
-                total = float(one[1].sum() + two[1].sum()) if weighted else len(one[0]) + len(two[0])
-                linked.append(j >= SIMILARITY - 1e-12)
-                common.append(j * total / (1 + j))
-                beyond.append(differences(one, two, weighted).view(np.int64) if detail else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(common, pa.float64()), pa.array(beyond, pa.list_(pa.int64()))], ["a", "b", "linked", "common", "beyond"]
-            )
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(batches, "a binary, b binary, linked boolean, common double, beyond array<bigint>")
-
-
-def classes(docs: DataFrame, weighted: bool = False) -> DataFrame:
-    """doc_id, node and root of each row: rows of one near-duplicate class have one root."""
+            out = []
+            for a, member, b, text in zip(batch.column("a").to_pylist(), batch.column("member").to_pylist(), batch.column("b").to_pylist(), batch.column("text"), strict=True):
+                if not member:
+                    if head != a:
+                        head, mine = a, shingles(text.as_py())
+                    continue
+                own = shingles(text.as_py())
+                j = jaccard(mine, own, weighted)
+                total = float(mine[1].sum() + own[1].sum()) if weighted else len(mine[0]) + len(own[0])
+                out.append((a, b, j >= SIMILARITY - 1e-12, j * total / (1 + j), differences(mine, own, weighted).view(np.int64) if detail else []))
+            kinds = [pa.binary(), pa.binary(), pa.bool_(), pa.float64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["a", "b", "linked", "common", "beyond"])
+
+    both = heads.unionByName(members).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "member")
+    done = materialize(both.select("a", "member", "b", "text").mapInArrow(batches, "a binary, b binary, linked boolean, common double, beyond array<bigint>"), "rated")
+    for table_ in used:
+        discard(table_)
+    return done
+
+
+def classes(docs: DataFrame, weighted: bool = True) -> DataFrame:
+    """doc_id, node and root of each row: rows of one near-duplicate class have one root.
+
+    Joins back to rows meet each root or node once on one side, so that a frequent one is split by adaptive execution.
+    """
     base = materialize(sketches(docs, weighted), "sketches")
     nodes = materialize(base.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
     keys = nodes.select("node", F.explode("bands").alias("key"))
@@ -267,9 +271,11 @@ def classes(docs: DataFrame, weighted: bool = False) -> DataFrame:
     company = shared.groupBy("node").agg(F.sum("n").alias("company"))
     pivots = shared.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("pivot"))
     members = materialize(shared.join(pivots, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "members")
-    rated = materialize(verify(members, nodes, docs, weighted, detail=True), "rated")
+    discard(shared)
+    rated = verify(members, nodes, docs, weighted, detail=True)
+    discard(members)
     links = rated.where("linked").select("a", "b")
-    roots = materialize(components(links), "roots")
+    roots = components(links)
 
     # of one pivot's members, those in other classes than most
     now = rated.join(nodes.select(F.col("node").alias("b"), "size"), "b").join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
@@ -285,26 +291,33 @@ def classes(docs: DataFrame, weighted: bool = False) -> DataFrame:
     # two near texts share something that the pivot doesn't have ...
     marks = left.withColumn("mark", F.explode("beyond"))
     one = side(marks.where("outside"), "y", "a", "mark").join(side(marks, "x", "a", "mark"), ["a", "mark"]).where(apart).select("x", "y")
-    # ... or have almost all from the pivot
-    inner = left.where(F.col("common") >= SIMILARITY * F.col("size") - 1e-6)
+    # ... or have almost all from the pivot; sizes that fit are in one step of 1 / SIMILARITY or in neighbouring ones
+    step_of = F.floor(F.log(F.col("size").cast("double")) / -math.log(SIMILARITY)).cast("int")
+    inner = left.where(F.col("common") >= SIMILARITY * F.col("size") - 1e-6).withColumn("step", step_of)
     most = F.least("x_common", "y_common") >= needed - 1e-6
-    two = side(inner.where("outside"), "y", "a").join(side(inner, "x", "a"), "a").where(apart & most).select("x", "y")
+    around = inner.where("outside").withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    two = side(around, "y", "a", "step").join(side(inner, "x", "a", "step"), ["a", "step"]).where(apart & most).select("x", "y")
     pairs = one.unionByName(two).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     step = materialize(pairs, "step")
+    discard(left)
     if not step.isEmpty():
-        found = verify(step, nodes, docs, weighted).where("linked").select("a", "b")
-        roots = materialize(components(links.unionByName(found)), "roots")
+        more = verify(step, nodes, docs, weighted)
+        before, roots = roots, components(links.unionByName(more.where("linked").select("a", "b")))
+        discard(before)
+        discard(more)
+    for table_ in (step, rated, nodes):
+        discard(table_)
     return base.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, weighted: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, weighted: bool = True) -> DataFrame:
     """doc_id and class_id (the least id of the class) of every row, and class_rows, the rows of the class."""
     rows = materialize(classes(docs, weighted), "classes")
     ids = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
     return rows.join(ids, "root").select("doc_id", "class_id", "class_rows")
 
 
-def keep_one(docs: DataFrame, weighted: bool = False) -> DataFrame:
+def keep_one(docs: DataFrame, weighted: bool = True) -> DataFrame:
     """One row of each class, all columns unchanged: the one with the least id, nulls last; of repeated rows, one."""
     rows = materialize(classes(docs, weighted), "classes")
     order = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(_NONE)), F.col("node"))
@@ -312,7 +325,7 @@ def keep_one(docs: DataFrame, weighted: bool = False) -> DataFrame:
     chosen = materialize(chosen.select(F.col("x.k").alias("paperloom_k"), F.col("x.node").alias("paperloom_node")), "chosen")
     keyed = docs.withColumn("paperloom_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    kept = keyed.join(_small(chosen, chosen.count()), "paperloom_k").where(F.unhex(F.md5(text)) == F.col("paperloom_node"))
+    kept = keyed.join(chosen, "paperloom_k").where(F.unhex(F.md5(text)) == F.col("paperloom_node"))
     repeated = rows.groupBy("doc_id", "node").count().where("count > 1").isEmpty()
     return (kept if repeated else kept.dropDuplicates(["paperloom_k", "paperloom_node"])).select(*docs.columns)
 

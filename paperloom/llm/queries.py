@@ -21,9 +21,9 @@ OP1_SQL = r"""
 WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 u AS (SELECT min(doc_id) AS id, text FROM t GROUP BY text),
 w AS (SELECT id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM u),
-s AS (SELECT DISTINCT id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
-n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
-p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+s AS (SELECT id, array_to_string(ws[i:i + 4], ' ') AS g, count(*) AS k FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0) GROUP BY ALL),
+n AS (SELECT id, sum(k) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, sum(least(a.k, b.k)) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
 e AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
 links AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, root) AS (SELECT id, id FROM u UNION SELECT links.b, r.root FROM r JOIN links ON links.a = r.node WHERE r.root < links.b),

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -24,11 +25,42 @@ def test_weights_matter():
     assert (M.sketch(e, ones) == M.sketch(e)).all()
 
 
+@pytest.mark.parametrize("scale", [0.01, 1.0, 40.0, 3000.0])
+def test_large_and_small_weights(scale):
+    """Similarity doesn't depend on the scale, and neither does the cost: large weights are few regions."""
+    rng = np.random.default_rng(3)
+    e = rng.integers(0, 2**63, size=60, dtype=np.uint64)
+    w, v = rng.random(60) * scale + 1e-3, rng.random(60) * scale + 1e-3
+    j = np.minimum(w, v).sum() / np.maximum(w, v).sum()
+    assert abs((M.sketch(e, w, 1500) == M.sketch(e, v, 1500)).mean() - j) < 0.06
+
+
+def test_differences_keep_what_near_texts_must_share():
+    """Whatever the pivot, two near texts that it doesn't account for have one of the kept shingles in common."""
+    rng = np.random.default_rng(4)
+    of = lambda e, n: (e[n > 0].astype(np.uint64), n[n > 0])
+    tried = 0
+    for _ in range(3000):
+        e = np.arange(1, 25)
+        n = rng.integers(0, 4, 24)
+        p, x, y = (np.maximum(n + rng.integers(-2, 3, 24) * (rng.random(24) < r), 0) for r in (0.5, 0.15, 0.15))
+        for weighted in (True, False):
+            a, b, c = (v if weighted else (v > 0).astype(int) for v in (p, x, y))
+            if not a.any() or not b.any() or not c.any() or np.minimum(b, c).sum() < 0.8 * np.maximum(b, c).sum():
+                continue
+            inside = min(np.minimum(a, b).sum(), np.minimum(a, c).sum())
+            if np.minimum(b, c).sum() > inside:
+                tried += 1
+                assert set(M.differences(of(e, p), of(e, x), weighted)) & set(M.differences(of(e, p), of(e, y), weighted))
+    assert tried > 100
+
+
 def plain_shingles(text):
     import re
+    from collections import Counter
 
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else Counter()
 
 
 def test_shingles():
@@ -40,9 +72,9 @@ def test_shingles():
             assert counts.sum() == max(len(text.split()) - 4, 1) or " " in text
 
 
-def classes_of(texts):
+def classes_of(texts, weighted=True):
     """Brute force: components of pairs with similarity of 0.8 or more, equal texts included."""
-    sets = [plain_shingles(t) for t in texts]
+    sets = [plain_shingles(t) if weighted else Counter(set(plain_shingles(t))) for t in texts]
     parent = list(range(len(texts)))
 
     def find(x):
@@ -52,8 +84,8 @@ def classes_of(texts):
 
     for i in range(len(texts)):
         for j in range(i):
-            both = len(sets[i] & sets[j])
-            if (texts[i] or "") == (texts[j] or "") or both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+            both = (sets[i] & sets[j]).total()
+            if (texts[i] or "") == (texts[j] or "") or both and both >= 0.8 * (sets[i] | sets[j]).total() - 1e-9:
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     return [find(i) for i in range(len(texts))]
 
@@ -65,14 +97,16 @@ def noisy(rng, words, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("passage", [0, 120])
-def test_classes_equal_brute_force(spark, passage):
+@pytest.mark.parametrize(("passage", "weighted", "chunk"), [(0, False, 256), (120, True, 2)])
+def test_classes_equal_brute_force(spark, passage, weighted, chunk, monkeypatch):
     """Copies, chains of copies that drift apart, and texts that share a long passage."""
+    monkeypatch.setattr(M, "CHUNK", chunk)
     rng = random.Random(passage)
     common = [f"p{k}" for k in range(passage)]
     texts = [None, "", "", " ", "one", "one"]
     for _ in range(12):
         base = common + [f"b{rng.randrange(5000)}" for _ in range(rng.randint(30, 150))]
+        base += base[:20] * rng.randint(0, 3)  # repeated, so that weights count
         copy = " ".join(base)
         texts += [copy, copy]
         for _ in range(6):
@@ -80,13 +114,13 @@ def test_classes_equal_brute_force(spark, passage):
             texts.append(copy)
     rng.shuffle(texts)
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, node string").repartition(5)
-    got = {r["doc_id"]: r["class_id"] for r in M.near_duplicates(df).collect()}
-    want = classes_of(texts)
+    got = {r["doc_id"]: r["class_id"] for r in M.near_duplicates(df, weighted).collect()}
+    want = classes_of(texts, weighted)
     first = {}
     for k, c in enumerate(want):
         first.setdefault(c, k)
     assert [got[k] for k in range(len(texts))] == [first[c] for c in want]
-    kept = M.keep_one(df)
+    kept = M.keep_one(df, weighted)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(first.values())
 
