@@ -12,7 +12,7 @@ EDGE_TYPES = ("is_subfield_of", "uses", "evaluated_by", "applied_to", "contrasts
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (the least node of its component) for every node of the edges (a, b).
+    """node and root (the least node of its component) for every node of the edges (a, b); a table in the shared folder.
 
     Alternates two steps that keep the components and never add edges: every node's larger neighbours are hung on the least
     node around it, then its smaller ones are.  Minima are combined before each shuffle, so hubs are no burden; each round is
@@ -33,7 +33,10 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    return graph.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(graph.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    found = graph.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(graph.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = materialize(found, "roots")
+    discard(graph)
+    return roots
 
 
 def _digest(graph: DataFrame) -> tuple:
