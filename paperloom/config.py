@@ -81,3 +81,15 @@ def volume_bound(settings: Settings, sources: int, queries_per_topic: int = 10)
     """Records at most, and whether the request is likely too small to be useful."""
     most = len(settings.topics) * queries_per_topic * sources * settings.max_results_per_query
     return {"upper_bound": most, "low": settings.max_results_per_query < 25 or most < 200}
+
+
+def fill_environment(path: str, environment: dict[str, str]) -> dict[str, str]:
+    """``environment`` with its absent and blank values filled in from a file of ``NAME=value`` lines; comments, quotes and ``export`` are
+    put aside.  Secrets stay on the driver."""
+    found = dict(environment)
+    lines = Path(path).read_text(encoding="utf-8").splitlines() if Path(path).exists() else []
+    for line in lines:
+        name, sign, value = line.strip().removeprefix("export ").partition("=")
+        if sign and not name.startswith("#") and not found.get(name.strip(), "").strip():
+            found[name.strip()] = value.strip().strip("\"'")
+    return found

@@ -141,16 +141,25 @@ def anchor(title: Column | str, year: Column | str) -> Column:
 NO_STOP = ("e.g.", "i.e.", "etc.", "vs.", "cf.", "et al.", "al.", "Fig.", "Eq.", "Sec.", "approx.", "Ref.", "No.", "Dr.", "Mr.", "Ms.", "Prof.")
 
 
+# Fixed value: where a sentence ends.
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z0-9])"
+
+
+def folded(x: Column | str) -> Column:
+    """Runs of white space as one space, trimmed."""
+    return F.trim(F.regexp_replace(col(x), r"(?U)\s+", " "))
+
+
 def sentences(x: Column | str) -> Column:
     """Sentences: cut after ``.``, ``!`` or ``?`` before a capital or digit, but not after an abbreviation."""
     guarded = reduce(lambda c, a: F.replace(c, F.lit(a), F.lit(a.replace(".", "\u0001"))), NO_STOP, col(x))
-    parts = F.split(guarded, r"(?<=[.!?])\s+(?=[A-Z0-9])")
+    parts = F.split(guarded, SENTENCE_END)
     return F.filter(F.transform(parts, lambda s: F.trim(F.replace(s, F.lit("\u0001"), F.lit(".")))), lambda s: s != "")
 
 
 def bullets(x: Column | str, most: int = 6) -> Column:
-    """At most ``most`` sentences; what is over joins the last."""
-    s = sentences(x)
+    """At most ``most`` sentences of the folded text; what is over joins the last."""
+    s = sentences(folded(x))
     return F.when(F.size(s) <= most, s).otherwise(F.concat(F.slice(s, 1, most - 1), F.array(F.array_join(F.slice(s, F.lit(most), F.greatest(F.size(s) - most + 1, F.lit(0))), " "))))
 
 

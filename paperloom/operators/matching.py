@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,24 +111,38 @@ def mutual(records: DataFrame, terms: DataFrame, items: str) -> DataFrame:
     return records.join(F.broadcast(terms), some).select("term_id", "term", "seq")
 
 
-def survey_titles(df: DataFrame, per_topic: int = 12) -> DataFrame:
+def survey_titles(df: DataFrame, per_topic: int = 12, most_topics: int = 500) -> DataFrame:
     """Of candidates (topic_no, variant_no, rank, title, …) per topic the first ``per_topic`` survey titles by variant and rank.
 
-    A title kept for an earlier topic is not available to a later one, but one that an earlier topic's limit cut off is; so topics,
-    which are settings, are worked off one after another.
+    A title kept for an earlier topic is not available to a later one, but one that an earlier topic's limit cut off is.  Earlier topics
+    keep ``per_topic`` titles each, so of the k-th topic only the first k * ``per_topic`` can matter: ranks are cut there first, in each
+    task, and the few rows left are gone through in order in one.  Topics are settings; more than ``most_topics`` are an error.
     """
     key = text.alphanumeric("title")
     good = df.where(text.any_term(F.lower("title"), ("survey", "review", "overview", "taxonomy")) & (key != "")).withColumn("key_", key)
-    topics = [r[0] for r in good.select("topic_no").distinct().orderBy("topic_no").collect()]
-    kept = None
-    for t in topics:
-        own = good.where(F.col("topic_no") == t)
-        if kept is not None:
-            own = own.join(kept.select("key_"), "key_", "left_anti")
-        first = own.groupBy("key_").agg(F.min_by(F.struct(*df.columns), F.struct("variant_no", "rank")).alias("r")).select("key_", "r.*")
-        taken = first.orderBy("variant_no", "rank").limit(per_topic)
-        kept = taken if kept is None else kept.unionByName(taken)
-    return good.drop("key_").limit(0) if kept is None else kept.select(*df.columns)
+    topics = good.select("topic_no").distinct()
+    order = [r[0] for r in topics.orderBy("topic_no").limit(most_topics + 1).collect()]
+    if len(order) > most_topics:
+        raise ValueError(f"more than {most_topics} topics")
+    if not order:
+        return good.drop("key_").limit(0)
+    first = good.groupBy("topic_no", "key_").agg(F.min_by(F.struct(*df.columns), F.struct("variant_no", "rank")).alias("r")).select("topic_no", "key_", "r.variant_no", "r.rank", "r")
+    turn = F.array_position(F.lit(order), F.col("topic_no"))
+    place = F.row_number().over(Window.partitionBy("topic_no").orderBy("variant_no", "rank", "key_"))
+    short = first.withColumns({"turn": turn, "place": place}).where(F.col("place") <= F.col("turn") * per_topic)
+    importable(df.sparkSession)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        taken: set[str] = set()
+        out = []
+        for turn, own in rows.sort_values(["turn", "place"]).groupby("turn"):
+            kept = [(turn, k) for k in own["key_"] if k not in taken][:per_topic]
+            taken |= {k for _, k in kept}
+            out += kept
+        return pd.DataFrame(out, columns=["turn", "key_"])
+
+    chosen = short.select("turn", "place", "key_").groupBy().applyInPandas(run, "turn long, key_ string")
+    return short.join(F.broadcast(chosen), ["turn", "key_"]).select("r.*")
 
 
 def look_up(queries: DataFrame, *candidates: DataFrame) -> DataFrame:

@@ -153,6 +153,27 @@ def coverage_order(df: DataFrame, group: str, count: str = "coverage_count", pos
     return df.withColumn("place", F.row_number().over(w))
 
 
+def gap_order(gaps: DataFrame, score: str = "opportunity_score", pos: str = "pos", group: str = "topic") -> DataFrame:
+    """Add place: per topic the greatest opportunity first, unknown ones last, ties in the given order."""
+    w = Window.partitionBy(group).orderBy(F.desc_nulls_last(score), pos)
+    return gaps.withColumn("place", F.row_number().over(w))
+
+
+def per_topic(df: DataFrame, topics: str = "topic_queries") -> DataFrame:
+    """Records of each topic, by their first: topic, n_records; records without a topic count under the empty one."""
+    first = F.coalesce(F.get(F.col(topics), F.lit(0)), F.lit(""))
+    return df.groupBy(first.alias("topic")).agg(F.count("*").alias("n_records"))
+
+
+def failures(steps: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Rows and failed rows of each step, given with the name of its flag; unknown flags are no failure."""
+    out = None
+    for k, (name, (df, flag)) in enumerate(steps.items()):
+        row = df.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col(flag), F.lit(False))).alias("failed")).select(F.lit(k).alias("step"), F.lit(name).alias("name"), "n", "failed")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def funnel(steps: dict[str, DataFrame]) -> DataFrame:
     """Rows after each step, in one query."""
     out = None

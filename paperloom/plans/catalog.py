@@ -14,7 +14,7 @@ from ..functions.numbers import round_half_up
 from ..operators import dedup, documents, filters, graph, matching, ranking, relations, replay
 from ..schema import with_defaults
 from ..session import importable
-from ..sinks import tables
+from ..sinks import mindmaps, tables
 from ..sources import items, retrieval
 from ..streaming import ingest
 
@@ -251,6 +251,29 @@ def q_coverage_order(spark, sf):
     return ranking.coverage_order(p, "topic", pos="seq").select("topic", "seq", "place")
 
 
+@query("SELECT p_brand AS topic, p_partkey AS seq, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size % 7 <> 0 THEN p_retailprice END DESC NULLS LAST, p_partkey) AS place FROM part")
+def q_gap_order(spark, sf):
+    p = read(spark, sf, "part").select(F.col("p_brand").alias("topic"), F.col("p_partkey").alias("seq"), F.when(F.col("p_size") % 7 != 0, F.col("p_retailprice")).alias("opportunity_score"))
+    return ranking.gap_order(p, pos="seq").select("topic", "seq", "place")
+
+
+@query("SELECT CASE WHEN doc_id % 10 = 0 THEN '' ELSE lang END AS topic, count(*) AS n_records FROM documents GROUP BY 1")
+def q_records_per_topic(spark, sf):
+    none = F.array().cast("array<string>")
+    d = read(spark, sf, "documents").select(F.when(F.col("doc_id") % 10 == 0, none).otherwise(F.array(F.col("lang"), F.lit("other"))).alias("topic_queries"))
+    return ranking.per_topic(d)
+
+
+@query(
+    """SELECT 0 AS step, 'judge' AS name, count(*) AS n, count(*) FILTER (WHERE quality = 0) AS failed FROM labels
+    UNION ALL SELECT 1, 'summary', count(*), count(*) FILTER (WHERE toxic = 1 AND doc_id % 2 = 0) FROM labels"""
+)
+def q_failure_counts(spark, sf):
+    rows = read(spark, sf, "labels")
+    unknown = F.when(F.col("doc_id") % 2 == 0, F.col("toxic") == 1)
+    return ranking.failures({"judge": (rows.withColumn("judge_failed", F.col("quality") == 0), "judge_failed"), "summary": (rows.withColumn("summarization_failed", unknown), "summarization_failed")})
+
+
 # -- filters -------------------------------------------------------------------------------------------------------------
 
 TOPICS = ("the Tion of ent", "AI for umlauts: zu ver", "eau qui zzzz yyyy", "of the a", "xxqq wwzz")
@@ -415,9 +438,19 @@ def q_slugs(spark, sf):
     )
 
 
-@query()
+def _guarded_sql(x: str) -> str:
+    for a in text.NO_STOP:
+        x = f"replace({x}, '{a}', '{a}')".replace(f", '{a}')", ", '" + a.replace(".", "' || chr(1) || '") + "')")
+    return x
+
+
+@query(
+    f"""WITH g AS (SELECT conv_id, turn, {_guarded_sql("trim(regexp_replace(text, '\\s+', ' ', 'g'))")} AS t FROM conversations),
+    s AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(t, '([.!?]) ([A-Z0-9])', '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x <> '') AS s FROM g)
+    SELECT conv_id, turn, CASE WHEN s IS NULL THEN NULL WHEN len(s) <= 6 THEN array_to_string(s, chr(10)) ELSE array_to_string(list_append(s[1:5], array_to_string(s[6:], ' ')), chr(10)) END AS bullets FROM s"""
+)
 def q_sentence_bullets(spark, sf):
-    return read(spark, sf, "conversations").select("conv_id", "turn", text.bullets("text").alias("bullets"))
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(text.bullets("text"), "\n").alias("bullets"))
 
 
 @query("SELECT doc_id AS seq, sha256(concat_ws('|', source, coalesce(text, ''), n_chars::VARCHAR)) AS key, substr(sha256(coalesce(text, '')), 1, 16) AS response_key FROM documents")
@@ -430,10 +463,13 @@ def q_cache_key(spark, sf):
     SELECT seq, array_to_string(list_filter(ws, lambda x: x <> ''), ' ') AS abstract FROM w WHERE len(list_filter(ws, lambda x: x <> '')) > 0"""
 )
 def q_inverted_index(spark, sf):
+    """Texts as inverted indexes, built within the row from the sorted words, and read back."""
     words = F.array_remove(F.split(F.regexp_replace("text", r"[^\x20-\x7e]", " "), " "), "")
-    placed = read(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.posexplode(words).alias("p", "w"))
-    index = placed.groupBy("seq", "w").agg(F.collect_list("p").alias("ps")).groupBy("seq").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
-    return index.select("seq", items.abstract_of(F.col("index")).alias("abstract"))
+    placed = F.array_sort(F.transform(words, lambda w, p: F.struct(w.alias("w"), p.alias("p"))))
+    rows = read(spark, sf, "documents").select(F.col("doc_id").alias("seq"), placed.alias("s")).where(F.size("s") > 0)
+    rows = rows.select("seq", "s", F.expr("filter(sequence(0, size(s) - 1), i -> i = 0 OR get(s, i).w <> get(s, i - 1).w)").alias("r"))
+    entry = "struct(get(s, a).w, transform(slice(s, a + 1, coalesce(get(r, j + 1), size(s)) - a), x -> x.p))"
+    return rows.select("seq", F.expr(f"map_from_entries(transform(r, (a, j) -> {entry}))").alias("index")).select("seq", items.abstract_of(F.col("index")).alias("abstract"))
 
 
 @query("SELECT event_id, (regexp_extract(props, '\"k\": *([0-9]+)', 1))::INT AS k FROM events")
@@ -460,10 +496,28 @@ def q_reply_repair(spark, sf):
     return read(spark, sf, "events").select("event_id", replies.int_of(replies.reply_json(raw), "k").alias("k"))
 
 
-@query()
+VARIANT_TOPICS = ("Agentic RAG Systems", "LLM", "the systems", "Graph Neural Networks for Knowledge Tracing", "AI and ML for NLP")
+
+
+def _variants_sql() -> str:
+    """Word by word in DuckDB: spelled out, with acronyms, and without the leading word if over three remain."""
+    table = lambda acronyms: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in acronyms.items()) + "}"
+    spelled = "lower(topic)"
+    for short, full in text.ABBREVIATIONS.items():
+        spelled = f"regexp_replace({spelled}, '\\b{short}\\b', '{full}', 'g')"
+    drop = lambda x: _drop_sql(x, text.QUERY_FILLER)
+    return f"""WITH t(topic) AS (VALUES {', '.join(f"('{t}')" for t in VARIANT_TOPICS)}), w AS (SELECT topic, regexp_extract_all(lower(topic), '[a-z0-9]+') AS w FROM t),
+    x AS (SELECT topic, {drop("flatten(list_transform(w, lambda a: string_split(coalesce(" + table(text.QUERY_ACRONYMS) + "[a], a), ' ')))")} AS full_, {drop("w")} AS short FROM w),
+    v AS (SELECT topic, [CASE WHEN len(full_) > 0 THEN array_to_string(full_, ' ') || ' survey' END, CASE WHEN len(short) > 0 THEN array_to_string(short, ' ') || ' survey' END,
+      CASE WHEN len(full_) > 3 THEN array_to_string(full_[2:], ' ') || ' survey' END] AS v FROM x),
+    u AS (SELECT topic, [v[1], CASE WHEN v[2] <> coalesce(v[1], '') THEN v[2] END, CASE WHEN v[3] <> coalesce(v[1], '') AND v[3] <> coalesce(v[2], '') THEN v[3] END] AS u FROM v)
+    SELECT topic, array_to_string(list_filter(u, lambda x: x IS NOT NULL), '|') AS variants, {spelled} AS expanded FROM u"""
+
+
+@query(_variants_sql())
 def q_query_variants(spark, sf):
-    topics = ("Agentic RAG Systems", "LLM", "the systems", "Graph Neural Networks for Knowledge Tracing")
-    return importable(spark).createDataFrame([(t,) for t in topics], "topic string").select("topic", text.query_variants("topic").alias("variants"), text.expand_abbreviations("topic").alias("expanded"))
+    topics = importable(spark).createDataFrame([(t,) for t in VARIANT_TOPICS], "topic string")
+    return topics.select("topic", F.array_join(text.query_variants("topic"), "|").alias("variants"), text.expand_abbreviations("topic").alias("expanded"))
 
 
 # -- joins and matching --------------------------------------------------------------------------------------------------
@@ -555,7 +609,16 @@ def q_fan_out(spark, sf):
     return retrieval.fan_out(q, ["openalex", "core", "arxiv"]).select("seq", "source")
 
 
-@query()
+def _survey_titles_sql(topics: int, most: int) -> str:
+    """Topic by topic: what is kept for one is not available to those after it."""
+    parts = ["c AS (SELECT (p_size % 4)::INT AS topic_no, (p_partkey % 3)::INT AS variant_no, p_partkey AS rank, 'A survey of ' || p_name AS title, array_to_string(regexp_extract_all(lower('A survey of ' || p_name), '[a-z0-9]+'), ' ') AS k FROM part)"]
+    for t in range(topics):
+        taken = "".join(f" AND k NOT IN (SELECT k FROM t{u})" for u in range(t))
+        parts.append(f"f{t} AS (SELECT * FROM c WHERE topic_no = {t}{taken} QUALIFY row_number() OVER (PARTITION BY k ORDER BY variant_no, rank) = 1), t{t} AS (SELECT * FROM f{t} ORDER BY variant_no, rank LIMIT {most})")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT topic_no, variant_no, rank, title FROM t{t}" for t in range(topics))
+
+
+@query(_survey_titles_sql(4, 12))
 def q_survey_titles(spark, sf):
     """Candidates of topics that share titles: what one topic keeps, the next cannot have."""
     p = read(spark, sf, "part")
@@ -705,13 +768,39 @@ def q_method_tree(spark, sf):
     return relations.method_links(tasks, families, techniques).select("topic", "task", "family", "technique")
 
 
-@query()
+@query(
+    """WITH l AS (SELECT p_brand, p_type, p_name, min(p_partkey) AS pos FROM part GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY pos) AS n FROM l),
+    k AS (SELECT p_brand, p_type, min(pos) AS pos, list(p_name ORDER BY pos) FILTER (WHERE n <= 6) AS leaves FROM c GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY pos) AS n FROM k)
+    SELECT p_brand AS label, '[' || string_agg('{"label":"' || p_type || '","children":["' || array_to_string(leaves, '","') || '"]}', ',' ORDER BY pos) || ']' AS children FROM t WHERE n <= 8 GROUP BY 1"""
+)
 def q_tree(spark, sf):
     p = read(spark, sf, "part")
     links = p.groupBy("p_brand", "p_type", "p_name").agg(F.min("p_partkey").cast("int").alias("leaf_pos")).withColumn("child_pos", F.min("leaf_pos").over(Window.partitionBy("p_brand", "p_type")))
     return relations.tree(links, "p_brand", "p_type", "p_name").select("label", F.to_json("children").alias("children"))
 
 
+@query(
+    """WITH l AS (SELECT p_brand AS topic, p_type AS a, p_name AS b, min(p_partkey) AS pos FROM part WHERE p_partkey % 3 <> 0 GROUP BY ALL),
+    r AS (SELECT topic, a, min(pos) AS least_pos, string_agg(b, '","' ORDER BY pos) AS bs FROM l GROUP BY topic, a),
+    j AS (SELECT topic, string_agg('"' || a || '":["' || bs || '"]', ',' ORDER BY least_pos) AS js FROM r GROUP BY topic)
+    SELECT topic, '{"pairs":[{"key":"area-method","leftLabel":"Research Areas","rightLabel":"Methods","links":{' || js || '}}]}' AS data FROM j"""
+)
+def q_linked_tree(spark, sf):
+    p = read(spark, sf, "part").withColumn("b", F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")))
+    links = p.select(F.col("p_brand").alias("topic"), F.col("p_type").alias("left"), F.col("p_partkey").alias("left_pos"), F.col("b").alias("right"), F.col("p_partkey").alias("right_pos"))
+    none = mindmaps.layer(links.where("left IS NULL"), "problem-area", "Core Problems", "Research Areas")
+    return mindmaps.linked_tree(none, mindmaps.layer(links, "area-method", "Research Areas", "Methods"))
+
+
+@query("SELECT source AS query, doc_id AS seq FROM documents WHERE 2000 + doc_id % 10 BETWEEN 2003 AND 2007 QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, 'T' || doc_id) <= 25")
+def q_title_search(spark, sf):
+    k = F.col("doc_id")
+    raw = F.to_json(F.struct(F.concat(F.lit("T"), k).alias("title"), (2000 + k % 10).cast("int").alias("publication_year"), F.col("n_chars").alias("cited_by_count")))
+    replies_ = read(spark, sf, "documents").select(F.lit("t").alias("topic"), F.col("source").alias("query"), raw.alias("raw"))
+    found = retrieval.title_search(replies_, 2003, 2007)
+    return found.select(F.get("generated_queries", F.lit(0)).alias("query"), F.substring("title", 2, 20).cast("long").alias("seq"))
+
+
 @query(
     """WITH e AS (SELECT n_regionkey AS topic, 'n' || n_nationkey AS source_id, CASE WHEN n_nationkey % 4 = 0 THEN 'gone' ELSE 'n' || n_nationkey END AS target_id, CASE WHEN n_nationkey % 5 = 0 THEN 'likes' ELSE 'uses' END AS edge_type FROM nation)
     SELECT topic, source_id, target_id, edge_type FROM e WHERE target_id <> 'gone' AND edge_type = 'uses' AND source_id <> 'n7'"""
@@ -805,7 +894,10 @@ def q_distinct_users(spark, sf):
     return read(spark, sf, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("n"))
 
 
-@query()
+@query(
+    """WITH w AS (SELECT date_trunc('hour', ts) AS start, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY ALL)
+    SELECT * FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+)
 def q_stream_dedup(spark, sf):
     """Events as a stream: hourly counts, windows closed by the watermark."""
     import uuid
@@ -839,7 +931,11 @@ def q_paper_rows(spark, sf):
     return tables.paper_rows(c.withColumns(cells))
 
 
-@query()
+@query(
+    f"""WITH {PAPERS}, r AS (SELECT title, abstract, topic, max(seq) AS last_seq FROM papers WHERE seq % 2 = 0 GROUP BY ALL), j AS (SELECT seq, last_seq, last_seq IS NULL OR last_seq % 4 <> 0 AS bad FROM papers LEFT JOIN r USING (title, abstract, topic))
+    SELECT seq, CASE WHEN bad THEN 3 WHEN last_seq % 8 = 0 THEN 1 ELSE 4 END AS topic_relevance, CASE WHEN bad THEN 'useful' WHEN last_seq % 8 = 0 THEN 'cut' ELSE 'core' END AS paper_tier,
+    CASE WHEN NOT bad AND last_seq % 8 = 0 THEN 'skip' ELSE '' END AS recommended_action, bad AS judge_failed, CASE WHEN last_seq IS NULL THEN 'no reply' WHEN bad THEN 'the reply is no JSON object' END AS failure_reason FROM j"""
+)
 def q_replay(spark, sf):
     """Judge replies for documents: some recorded, some not."""
     p = papers(spark, sf).withColumns({"research_scope": F.lit(""), "model": F.lit("m"), "version": F.lit("1")})

@@ -136,3 +136,56 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([*RECORD, *numbers])
     raw = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     return with_defaults(raw.where(F.col("title").isNotNull()), schema)
+
+
+# -- searches, files and caches ------------------------------------------------------------------------------------------
+
+
+def title_search(raw: DataFrame, year_from: int, year_to: int, most: int = 25) -> DataFrame:
+    """Replies of a title search (topic, query, raw item): per query the most cited of the wanted years, ties by title."""
+    from ..operators.ranking import top_per_group
+    from . import items
+
+    found = items.openalex(raw).where(F.col("year").between(year_from, year_to)).withColumn("query_", F.get("generated_queries", F.lit(0)))
+    return top_per_group(found, "query_", most, F.desc("citation_count"), F.col("title"), name="rank_").drop("query_", "rank_")
+
+
+def pages_of(raw: DataFrame, field: str = "results", cursor: str = "$.meta.next_cursor") -> DataFrame:
+    """Recorded pages of a service (topic, query, page, raw) as their items (topic, query, raw) and whether a further page follows."""
+    each = F.from_json(F.get_json_object("raw", f"$.{field}"), "array<string>")
+    rows = raw.withColumns({"more": F.get_json_object("raw", cursor).isNotNull(), "items_": each})
+    return rows.select("topic", "query", "page", "more", F.posexplode("items_").alias("place", "raw"))
+
+
+def pdf_files(spark: SparkSession, path: str) -> DataFrame:
+    """Downloaded files: path, length, and whether the content is a PDF by its first bytes; only those are read."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", "length", F.coalesce(F.substring("content", 1, 4) == F.lit("%PDF").cast("binary"), F.lit(False)).alias("valid"))
+
+
+def store(entries: DataFrame, path: str, now: Column | None = None) -> None:
+    """Append entries (key, …) to a cache; a later entry of a key replaces an earlier one when they are read."""
+    at = F.current_timestamp() if now is None else now
+    entries.withColumn("cached_at", at).write.mode("append").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The latest entry of each key; ``schema`` names the columns but cached_at."""
+    rows = spark.read.schema(f"{schema}, cached_at timestamp").parquet(path)
+    columns = F.struct(*[c for c in rows.columns if c != "key"])
+    return rows.groupBy("key").agg(F.max_by(columns, "cached_at").alias("r_")).select("key", "r_.*")
+
+
+def with_parsed(records: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Records with the structure of their parsed file (paper_id, …), null without one; of several the latest by parsed_at."""
+    last = parsed.groupBy(F.col("paper_id").alias("seq")).agg(F.max_by(F.struct(*[c for c in parsed.columns if c != "paper_id"]), "parsed_at").alias("parsed"))
+    return records.join(last, "seq", "left")
+
+
+def landmark_candidates(replies: DataFrame, raw: str = "raw") -> DataFrame:
+    """Landmarks that a model named for a topic: topic, pos, title, year, why_seminal, mentioned_by; replies that can't be read name none."""
+    from ..functions.replies import reply_json
+
+    found = F.try_variant_get(reply_json(raw), "$.landmarks", "array<struct<title:string,year:int,why_seminal:string,mentioned_by:int>>")
+    rows = replies.select("topic", F.posexplode(found).alias("pos", "x")).select("topic", "pos", "x.*")
+    return rows.where(F.trim(F.coalesce("title", F.lit(""))) != "")
