@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ..functions import fuzzy
 from ..functions.text import normalized_title
 from ..schema import RECORD, present
-from ..session import discard, importable, materialize
+from ..session import discard, importable, listed, materialize
 from .graph import components
 
 #: Least fuzzy ratio, in percent; length of the substrings that block the similarity join; rounds before chains are replayed.
@@ -217,6 +217,6 @@ def group_topics(topics: list[str], percent: int = 90) -> list[dict]:
 
 def cross_queries(topics: DataFrame, terms: DataFrame) -> DataFrame:
     """Query strings of all topics (seq, topic) and terms (seq, term), both lists of settings; of equal strings the first."""
-    both = topics.select(F.col("seq").alias("i_"), "topic").join(F.broadcast(terms.select(F.col("seq").alias("j_"), "term")))
+    both = topics.select(F.col("seq").alias("i_"), "topic").join(listed(terms.select(F.col("seq").alias("j_"), "term")))
     strings = both.withColumn("query_string", F.concat(F.lit('"'), "topic", F.lit('" "'), "term", F.lit('"')))
     return first_by(strings, F.col("query_string"), F.col("i_"), F.col("j_")).select("topic", "query_string", F.col("i_").alias("topic_seq"), F.col("j_").alias("term_seq"))

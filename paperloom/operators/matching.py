@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy, text
 from ..session import importable
+from ..session import listed as few
 
 # Words that tell nothing about a research area.
 AREA_STOPWORDS = (
@@ -26,24 +27,48 @@ def named_like(df: DataFrame, table: DataFrame, name: str, known: str = "name",
     listed = table.select(F.lower(known).alias("known_"), F.col(value).alias("value_"), F.col(pos).alias("pos_"))
     exact = listed.groupBy("known_").agg(F.min_by("value_", "pos_").alias("exact_"))
     names = df.select(low.alias("low_")).where("low_ <> ''").distinct().join(exact, F.col("low_") == F.col("known_"), "left").drop("known_")
-    rest = names.where("exact_ IS NULL").select("low_").join(F.broadcast(listed), F.contains("low_", F.col("known_")) | F.contains(F.col("known_"), F.col("low_")))
+    rest = names.where("exact_ IS NULL").select("low_").join(few(listed), F.contains("low_", F.col("known_")) | F.contains(F.col("known_"), F.col("low_")))
     near = rest.groupBy("low_").agg(F.min_by("value_", "pos_").alias("near_"))
     found = names.join(near, "low_", "left").select("low_", F.coalesce("exact_", "near_", F.lit(otherwise)).alias(value))
     return df.withColumn("low_", low).join(found, "low_", "left").drop("low_")
 
 
+def contained(small: DataFrame, big: DataFrame, group: list[str]) -> DataFrame:
+    """Pairs (group, s, b) of distinct texts ``s`` of ``small`` and ``b`` of ``big`` of a group where ``b`` contains ``s``; exact.
+
+    Each ``s`` is looked for by the rarest of its substrings of three characters (of its length, if it is shorter), so that no more is
+    compared than shares it.
+    """
+
+    def grams(x: str, k: int) -> Column:
+        last = F.greatest(F.length(x) - k + 1, F.lit(1))
+        return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col(x), i, F.lit(k)))
+
+    large = big.where("b <> ''").select(*group, "b").distinct().withColumn("gram", F.explode(F.array_distinct(F.concat(grams("b", 1), grams("b", 2), grams("b", 3)))))
+    usual = large.groupBy(*group, "gram").agg(F.count("*").alias("n_"))
+    own = F.when(F.length("s") == 1, grams("s", 1)).when(F.length("s") == 2, grams("s", 2)).otherwise(grams("s", 3))
+    each = small.where("s <> ''").select(*group, "s").distinct().withColumn("gram", F.explode(F.array_distinct(own)))
+    rarest = each.join(usual, [*group, "gram"], "left").groupBy(*group, "s").agg(F.min_by("gram", F.struct(F.coalesce("n_", F.lit(0)), "gram")).alias("gram"))
+    return rarest.join(large, [*group, "gram"]).where(F.contains("b", F.col("s"))).select(*group, "s", "b")
+
+
 def resolve(links: DataFrame, names: DataFrame, ref: str, group: list[str] | None = None) -> DataFrame:
     """Add ``resolved``: the name of ``names`` (group, name, pos) that ``ref`` equals up to case, else the first that contains it or
-    is contained in it within the group, else null; blank references match by equality only."""
+    is contained in it within the group, else null; blank references match by equality only.  Equal texts meet by hash, the others by
+    :func:`contained`."""
     group = group or []
-    own = names.select(*group, F.col("name").alias("name_"), F.col("pos").alias("pos_"))
-    refs = links.select(*group, F.col(ref).alias("ref_")).distinct()
-    low, ref_low = F.lower(F.trim("name_")), F.lower(F.trim("ref_"))
-    pairs = refs.join(own, group) if group else refs.join(F.broadcast(own))
-    kind = F.when(low == ref_low, 0).when((ref_low != "") & (low != "") & (F.contains(low, ref_low) | F.contains(ref_low, low)), 1)
-    best = pairs.withColumn("kind_", kind).where("kind_ IS NOT NULL").groupBy(*group, "ref_").agg(F.min_by("name_", F.struct("kind_", "pos_")).alias("resolved"))
-    keyed = links.withColumn("ref_", F.col(ref))
-    return keyed.join(best, [*group, "ref_"], "left").select(*links.columns, "resolved")
+    own = names.select(*group, F.col("name").alias("name_"), F.col("pos").alias("pos_"), F.lower(F.trim("name")).alias("low_"))
+    refs = links.select(*group, F.col(ref).alias("ref_")).distinct().withColumn("key_", F.lower(F.trim("ref_")))
+    first = own.groupBy(*group, "low_").agg(F.min_by("name_", "pos_").alias("name_"), F.min("pos_").alias("pos_"))
+    one, two = refs.select(*group, F.col("key_").alias("s")), first.select(*group, F.col("low_").alias("b"))
+    inner = contained(one, two, group).select(*group, F.col("s").alias("key_"), F.col("b").alias("low_"))
+    outer = contained(two.withColumnRenamed("b", "s"), one.withColumnRenamed("s", "b"), group).select(*group, F.col("b").alias("key_"), F.col("s").alias("low_"))
+    same = refs.select(*group, "key_", F.col("key_").alias("low_"))
+    pairs = inner.unionByName(outer).unionByName(same).distinct().join(first, [*group, "low_"])
+    order = F.struct(F.when(F.col("low_") == F.col("key_"), 0).otherwise(1), "pos_")
+    best = pairs.groupBy(*group, "key_").agg(F.min_by("name_", order).alias("resolved"))
+    keyed = links.withColumn("key_", F.lower(F.trim(F.col(ref))))
+    return keyed.join(best, [*group, "key_"], "left").select(*links.columns, "resolved")
 
 
 def best_match(queries: DataFrame, candidates: DataFrame, least_set: float = 85, least_sort: float = 70, margin: float = 5) -> DataFrame:
@@ -98,7 +123,7 @@ def records_for_areas(areas: DataFrame, records: DataFrame, most: int = 6) -> Da
 def containing(records: DataFrame, terms: DataFrame, hay: str, most: int | None = None) -> DataFrame:
     """Pairs of terms (term_id, term), a list of settings, and records (seq, hay) that contain them, case aside; per term the first
     ``most`` in order."""
-    pairs = records.join(F.broadcast(terms), F.contains(F.lower(hay), F.lower("term"))).select("term_id", "term", "seq")
+    pairs = records.join(few(terms), F.contains(F.lower(hay), F.lower("term"))).select("term_id", "term", "seq")
     if most is None:
         return pairs
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("term_id").orderBy("seq"))).where(F.col("rank") <= most)
@@ -108,7 +133,7 @@ def mutual(records: DataFrame, terms: DataFrame, items: str) -> DataFrame:
     """Pairs of terms and records one of whose ``items`` contains the term or is contained in it."""
     low = F.lower("term")
     some = F.exists(F.col(items), lambda x: F.contains(F.lower(x), low) | F.contains(low, F.lower(x)))
-    return records.join(F.broadcast(terms), some).select("term_id", "term", "seq")
+    return records.join(few(terms), some).select("term_id", "term", "seq")
 
 
 def survey_titles(df: DataFrame, per_topic: int = 12, most_topics: int = 500) -> DataFrame:

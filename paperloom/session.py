@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch for a Python worker, where the session has its default of 64 MB: a task holds few batches at a time.
 BATCH = "16m"
@@ -58,3 +59,10 @@ def discard(df: DataFrame) -> None:
         path = jvm.org.apache.hadoop.fs.Path(file).getParent()
         if own in path.toString():
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def listed(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """A list of settings, to be broadcast: its rows are counted first, and more than ``most`` are an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a list of settings has more than {most} rows: {df.columns}")
+    return F.broadcast(df)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..functions.numbers import round_half_up
 from ..functions.text import blank, diagram_label, normalized_title
+from ..session import listed
 
 # Columns of an exported record, in order.
 PAPER_COLUMNS = (
@@ -63,8 +64,11 @@ def summary_rows(ranked: DataFrame, summaries: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, order: str = "rank") -> None:
-    """One file in order: a report, sorted by range and not by one task, then joined."""
-    df.orderBy(order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A report in order, sorted by range: files whose names follow the order, one for each range of rows, the first with the first row.
+
+    A report of a few thousand rows is one file, since small ranges are coalesced; a larger one is never gathered in a task.
+    """
+    df.orderBy(order).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -145,8 +149,9 @@ def run_name(topics: list[str], day: str, taken: set[str]) -> str:
 # -- documents ---------------------------------------------------------------------------------------------------------
 
 
-def payload(df: DataFrame) -> str:
-    """A prepared, small table as JSON that may stand inside a script element."""
+def payload(df: DataFrame, most: int = 20_000) -> str:
+    """A prepared, small table as JSON that may stand inside a script element; more than ``most`` rows are an error."""
+    df = listed(df, most)
     return "[" + ",".join(r[0] for r in df.select(F.to_json(F.struct(*df.columns))).collect()).replace("</", "<\\/") + "]"
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.text import cache_key
 from ..operators.ranking import round_robin
 from ..schema import RECORD
+from ..session import listed
 
 
 def request_key() -> Column:
@@ -21,7 +22,7 @@ def request_key() -> Column:
 def fan_out(queries: DataFrame, sources: list[str], slow: str = "arxiv", slow_queries: int = 5) -> DataFrame:
     """Every query (seq, topic, query) at every source (a short list); the slow source gets few queries, topics in turn."""
     spark = queries.sparkSession
-    fast = queries.join(F.broadcast(spark.createDataFrame([(s,) for s in sources if s != slow] or [("",)], "source string"))).where("source <> ''")
+    fast = queries.join(listed(spark.createDataFrame([(s,) for s in sources if s != slow] or [("",)], "source string"))).where("source <> ''")
     if slow not in sources:
         return fast
     return fast.unionByName(round_robin(queries, slow_queries).withColumn("source", F.lit(slow)).select(*fast.columns))
