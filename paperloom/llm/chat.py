@@ -112,7 +112,8 @@ def format_conversations(rows: DataFrame, path: str, pattern: str, learned_role:
     """conv_id, ids, mask and formatted text of each conversation of rows (conv_id, turn, role, text).
 
     Turns are encoded where they lie; only their ids are shuffled, to the conversation's task, and assembled from the
-    sorted stream one conversation at a time.
+    sorted stream one conversation at a time.  A conversation is one row of the result, so it has to fit a row (2 GB) and is
+    the most that a task holds at once; conversations that come in any number are no burden, one of any length is.
     """
 
     def encoded(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

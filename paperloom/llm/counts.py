@@ -5,8 +5,9 @@ forward[i - length] + log p(piece).  forward[i] depends on the first i code poin
 share it.  Distinct pre-tokens are inserted in a trie whose nodes hold the forward score and the count of the prefix they
 stand for, computed once when the node is made; a pre-token's count is stored at its terminal node.
 
-The pieces come from a public vocabulary; p falls with the piece's rank as Zipf's law has it.  A code point that no piece
-covers costs its UTF-8 bytes.  Pre-tokens are runs of `[^\\x20\\x09-\\x0D]`, each marked with "▁" as its beginning; white space
+p is the piece's score where the file is a unigram model.  The registered query's file is not, since no public vocabulary here
+has unigram probabilities: there p falls with the piece's rank as Zipf's law has it, so its counts are those of the best path
+under that law and not those that the file's own merges would give.  A code point that no piece covers costs its UTF-8 bytes.  Pre-tokens are runs of `[^\\x20\\x09-\\x0D]`, each marked with "▁" as its beginning; white space
 is not counted.
 
 Defined results: null and empty texts have no pre-token and no token; pre-tokens of any length are counted whole; repeated
@@ -108,14 +109,21 @@ class Trie:
         return self.insert(word) if found is None else found
 
 
+def probabilities(scored: list[tuple[str, float]]) -> dict[str, float]:
+    """Log-probabilities of pieces: their scores, or Zipf's law over their order where scores are ranks, that is, whole numbers."""
+    if any(score != int(score) for _, score in scored):
+        return dict(scored)
+    return zipf([piece for piece, _ in sorted(scored, key=lambda x: -x[1])])
+
+
 @lru_cache(maxsize=2)
 def trie(path: str) -> Trie:
-    """This worker's trie over the pieces of a sentencepiece model, ranked as the model scores them."""
+    """This worker's trie over the pieces of a sentencepiece model."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     own = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-    return Trie(zipf([model.id_to_piece(i) for i in sorted(own, key=lambda i: (-model.get_score(i), i))]))
+    return Trie(probabilities([(model.id_to_piece(i), model.get_score(i)) for i in own]))
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,7 +141,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 
 def op3_token_counts(spark, sf_dir):
-    """Pre-tokens and tokens of every document."""
+    """Pre-tokens of every document, and pieces on their best paths under Zipf's law over the ranks of a public vocabulary."""
     import public_tokenizers
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

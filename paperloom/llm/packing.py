@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Tokens of a sequence, id that ends a document, documents and tokens of a shard, terms of a query (no limit).
-WINDOW, END, SHARD_DOCS, SHARD_TOKENS, QUERY_TERMS = 2048, 1, 2048, 2_000_000, float("inf")
+#: Tokens of a sequence, id that ends a document, documents and tokens of a shard.
+WINDOW, END, SHARD_DOCS, SHARD_TOKENS = 2048, 1, 2048, 2_000_000
 #: BM25's saturation and length normalisation.
 K1, B = 1.2, 0.75
 #: Runs and pre-tokens whose ids a worker remembers.
