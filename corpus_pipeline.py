@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.  Every stage
 reads its input as a table, so none repeats the work of those before it, and a lost executor costs a reread.
+
+Defined results: null and empty texts are scored like empty ones, are one near-duplicate class, and are packed as an end id alone;
+repeated rows are kept or rejected alike, and one of each class stays; null ids are kept; without both labels a filter keeps all
+documents (scores 0 and 0.5 are on the keeping side); extra columns are kept by all stages but the last; an empty table gives no piece.
+The order within shards of the last stage follows the table that the stage before wrote, which a lost task rereads.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import minhash, packing, pii, quality, toxicity
-from paperloom.llm.common import materialize, table
+from paperloom.llm.common import discard, materialize, table
 from paperloom.session import importable
 
 
@@ -58,6 +63,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the table of documents."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
