@@ -160,8 +160,8 @@ def gap_order(gaps: DataFrame, score: str = "opportunity_score", pos: str = "pos
 
 
 def per_topic(df: DataFrame, topics: str = "topic_queries") -> DataFrame:
-    """Records of each topic, by their first: topic, n_records; records without a topic count under the empty one."""
-    first = F.coalesce(F.get(F.col(topics), F.lit(0)), F.lit(""))
+    """Records of each topic, by their first: topic, n_records; those without one are uncategorised."""
+    first = F.coalesce(F.get(F.col(topics), F.lit(0)), F.lit("Uncategorised"))
     return df.groupBy(first.alias("topic")).agg(F.count("*").alias("n_records"))
 
 

@@ -16,46 +16,37 @@ from ..functions import scores
 from ..functions.text import blank, response_key, truncate
 from ..schema import ARCHITECTURE_LISTS, SUMMARY_LISTS
 from ..session import importable
+from .prompts import prompt
 
 
 @dataclass(frozen=True)
 class Pass:
-    """A kind of call: its name, the parts of its key, and the prompt."""
+    """A kind of call: its name and the parts of its key, SQL expressions over the columns of its rows."""
 
     name: str
     key: tuple[str, ...]
-    prompt: str
 
 
-def first_abstract(n: int) -> str:
-    return f"substring(coalesce(abstract, ''), 1, {n})"
-
-
-#: The passes at the grain of a record; keys and prompts are SQL expressions over its columns.
+_TITLES = ("topic", "array_join(array_sort(titles), ',')", "model")
+#: The passes and their keys; :mod:`.prompts` has what is asked.
 PASSES = {
     p.name: p
     for p in (
-        Pass("summary", ("title", "abstract", "model"), f"concat_ws('\n', 'Summarise this survey as JSON.', concat('Title: ', title), concat('Abstract: ', {first_abstract(4000)}))"),
-        Pass("judge", ("title", "abstract", "research_scope", "array_join(array_sort(topic_queries), ',')", "model", "version"), f"concat_ws('\n', 'Assess this survey as JSON.', concat('Topics: ', array_join(topic_queries, ', ')), concat('Title: ', title), concat('Abstract: ', {first_abstract(4000)}))"),
-        Pass("architecture", ("title", "abstract", "array_join(array_sort(slice(taxonomy, 1, 8)), ',')", "model", "version"), f"concat_ws('\n', 'Describe the structure of this survey as JSON.', concat('Title: ', title), concat('Abstract: ', {first_abstract(4000)}), concat('Taxonomy: ', to_json(slice(taxonomy, 1, 8))))"),
-        Pass("comparison", ("topic", "array_join(array_sort(titles), ',')", "model"), "concat_ws('\n', 'Compare these surveys as JSON.', topic, array_join(titles, '\n'))"),
-        Pass("queries", ("topic",), "concat_ws('\n', 'Return ten search queries as a JSON array.', topic)"),
-        Pass("query_validation", ("topic", "array_join(queries, ',')"), "concat_ws('\n', 'Return a JSON array of true and false, one for each query.', topic, array_join(queries, '\n'))"),
-        Pass("relevance", ("topic", "array_join(titles, ',')"), "concat_ws('\n', 'Return a JSON array of true and false, one for each paper.', topic, array_join(titles, '\n'))"),
-        Pass("synthesis", ("topic", "array_join(array_sort(titles), ',')", "model"), "concat_ws('\n', 'Synthesise the field as JSON.', topic, array_join(titles, '\n'))"),
-        Pass("system_design", ("topic", "array_join(array_sort(titles), ',')", "model"), "concat_ws('\n', 'Propose a layered system design as JSON.', topic)"),
-        Pass("reading_path", ("topic", "array_join(array_sort(titles), ',')", "model"), "concat_ws('\n', 'Propose a reading path as JSON.', topic, array_join(titles, '\n'))"),
-        Pass("landmarks", ("lower(topic)", "model", "version"), "concat_ws('\n', 'Name the landmark papers as a JSON array.', topic)"),
-        Pass("concept_graph", ("topic", "array_join(array_sort(titles), ',')", "model"), "concat_ws('\n', 'Extract a concept graph as JSON.', topic)"),
-        Pass("field_guide", ("topic", "array_join(array_sort(titles), ',')", "model"), "concat_ws('\n', 'Write a field guide as JSON.', topic)"),
-        Pass("mind_map", ("topic", "array_join(array_sort(titles), ',')", "model"), "concat_ws('\n', 'Draw a mind map.', topic)"),
+        Pass("summary", ("title", "abstract", "model")),
+        Pass("judge", ("title", "abstract", "research_scope", "array_join(array_sort(topic_queries), ',')", "model", "version")),
+        Pass("architecture", ("title", "abstract", "array_join(array_sort(slice(taxonomy, 1, 8)), ',')", "model", "version")),
+        Pass("queries", ("topic",)),
+        Pass("query_validation", ("topic", "array_join(queries, ',')")),
+        Pass("relevance", ("topic", "array_join(titles, ',')")),
+        Pass("landmarks", ("lower(topic)", "model", "version")),
+        *(Pass(name, _TITLES) for name in ("comparison", "synthesis", "system_design", "reading_path", "concept_graph", "field_guide", "mind_map")),
     )
 }
 
 
 def keyed(df: DataFrame, kind: Pass) -> DataFrame:
     """Add the key and the prompt of a pass."""
-    return df.withColumns({"key": response_key(F.lit(kind.name), *[F.expr(k) for k in kind.key]), "prompt": F.expr(kind.prompt)})
+    return df.withColumns({"key": response_key(F.lit(kind.name), *[F.expr(k) for k in kind.key]), "prompt": prompt(df, kind.name)})
 
 
 def replay(df: DataFrame, responses: DataFrame, kind: Pass) -> tuple[DataFrame, DataFrame]:

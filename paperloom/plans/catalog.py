@@ -257,7 +257,7 @@ def q_gap_order(spark, sf):
     return ranking.gap_order(p, pos="seq").select("topic", "seq", "place")
 
 
-@query("SELECT CASE WHEN doc_id % 10 = 0 THEN '' ELSE lang END AS topic, count(*) AS n_records FROM documents GROUP BY 1")
+@query("SELECT CASE WHEN doc_id % 10 = 0 THEN 'Uncategorised' ELSE lang END AS topic, count(*) AS n_records FROM documents GROUP BY 1")
 def q_records_per_topic(spark, sf):
     none = F.array().cast("array<string>")
     d = read(spark, sf, "documents").select(F.when(F.col("doc_id") % 10 == 0, none).otherwise(F.array(F.col("lang"), F.lit("other"))).alias("topic_queries"))

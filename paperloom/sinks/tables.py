@@ -155,17 +155,39 @@ def payload(df: DataFrame, most: int = 20_000) -> str:
     return "[" + ",".join(r[0] for r in df.select(F.to_json(F.struct(*df.columns))).collect()).replace("</", "<\\/") + "]"
 
 
-def markdown(groups: DataFrame) -> str:
-    """Rows (topic, rank, title, year, venue, quality_score, taxonomy, main_findings, datasets) as one section for each topic."""
-    out, last = ["# Survey report", ""], None
-    for r in groups.orderBy("topic", "rank").toLocalIterator():
-        if r["topic"] != last:
-            last = r["topic"]
-            out += [f"## {last.title()}", ""]
-        out += [f"### {r['rank']}. {r['title']}", "", f"*{r['venue'] or 'unknown venue'}, {r['year'] or 'n.d.'}* — score {r['quality_score']:.2f}", ""]
-        for name, most in (("taxonomy", 5), ("main_findings", 3), ("datasets_and_benchmarks", 5)):
-            if r[name]:
-                out += [f"**{name.replace('_', ' ').capitalize()}**", "", *(f"- {x}" for x in r[name][:most]), ""]
+def markdown_rows(ranked: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Ranked records by their first topic with what their section shows: rank within the topic, lists cut, at most three keywords of
+    each class and ten in all.  Of summaries of one title the last by ``pos`` counts."""
+    from ..operators.ranking import top_per_group
+
+    one = summaries.groupBy("paper_title").agg(F.max_by(F.struct(*[c for c in summaries.columns if c != "paper_title"]), "pos").alias("s"))
+    topic = F.coalesce(F.get("topic_queries", F.lit(0)), F.lit("Uncategorised"))
+    rows = ranked.withColumn("topic", topic).join(one, F.col("title") == F.col("paper_title"), "left")
+    ok = F.col("s").isNotNull() & ~F.coalesce(F.col("s.summarization_failed"), F.lit(False))
+    said = lambda c: F.when(ok, F.col(f"s.{c}"))
+    words = F.slice(F.flatten(F.transform(F.map_values(said("keywords")), lambda v: F.slice(v, 1, 3))), 1, 10)
+    cells = {c: said(c) for c in ("research_scope", "core_problem")} | {c: F.slice(said(c), 1, n) for c, n in (("taxonomy", 5), ("main_findings", 3), ("datasets_and_benchmarks", 5))}
+    cells |= {"keywords": words, "failure": F.when(F.coalesce(F.col("s.summarization_failed"), F.lit(False)), F.coalesce("s.failure_reason", F.lit("unknown")))}
+    placed = top_per_group(rows.withColumns(cells), "topic", 2**31 - 1, F.col("rank"), name="place")
+    return placed.select("topic", "place", *[c for c in ("title", "year", "venue", "quality_score", "citation_count", "url", "arxiv_id") if c in ranked.columns], *cells)
+
+
+def markdown(rows: DataFrame) -> str:
+    """:func:`markdown_rows` as one section for each topic, topics in order, with the number of its records."""
+    topics: dict[str, list[dict]] = {}
+    for r in rows.orderBy("topic", "place").toLocalIterator():
+        topics.setdefault(r["topic"], []).append(r.asDict())
+    out = ["# Survey report", "", f"*{sum(map(len, topics.values()))} records on {len(topics)} topics*", ""]
+    for topic, own in topics.items():
+        out += [f"## {topic.title()}", "", f"*{len(own)} records, best first*", ""]
+        for r in own:
+            facts = {
+                "Year": r.get("year") or "unknown", "Venue": r.get("venue") or "unknown", "Quality score": r.get("quality_score"), "Citations": r.get("citation_count"), "Address": r.get("url"),
+                "arXiv": r.get("arxiv_id") and f"https://arxiv.org/abs/{r['arxiv_id']}", "Scope": r.get("research_scope"), "Core problem": r.get("core_problem"),
+                "Taxonomy": ", ".join(r.get("taxonomy") or []), "Findings": "".join(f"\n  - {x}" for x in r.get("main_findings") or []),
+                "Benchmarks": ", ".join(r.get("datasets_and_benchmarks") or []), "Keywords": ", ".join(r.get("keywords") or []), "No summary": r.get("failure"),
+            }
+            out += [f"### {r['place']}. {r['title']}", "", *(f"- **{k}:** {v}".replace(":** \n", ":**\n") for k, v in facts.items() if v not in (None, "")), ""]
     return "\n".join(out)
 
 

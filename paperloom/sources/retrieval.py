@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,14 +105,43 @@ class SearchReader(DataSourceReader):
     def read(self, partition):
         if not partition.query:
             return
-        try:
-            found = list(self.fetch(partition.query))
-        except Exception:  # noqa: BLE001  a service that fails contributes nothing
-            found = []
-        for raw in found:
+        for raw in attempted(lambda: list(self.fetch(partition.query))) or []:
             yield partition.source, partition.query, raw
 
 
+# Attempts at a request, and the least and greatest seconds between them.
+ATTEMPTS, LEAST_WAIT, MOST_WAIT = 3, 2.0, 15.0
+
+
+def attempted(call, attempts: int = ATTEMPTS, sleep=time.sleep):
+    """What ``call`` returns, tried again after waits that double; None if it fails to the end: a service that fails contributes nothing."""
+    for k in range(attempts):
+        try:
+            return call()
+        except Exception:  # noqa: BLE001
+            if k + 1 < attempts:
+                sleep(min(MOST_WAIT, LEAST_WAIT * 2**k))
+    return None
+
+
+class RecordedReader(SearchReader):
+    """Recorded replies: under ``path``, a folder that all executors see, one file for each query, named by its key, with an item a line."""
+
+    def __init__(self, options):
+        super().__init__(options)
+        self.path = options.get("path", "")
+
+    @staticmethod
+    def file(query: str) -> str:
+        return hashlib.sha256(query.encode()).hexdigest()[:16] + ".jsonl"
+
+    def fetch(self, query: str) -> Iterator[str]:
+        path = Path(self.path) / self.file(query)
+        if path.exists():
+            with path.open(encoding="utf-8") as lines:
+                yield from (x for x in map(str.strip, lines) if x)
+
+
 class SearchSource(DataSource):
     """``spark.read.format(name)`` over a service; register a subclass with ``reader_class`` set."""
 
@@ -126,6 +158,16 @@ class SearchSource(DataSource):
         return self.reader_class(self.options)
 
 
+class RecordedSource(SearchSource):
+    """``spark.read.format("recorded")`` with the options path, source and queries (one a line)."""
+
+    reader_class = RecordedReader
+
+    @classmethod
+    def name(cls) -> str:
+        return "recorded"
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Scored records as JSON lines; blank and malformed lines are dropped, missing fields get their defaults."""
     from pyspark.sql import types as T

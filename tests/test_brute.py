@@ -124,7 +124,7 @@ def test_small_aggregates(spark):
     gaps = spark.createDataFrame([("t", "a", 0, 0.2), ("t", "b", 1, None), ("t", "c", 2, 0.9), ("t", "d", 3, 0.9)], "topic string, gap string, pos int, opportunity_score double")
     assert [r["gap"] for r in ranking.gap_order(gaps).orderBy("place").collect()] == ["c", "d", "a", "b"]
     df = spark.createDataFrame([(["x", "y"],), (["x"],), ([],), (None,)], "topic_queries array<string>")
-    assert {r["topic"]: r["n_records"] for r in ranking.per_topic(df).collect()} == {"x": 2, "": 2}
+    assert {r["topic"]: r["n_records"] for r in ranking.per_topic(df).collect()} == {"x": 2, "Uncategorised": 2}
 
 
 def test_caches_and_files(spark, tmp_path):
@@ -181,3 +181,56 @@ def test_trees_and_mind_maps(spark):
     graph = mindmaps.fallback_graph("F", {"Methods": [{"name": "a b", "coverage_count": 9}, {"name": "c"}]}, ["Datasets"], 10)
     assert 'Methods --> a_b["a b"]' in graph and '["c ⚠️"]' in graph and 'Field --> Datasets["Datasets"]' in graph
     assert mindmaps.drawn("```mermaid\nmindmap\n  x\n```") == "mindmap\n  x" and mindmaps.drawn("sorry") is None
+
+
+def test_prompts(spark):
+    from paperloom.operators import prompts, replay
+
+    rows = spark.createDataFrame([("A title", 2020, None, "word " * 2000, ["a", "b"], 0.25, ["m"] * 12), ("B", None, "V", "", None, None, None)], "title string, year int, venue string, abstract string, topic_queries array<string>, canonical_score double, main_methods array<string>")
+    first, second = (r["p"] for r in rows.select(prompts.prompt(rows, "judge").alias("p")).collect())
+    assert "Research topics: a, b" in first and "Canonical score (0 to 1): 0.250" in first and "Words of the abstract: 2000" in first and "Venue" not in first
+    assert len(first) < 4600 and "Year" not in second and "Venue: V" in second and "paper_tier" in second
+    made = rows.select(prompts.prompt(rows, "summary").alias("p"), prompts.prompt(rows, "architecture").alias("q")).collect()
+    assert "There is no abstract" in made[1]["p"] and "There is no abstract" not in made[0]["p"] and len(made[0]["p"]) > 10_000
+    assert "Methods: " + ", ".join(["m"] * 10) in made[0]["q"]
+    analysed = spark.createDataFrame([("t", 1, "Y", ["x"] * 20), ("t", 0, "X", ["y"])], "topic string, pos int, title string, covered_tasks array<string>")
+    topics = prompts.topic_rows(analysed, "comparison")
+    (row,) = topics.collect()
+    assert row["titles"] == ["X", "Y"] and row["records"].count('"x"') == 8
+    assert set(prompts.INSTRUCTIONS) == set(replay.PASSES)
+    joined = replay.keyed(topics.withColumn("model", F.lit("m")), replay.PASSES["comparison"]).first()
+    assert '"title":"X"' in joined["prompt"] and len(joined["key"]) == 16
+
+
+def test_recorded_source(spark, tmp_path):
+    from paperloom.session import importable
+    from paperloom.sources import items
+
+    importable(spark).dataSource.register(retrieval.RecordedSource)
+    (tmp_path / retrieval.RecordedReader.file("q1")).write_text('{"title":"A survey","publication_year":2020}\n\n{"title":"B"}\n')
+    rows = spark.read.format("recorded").option("path", str(tmp_path)).option("source", "openalex").option("queries", "q1\nq2").load()
+    assert [tuple(r)[:2] for r in rows.collect()] == [("openalex", "q1")] * 2
+    parsed = items.openalex(rows.withColumn("topic", F.lit("t")))
+    assert sorted(r["title"] for r in parsed.collect()) == ["A survey", "B"]
+    waits, calls = [], iter([OSError, OSError, "found"])
+
+    def call():
+        x = next(calls)
+        if x is OSError:
+            raise OSError
+        return x
+
+    assert retrieval.attempted(call, sleep=waits.append) == "found" and waits == [2.0, 4.0]
+    assert retrieval.attempted(lambda: 1 / 0, sleep=waits.append) is None
+
+
+def test_markdown_by_topic(spark):
+    from paperloom.sinks import tables
+
+    ranked = spark.createDataFrame([(1, "A", 2020, None, 9.5, 3, ["graph learning"]), (2, "B", None, "V", 8.0, 0, ["graph learning", "x"]), (3, "C", 2019, None, 7.0, 1, [])], "rank int, title string, year int, venue string, quality_score double, citation_count int, topic_queries array<string>")
+    s = spark.createDataFrame([("A", 0, "old", ["t"] * 7, ["f"] * 5, [], {"k": ["a", "b", "c", "d"], "l": ["e"]}, False, None), ("A", 1, "new", ["t"] * 7, ["f"] * 5, [], {"k": ["a", "b", "c", "d"], "l": ["e"]}, False, None), ("B", 2, "", [], [], [], {}, True, "no reply")],
+                              "paper_title string, pos int, research_scope string, taxonomy array<string>, main_findings array<string>, datasets_and_benchmarks array<string>, keywords map<string,array<string>>, summarization_failed boolean, failure_reason string").withColumn("core_problem", F.lit(""))
+    text = tables.markdown(tables.markdown_rows(ranked, s))
+    assert "*3 records on 2 topics*" in text and "## Graph Learning\n\n*2 records, best first*" in text and "## Uncategorised" in text
+    assert "### 2. B" in text and "- **No summary:** no reply" in text and "- **Scope:** new" in text and re.search(r"Keywords:\*\* (a, b, c, e|e, a, b, c)\n", text)
+    assert text.count("  - f") == 3 and "- **Taxonomy:** t, t, t, t, t\n" in text and "### 1. C" in text
