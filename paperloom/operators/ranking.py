@@ -6,6 +6,9 @@ topic with a third of all records is no burden) and joined back, where a window
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +90,17 @@ def with_rank(df: DataFrame, *order: Column, name: str = "rank", partitions: int
     return joined.select(*[c for c in df.columns if c != name], (F.col("before_") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))
 
 
+def place_in_group(df: DataFrame, group: str | list[str], *order: Column, name: str = "place") -> DataFrame:
+    """Add the place of each row in its group, from 1: the ranks of all rows by group and order, less those of the groups before, so that
+    a group with a large share of the rows is dealt over many tasks."""
+    keys = [group] if isinstance(group, str) else group
+    ranked = with_rank(df.select(*[c for c in df.columns if c != name]), *[F.col(k) for k in keys], *order, name=name)
+    first = ranked.groupBy(*keys).agg((F.min(name) - 1).alias("paperloom_before"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    both = ranked.alias("a").join(first.alias("b"), reduce(and_, same))
+    return both.select(*[F.col(f"a.{c}").alias(c) for c in ranked.columns if c != name], (F.col(f"a.{name}") - F.col("b.paperloom_before")).alias(name))
+
+
 def quality_rank(df: DataFrame, score: str = "quality_score", seq: str = "seq") -> DataFrame:
     """Add rank: score descending, then arrival."""
     return with_rank(df, F.desc(score), F.col(seq))
@@ -137,9 +151,10 @@ def round_robin(df: DataFrame, k: int, topic: str = "topic", seq: str = "seq") -
 
 
 def runner_up(df: DataFrame, query: str, score: str, *ties: Column) -> DataFrame:
-    """The best row of each query with the score of the second, 0 if there is none."""
-    w = Window.partitionBy(query).orderBy(F.desc(score), *ties)
-    return df.withColumns({"n_": F.row_number().over(w), "second": F.coalesce(F.lead(score).over(w), F.lit(0.0))}).where("n_ = 1").drop("n_")
+    """The best row of each query with the score of the second, 0 if there is none; all but two are cut in each task."""
+    two = top_per_group(df, query, 2, F.desc(score), *ties, name="n_")
+    best = two.groupBy(query).agg(F.min_by(F.struct(*df.columns), "n_").alias("r_"), F.max(F.when(F.col("n_") == 2, F.col(score))).alias("second"))
+    return best.select("r_.*", F.coalesce("second", F.lit(0.0)).alias("second"))
 
 
 def tier_conflicts(df: DataFrame) -> DataFrame:
@@ -149,14 +164,12 @@ def tier_conflicts(df: DataFrame) -> DataFrame:
 
 def coverage_order(df: DataFrame, group: str, count: str = "coverage_count", pos: str = "pos") -> DataFrame:
     """Add place: most covered first, unknown counts last, ties in the given order."""
-    w = Window.partitionBy(group).orderBy(F.desc(F.coalesce(F.col(count), F.lit(-1))), pos)
-    return df.withColumn("place", F.row_number().over(w))
+    return place_in_group(df, group, F.desc(F.coalesce(F.col(count), F.lit(-1))), F.col(pos))
 
 
 def gap_order(gaps: DataFrame, score: str = "opportunity_score", pos: str = "pos", group: str = "topic") -> DataFrame:
     """Add place: per topic the greatest opportunity first, unknown ones last, ties in the given order."""
-    w = Window.partitionBy(group).orderBy(F.desc_nulls_last(score), pos)
-    return gaps.withColumn("place", F.row_number().over(w))
+    return place_in_group(gaps, group, F.desc_nulls_last(score), F.col(pos))
 
 
 def per_topic(df: DataFrame, topics: str = "topic_queries") -> DataFrame:

@@ -52,17 +52,15 @@ def cache_statistics(requests: DataFrame, cache: DataFrame) -> DataFrame:
 def gather(*sources: DataFrame) -> DataFrame:
     """Records of several services for one topic (topic_no, variant_no, title, citation_count, …) with a survey's title, the most cited
     first within each variant: rank, ties by source and title."""
-    from pyspark.sql import Window
-
     from ..functions.text import any_term
+    from ..operators.ranking import place_in_group
 
     rows = None
     for k, df in enumerate(sources):
         one = df.withColumn("source_", F.lit(k))
         rows = one if rows is None else rows.unionByName(one)
-    order = Window.partitionBy("topic_no", "variant_no").orderBy(F.desc("citation_count"), "source_", "title")
     good = rows.where(any_term(F.lower("title"), ("survey", "review", "overview", "taxonomy")))
-    return good.withColumn("rank", F.row_number().over(order)).drop("source_")
+    return place_in_group(good, ["topic_no", "variant_no"], F.desc("citation_count"), F.col("source_"), F.col("title"), name="rank").drop("source_")
 
 
 def template_queries(topics: DataFrame, terms: tuple[str, ...] = ("survey", "review", "systematic review", "overview", "taxonomy")) -> DataFrame:

@@ -234,3 +234,14 @@ def test_markdown_by_topic(spark):
     assert "*3 records on 2 topics*" in text and "## Graph Learning\n\n*2 records, best first*" in text and "## Uncategorised" in text
     assert "### 2. B" in text and "- **No summary:** no reply" in text and "- **Scope:** new" in text and re.search(r"Keywords:\*\* (a, b, c, e|e, a, b, c)\n", text)
     assert text.count("  - f") == 3 and "- **Taxonomy:** t, t, t, t, t\n" in text and "### 1. C" in text
+
+
+def test_places_in_groups(spark):
+    rows = [(None if k % 3 == 0 else k % 4, k * 7919 % 1000, k, "kept") for k in range(3000)]
+    df = spark.createDataFrame(rows, "g int, score int, seq int, place string").repartition(5)
+    got = {r["seq"]: r["place"] for r in ranking.place_in_group(df, "g", F.desc("score"), F.col("seq")).collect()}
+    want, seen = {}, defaultdict(int)
+    for g, _, seq, _ in sorted(rows, key=lambda r: (-r[1], r[2])):
+        seen[g] += 1
+        want[seq] = seen[g]
+    assert got == want
