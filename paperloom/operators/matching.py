@@ -88,21 +88,27 @@ def find_records(fragments: DataFrame, records: DataFrame, least: float = 70, ma
     """For each title fragment (topic, fid, fragment) the record (topic, seq, title) it means, if that is clear.
 
     A title that equals, or contains or is contained in, the fragment (the contained one over ``long`` characters) wins, first in
-    order; else the record whose telling words are most alike, if it is ``margin`` ahead of the second.  Both sides are the
-    references and records of one topic's report.
+    order; these meet by :func:`contained`.  For the rest it is the record whose telling words are most alike, if it is ``margin`` ahead of
+    the second.  That ratio is of characters, which no key blocks without loss, so a topic's remaining references are rated against all
+    of its records: both are those of one report.
     """
     importable(fragments.sparkSession)
-    pairs = fragments.where(F.trim("fragment") != "").join(records.select("topic", "seq", "title"), "topic")
-    f, t = F.lower(F.trim("fragment")), F.lower("title")
-    sure = (f == t) | ((F.length(f) > long) & F.contains(t, f)) | ((F.length(t) > long) & F.contains(f, t))
-    contained = pairs.where(sure).groupBy("topic", "fid").agg(F.min("seq").alias("seq"))
-    rest = pairs.join(contained, ["topic", "fid"], "left_anti")
+    asked = fragments.where(F.trim("fragment") != "").withColumn("f_", F.lower(F.trim("fragment")))
+    known = records.select("topic", "seq", "title", F.lower("title").alias("t_"))
+    texts, titles = asked.select("topic", F.col("f_").alias("s")), known.select("topic", F.col("t_").alias("b"))
+    inside = contained(texts.where(F.length("s") > long), titles, ["topic"]).select("topic", F.col("s").alias("f_"), F.col("b").alias("t_"))
+    around = contained(titles.where(F.length("b") > long).withColumnRenamed("b", "s"), texts.withColumnRenamed("s", "b"), ["topic"]).select("topic", F.col("b").alias("f_"), F.col("s").alias("t_"))
+    same = texts.select("topic", F.col("s").alias("f_"), F.col("s").alias("t_"))
+    first = known.groupBy("topic", "t_").agg(F.min("seq").alias("seq"))
+    sure = inside.unionByName(around).unionByName(same).join(first, ["topic", "t_"]).groupBy("topic", "f_").agg(F.min("seq").alias("seq"))
+    found = asked.select("topic", "fid", "f_").join(sure, ["topic", "f_"]).select("topic", "fid", "seq")
+    rest = asked.drop("f_").join(found, ["topic", "fid"], "left_anti").join(known.drop("t_"), "topic")
     signed = rest.withColumns({"f_": text.title_signature("fragment"), "t_": text.title_signature("title")}).where("f_ <> ''")
     rated = signed.withColumn("score", fuzzy.columns()["token_set_ratio"]("f_", "t_"))
     w = Window.partitionBy("topic", "fid").orderBy(F.desc("score"), "seq")
     clear = rated.withColumns({"n_": F.row_number().over(w), "second": F.coalesce(F.lead("score").over(w), F.lit(0.0))})
     likely = clear.where((F.col("n_") == 1) & (F.col("score") >= least) & (F.col("score") - F.col("second") >= margin))
-    return contained.unionByName(likely.select("topic", "fid", "seq"))
+    return found.unionByName(likely.select("topic", "fid", "seq"))
 
 
 def area_tokens(name: Column | str) -> Column:
