@@ -53,6 +53,7 @@ class ByteCoder:
             self.bytes_of[rank] = token
         self.known: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.merged: dict[bytes, list[bytes]] = {}
 
     # -- one match -------------------------------------------------------------------------------------------------
 
@@ -91,6 +92,16 @@ class ByteCoder:
                     heapq.heappush(heap, (r, a, live[a] + live[b]))
         return [x for x in live if x]
 
+    def short(self, piece: bytes) -> list[bytes]:
+        """:func:`merge`, remembered for leaves and the windows between them."""
+        if len(piece) > 2 * self.piece_leaf:
+            return self.merge(piece)
+        if (found := self.merged.get(piece)) is None:
+            if len(self.merged) > REMEMBERED // 2:
+                self.merged.clear()
+            found = self.merged[piece] = self.merge(piece)
+        return found
+
     def stands(self, a: bytes, b: bytes) -> bool:
         """Whether the tokens ``a`` and ``b`` are the encoding of their own bytes."""
         if (found := self.pairs.get((a, b))) is None:
@@ -105,7 +116,7 @@ class ByteCoder:
             return a + b
         i = j = 1
         while True:
-            window = self.merge(b"".join(a[len(a) - i :] + b[:j]))
+            window = self.short(b"".join(a[len(a) - i :] + b[:j]))
             left = i == len(a) or self.stands(a[-i - 1], window[0])
             right = j == len(b) or self.stands(window[-1], b[j])
             if left and right:
@@ -115,7 +126,7 @@ class ByteCoder:
     def tokens(self, piece: bytes) -> list[bytes]:
         """The encoding of one match: halves recursively, then joined."""
         if len(piece) <= self.piece_leaf:
-            return self.merge(piece)
+            return self.short(piece)
         half = len(piece) // 2
         return self.join_tokens(self.tokens(piece[:half]), self.tokens(piece[half:]))
 
@@ -133,48 +144,45 @@ class ByteCoder:
 
     # -- a text ----------------------------------------------------------------------------------------------------
 
-    def leaf(self, text: str) -> tuple[list[str], list[tuple[int, ...]]]:
-        """Matches and their ids of a short text."""
-        pieces = self.find(text)
-        known = self.known
-        try:
-            return pieces, [known[p] for p in pieces]
-        except KeyError:
-            return pieces, [self.code(p) for p in pieces]
-
-    def join(self, a, b):
-        """Matches and ids of two neighbouring texts as of one text."""
-        (pieces, codes), (after, after_codes) = a, b
-        if not pieces or not after:
-            return pieces + after, codes + after_codes
-        i = len(pieces) - 1
-        while i and sum(map(len, pieces[i:])) < 2:
+    def join(self, a: list[str], b: list[str]) -> list[str]:
+        """Matches of two neighbouring texts as of one text."""
+        if not a or not b:
+            return a + b
+        i = len(a) - 1
+        while i and sum(map(len, a[i:])) < 2:
             i -= 1
-        tail, j = "".join(pieces[i:]), 2
+        tail, j = "".join(a[i:]), 2
         while True:
-            window = tail + "".join(after[:j])
-            whole = j >= len(after)
+            window = tail + "".join(b[:j])
+            whole = j >= len(b)
             found = self.find(window)
             there, at = {len(tail): 0}, len(tail)
-            for k, p in enumerate(after[:j], 1):
+            for k, p in enumerate(b[:j], 1):
                 at += len(p)
                 there[at] = k
-            at = 0
+            at, last = 0, len(window) if whole else len(window) - 2
             for k, p in enumerate(found, 1):
                 at += len(p)
-                if at in there and (whole or at <= len(window) - 2):
-                    found, skip = found[:k], there[at]
-                    return pieces[:i] + found + after[skip:], codes[:i] + [self.code(p) for p in found] + after_codes[skip:]
+                if at in there and at <= last:
+                    return a[:i] + found[:k] + b[there[at] :]
             j *= 2
 
-    def tree(self, text: str):
+    def tree(self, text: str) -> list[str]:
+        """The matches of a text: halves recursively, then joined."""
         if len(text) <= self.text_leaf:
-            return self.leaf(text)
+            return self.find(text)
         half = len(text) // 2
         return self.join(self.tree(text[:half]), self.tree(text[half:]))
 
+    def codes(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each match; new ones are encoded as trees of their own."""
+        try:
+            return list(map(self.known.__getitem__, pieces))
+        except KeyError:
+            return list(map(self.code, pieces))
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.tree(text)[1]))
+        return list(chain.from_iterable(self.codes(self.tree(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= self.text_leaf:

@@ -37,9 +37,9 @@ def test_join_is_associative():
     rng = random.Random(5)
     for _ in range(100):
         parts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(1, 8))) for _ in range(3)]
-        a, b, c = map(SMALL.leaf, parts)
+        a, b, c = map(SMALL.find, parts)
         left, right = SMALL.join(SMALL.join(a, b), c), SMALL.join(a, SMALL.join(b, c))
-        assert left == right == SMALL.leaf("".join(parts))
+        assert left == right == SMALL.find("".join(parts))
 
 
 def test_query(spark, sf):
