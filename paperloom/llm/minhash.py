@@ -40,8 +40,8 @@ from .common import discard, materialize, table
 
 #: Words of a shingle, least similarity, bands, coordinates of a band.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
-#: Members of a pivot that are compared in one go.
-CHUNK = 256
+#: Members of a pivot that are compared in one go; rows that are broadcast at most (24 bytes each); differences that go along with each.
+CHUNK, BROADCAST_ROWS, CARRIED = 256, 400_000, 128
 
 _U = np.uint64
 _BASE, _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0xD6E8FEB86659FD93)
@@ -190,6 +190,11 @@ def sketches(docs: DataFrame, weighted: bool = True) -> DataFrame:
 _NONE = -(2**63)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast ``df`` if its counted rows are few, so that the texts it selects aren't shuffled; else the join shuffles them."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def differences(pivot: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray], weighted: bool) -> np.ndarray:
     """Shingles of ``own`` that go beyond ``pivot``; as many of the least as another text near ``own`` must share one of.
 
@@ -226,7 +231,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, weighted: bool =
     wanted = materialize(ends.join(nodes.select("node", F.coalesce("doc_id", F.lit(_NONE)).alias("k")), "node"), "wanted")
     used.append(wanted)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = rows.join(wanted, "k").where(F.unhex(F.md5("text")) == F.col("node")).groupBy("node").agg(F.first("text").alias("text"))
+    texts = rows.join(_small(wanted), "k").where(F.unhex(F.md5("text")) == F.col("node")).groupBy("node").agg(F.first("text").alias("text"))
     texts = materialize(texts, "texts")
     used.append(texts)
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
@@ -282,18 +287,24 @@ def classes(docs: DataFrame, weighted: bool = True) -> DataFrame:
     counted = now.groupBy("a", "root").agg(F.count("*").alias("m"))
     largest = counted.groupBy("a").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1").select("a", "top")
     left = materialize(now.join(largest, "a").select("a", F.col("b").alias("node"), "size", "common", "beyond", "root", (F.col("root") != F.col("top")).alias("outside")), "left")
-    side = lambda df, c, *on: df.select(*on, F.col("node").alias(c), *(F.col(v).alias(f"{c}_{v}") for v in ("size", "common", "root", "outside")))
+    # a pair that shares several pivots, 25 at most, meets under the least of them: any would find it
+    left_of = left.join(left.groupBy("node").agg(F.collect_set("a").alias("pivots")), "node")
+    side = lambda df, c, *on: df.select(*on, F.col("node").alias(c), *(F.col(v).alias(f"{c}_{v}") for v in ("size", "common", "root", "outside", "pivots")))
     # sizes must fit, and what the pivot doesn't account for must lie within what each has beyond it
     needed = SIMILARITY / (1 + SIMILARITY) * (F.col("x_size") + F.col("y_size"))
     beyond = F.least(F.col("x_size") - F.col("x_common"), F.col("y_size") - F.col("y_common"))
     apart = (F.col("x_root") != F.col("y_root")) & (F.least("x_size", "y_size") >= SIMILARITY * F.greatest("x_size", "y_size") - 1e-9)
     apart &= (needed - F.least("x_common", "y_common") <= beyond + 1e-6) & (~F.col("x_outside") | (F.col("y") < F.col("x")))
-    # two near texts share something that the pivot doesn't have ...
-    marks = left.withColumn("mark", F.explode("beyond"))
-    one = side(marks.where("outside"), "y", "a", "mark").join(side(marks, "x", "a", "mark"), ["a", "mark"]).where(apart).select("x", "y")
+    apart &= F.col("a") == F.array_min(F.array_intersect("x_pivots", "y_pivots"))
+    # two near texts share something that the pivot doesn't have; short lists of differences go along, so that the pair meets at the
+    # least of what it shares alone and not at all of it
+    marks = left_of.select("*", F.explode("beyond").alias("mark"), F.when(F.size("beyond") <= CARRIED, F.col("beyond")).alias("list"))
+    met = F.col("x_list").isNull() | F.col("y_list").isNull() | (F.col("mark") == F.array_min(F.array_intersect("x_list", "y_list")))
+    marked = lambda df, c: side(df, c, "a", "mark", F.col("list").alias(f"{c}_list"))
+    one = marked(marks.where("outside"), "y").join(marked(marks, "x"), ["a", "mark"]).where(apart & met).select("x", "y")
     # ... or have almost all from the pivot; sizes that fit are in one step of 1 / SIMILARITY or in neighbouring ones
     step_of = F.floor(F.log(F.col("size").cast("double")) / -math.log(SIMILARITY)).cast("int")
-    inner = left.where(F.col("common") >= SIMILARITY * F.col("size") - 1e-6).withColumn("step", step_of)
+    inner = left_of.where(F.col("common") >= SIMILARITY * F.col("size") - 1e-6).withColumn("step", step_of)
     most = F.least("x_common", "y_common") >= needed - 1e-6
     around = inner.where("outside").withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
     two = side(around, "y", "a", "step").join(side(inner, "x", "a", "step"), ["a", "step"]).where(apart & most).select("x", "y")
@@ -325,7 +336,7 @@ def keep_one(docs: DataFrame, weighted: bool = True) -> DataFrame:
     chosen = materialize(chosen.select(F.col("x.k").alias("paperloom_k"), F.col("x.node").alias("paperloom_node")), "chosen")
     keyed = docs.withColumn("paperloom_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    kept = keyed.join(chosen, "paperloom_k").where(F.unhex(F.md5(text)) == F.col("paperloom_node"))
+    kept = keyed.join(_small(chosen), "paperloom_k").where(F.unhex(F.md5(text)) == F.col("paperloom_node"))
     repeated = rows.groupBy("doc_id", "node").count().where("count > 1").isEmpty()
     return (kept if repeated else kept.dropDuplicates(["paperloom_k", "paperloom_node"])).select(*docs.columns)
 
