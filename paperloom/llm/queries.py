@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, counts, fingerprints, minhash, packing, pii, quality, rules, toxicity
+from . import bpe, chat, counts, fingerprints, minhash, packing, pii, prefixes, quality, rules, toxicity
 
 QUERIES = {
     "op1_near_dedup": minhash.op1_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op13_prefix_trie": prefixes.op13_prefix_trie,
 }
 
 OP1_SQL = r"""
@@ -31,4 +32,4 @@ c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
 SELECT t.doc_id, c.root AS class_id, count(*) OVER (PARTITION BY c.root) AS class_rows FROM t JOIN u USING (text) JOIN c ON c.node = u.id
 """
 
-ORACLE_SQL = {"op1_near_dedup": OP1_SQL, "op7_quality_rules": rules.OP7_SQL, "op9_chat_formatting": chat.OP9_SQL}
+ORACLE_SQL = {"op1_near_dedup": OP1_SQL, "op7_quality_rules": rules.OP7_SQL, "op9_chat_formatting": chat.OP9_SQL, "op13_prefix_trie": prefixes.OP13_SQL}
