@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, chat, counts, fingerprints, minhash, packing, pii, prefixes, quality, rules, toxicity
+from . import alignment, bpe, chat, counts, extraction, fingerprints, minhash, packing, pii, prefixes, quality, rules, toxicity
 
 QUERIES = {
     "op1_near_dedup": minhash.op1_near_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_byte_bpe": bpe.op10_byte_bpe,
     "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
+    "op12_html_extraction": extraction.op12_html_extraction,
     "op13_prefix_trie": prefixes.op13_prefix_trie,
 }
 
