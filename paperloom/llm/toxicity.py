@@ -5,6 +5,11 @@ document with 1 - prod(1 - p), the noisy-or: one bad sentence suffices.  Only do
 their labels under the noisy-or trains the word scores, and the sentences then show where the offence is.  A word's score
 is the sum of the weights of hashed features (the word and its character 4-grams), so unseen inflections have one too.
 
+Harmless sentences aren't quite certain ones, and a noisy-or over enough of them would call any long text toxic.  So training
+also learns the background: how high the sentences of clean training documents score.  Of a text with n sentences only those count that go
+beyond the level which a clean sentence exceeds with probability ``SHARE`` / n, and only as far as they do; beyond the highest
+levels seen, an exponential tail goes on.  A short text loses next to nothing by it, and a clean text may be of any length.
+
 Training takes a bounded sample of labelled rows: at most ``PER_CLASS`` documents of each label, those with the smallest
 hashes of their ids.  Scoring takes every text whole.
 
@@ -31,6 +36,9 @@ from .common import remainder, table
 #: Documents of each label in the training sample, hashed features, remembered words of a worker.
 PER_CLASS, FEATURES, REMEMBERED = 2500, 1 << 18, 400_000
 
+#: Sentences of a clean text, of any length, that may count by chance.
+SHARE = 0.03
+
 #: Score from which a document counts as toxic; probability from which a sentence is reported.
 THRESHOLD, OFFENDING = 0.7, 0.5
 
@@ -45,19 +53,42 @@ def word_features(word: str) -> list[int]:
     return [zlib.crc32(x.encode()) % FEATURES for x in (f"={word}", *sorted(grams))]
 
 
+@dataclass
+class Background:
+    """The highest logits of sentences of clean documents, falling, of ``count`` in all."""
+
+    highest: np.ndarray
+    count: int
+
+    @classmethod
+    def of(cls, logits: np.ndarray) -> Background:
+        return cls(np.sort(logits)[::-1][: int(len(logits) * SHARE) + 1].astype(np.float32), len(logits))
+
+    def level(self, n: int) -> float:
+        """What a clean sentence exceeds with probability SHARE / n: an order statistic, or the tail beyond the 500th part."""
+        place, tail = SHARE / n * self.count, max(10, self.count // 500)
+        if tail >= len(self.highest):
+            return -math.inf
+        if place >= tail:
+            return float(self.highest[int(place)])
+        start = float(self.highest[tail])
+        return start + max(0.5, float(self.highest[:tail].mean()) - start) * math.log(tail / place)
+
+
 @dataclass
 class Model:
-    """Weights and bias; ``known`` remembers word scores where the model is used."""
+    """Weights, bias and, if it was learned, the background; ``known`` remembers word scores where the model is used."""
 
     weights: np.ndarray
     bias: float
+    background: Background | None = None
     known: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return self.weights, self.bias
+        return self.weights, self.bias, self.background
 
     def __setstate__(self, state):
-        self.weights, self.bias, self.known = *state, {}
+        self.weights, self.bias, self.background, self.known = *state, {}
 
     def word(self, word: str) -> float:
         if (found := self.known.get(word)) is None:
@@ -76,22 +107,27 @@ class Model:
         except KeyError:
             return self.bias + math.fsum(map(self.word, words))
 
+    def level(self, sentences: int) -> float:
+        """Logit beyond which a sentence counts in a text of so many."""
+        return self.background.level(sentences) if self.background and sentences else -math.inf
+
     def score(self, text: str | None) -> float:
-        """1 - prod(1 - p) over the sentences."""
-        total = 0.0
-        for sentence in _SENTENCES.findall((text or "").lower()):
-            if (z := self.logit(sentence)) is not None:
-                total += math.log1p(math.exp(z)) if z < 30 else z
-        return -math.expm1(-total)
+        """1 - prod(1 - p) over the sentences, of each what goes beyond the background."""
+        found = [z for sentence in _SENTENCES.findall((text or "").lower()) if (z := self.logit(sentence)) is not None]
+        level = self.level(len(found))
+        return -math.expm1(-math.fsum(mass(z) - mass(level) for z in found if z > level))
 
     def locate(self, text: str | None) -> list[tuple[int, int, float]]:
         """Start, end and probability of the offending sentences, in code points."""
-        found = []
-        for m in _SENTENCES.finditer(text or ""):
-            z = self.logit(m[0].lower())
-            if z is not None and (p := 1 / (1 + math.exp(-max(min(z, 500), -500)))) >= OFFENDING:
-                found.append((m.start(), m.end(), p))
-        return found
+        found = [(m.start(), m.end(), z) for m in _SENTENCES.finditer(text or "") if (z := self.logit(m[0].lower())) is not None]
+        level = self.level(len(found))
+        rated = [(a, b, 1 / (1 + math.exp(-max(min(z, 500), -500)))) for a, b, z in found if z > level]
+        return [x for x in rated if x[2] >= OFFENDING]
+
+
+def mass(z: float) -> float:
+    """-log(1 - p) of a sentence with logit z."""
+    return z if z >= 30 else math.log1p(math.exp(z)) if z > -700 else 0.0
 
 
 def train(texts: list[str | None], labels: list[int], steps: int = 150, rate: float = 0.15, penalty: float = 1e-4) -> Model:
@@ -143,7 +179,9 @@ def train(texts: list[str | None], labels: list[int], steps: int = 150, rate: fl
         fix, fix2 = 1 - 0.9**step, 1 - 0.99**step
         weight = np.maximum(weight - rate * (m / fix) / (np.sqrt(v / fix2) + 1e-6), 0.0)
         bias -= rate * (mb / fix) / (math.sqrt(vb / fix2) + 1e-6)
-    return Model(weight.astype(np.float32), float(bias))
+    score = np.add.reduceat(weight[place], word_at)
+    z = bias + np.add.reduceat(score[token], sentence_at)
+    return Model(weight.astype(np.float32), float(bias), Background.of(z[y[document_of] == 0]))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, left_out: int, per_class: int) -> tuple[list[str], list[int]]:

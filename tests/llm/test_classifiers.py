@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 
 import pytest
@@ -37,6 +38,59 @@ def test_noisy_or():
     assert m.score("") == m.score(None) == m.score("...!\n") == 0.0
 
 
+def plain_toxicity(model, text):
+    """Score and offending sentences, one sentence and one word at a time."""
+    found = []
+    for m in re.finditer(r"[^.!?\n]+", text or ""):
+        if words := set(re.findall(r"\w+", m[0].lower())):
+            z = model.bias
+            for w in words:
+                edged = f"^{w}$"
+                z += sum(float(model.weights[zlib.crc32(g.encode()) % toxicity.FEATURES]) for g in ["=" + w, *{edged[i : i + 4] for i in range(len(edged) - 3)}])
+            found.append((m.start(), m.end(), z))
+    level = -math.inf
+    if found:
+        highest, share = sorted(map(float, model.background.highest), reverse=True), toxicity.SHARE / len(found)
+        tail = max(10, model.background.count // 500)
+        start, rank = highest[tail], share * model.background.count
+        mean = sum(highest[:tail]) / tail - start
+        level = highest[int(rank)] if rank >= tail else start + max(0.5, mean) * math.log(tail / rank)
+    left = 1.0
+    for _, _, z in found:
+        if z > level:
+            left *= (1 + math.exp(level)) / (1 + math.exp(z))
+    return 1 - left, [(a, b) for a, b, z in found if z > max(level, 0)]
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    at = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    rows = docs.join(labels, "doc_id").where("toxic IS NOT NULL").orderBy("doc_id").collect()
+    return toxicity.fit(spark, docs, labels), [r.text for r in rows if r.toxic == 0], [r.text for r in rows if r.toxic == 1]
+
+
+def test_scores_and_places_equal_plain_ones(labelled):
+    model, clean, toxic = labelled
+    for text in [*clean[:150], *toxic[:150], "\n".join(clean[:200]), None, "", "...", "x" * 5000]:
+        score, places = plain_toxicity(model, text)
+        assert model.score(text) == pytest.approx(score, abs=1e-6)
+        assert [(a, b) for a, b, _ in model.locate(text)] == places
+
+
+def test_a_clean_text_may_be_of_any_length(labelled):
+    """Up to more than a million words; one bad sentence is still found among them."""
+    model, clean, toxic = labelled
+    worst = max((s for t in toxic for s in re.findall(r"[^.!?\n]+", t)), key=lambda s: model.logit(s.lower()) or -99)
+    for n in (1, 10, 100, 1000, len(clean)):
+        text = "\n".join(clean[:n])
+        assert model.score(text) < 0.3
+        assert model.score(f"{text}\n{worst}.\n{text}") > 0.7
+        ((a, b, _),) = model.locate(f"{text}\n{worst}.\n{text}")
+        assert a <= len(text) + 1 and b >= len(text) + 1
+    assert len(text.split()) > 1_000_000
+
+
 @pytest.mark.parametrize("labels", [[], [0, 0], [1, 1]])
 def test_without_both_labels(labels):
     texts = ["some text"] * len(labels)
