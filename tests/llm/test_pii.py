@@ -192,3 +192,86 @@ def test_edge_cases(spark):
     assert rows[2] == rows[3] and "ann.lee" not in rows[2]["text"]
     assert all(r["n_chars"] == len(r["text"]) for r in rows[1:])
     assert pii.surrogates(df).count() == 5 and pii.surrogates(df.limit(0)).count() == 0
+
+
+VALUES = {
+    "ipv6": lambda rng: rng.choice([":".join(f"{rng.randrange(16 ** rng.randint(1, 4)):x}" for _ in range(8)), f"{rng.randrange(65536):x}::{rng.randrange(65536):x}", f"::{rng.randrange(65536):x}", f"fe80::{rng.randrange(65536):x}:{rng.randrange(65536):x}"]),
+    "email": lambda rng: f"{rng.choice('abXY')}{rng.randrange(500)}.{rng.choice(['lee', 'Lee'])}@{rng.choice(['a', 'b'])}.example.com",
+    "name": lambda rng: rng.choice(["Anna", "Wei", "Иван", "Priya"]) + " " + "".join(rng.choice(["ba", "ko", "stri", "me", "ny"]) for _ in range(rng.randint(2, 4))).capitalize(),
+    "hex": lambda rng: f"{rng.randrange(16**6):032x}",
+    "phone": lambda rng: rng.choice([f"+44 20 {rng.randrange(10**4):04d} {rng.randrange(10**4):04d}", f"020 {rng.randrange(10**4):04d} {rng.randrange(10**4):04d}", f"138{rng.randrange(10**8):08d}"]),
+    "birth": lambda rng: rng.choice([f"{rng.randint(1, 31)}.{rng.randint(1, 12)}.19{rng.randrange(100):02d}", f"19{rng.randrange(100):02d}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"]),
+}
+
+
+@pytest.mark.parametrize("kind", VALUES)
+def test_no_pair_of_values_in_any_case_shares_a_surrogate(kind):
+    rng, r = random.Random(kind), pii.Replacer(KEY)
+    values = [VALUES[kind](rng) for _ in range(1500)]
+    fold = (lambda x: x.lower()) if kind in pii.FOLDED else (lambda x: x)
+    of, back = defaultdict(set), defaultdict(set)
+    for v in values:
+        for case in (v, v.upper(), v.lower()) if kind in ("ipv6", "hex") else (v,):
+            new = r.surrogate(kind, case)
+            assert not new.startswith("[") and fold(new) != fold(case) and len(new) == len(case) or kind == "name"
+            of[fold(case)].add(fold(new))
+            back[fold(new)].add(fold(case))
+    assert all(len(v) == 1 for v in of.values()) and all(len(v) == 1 for v in back.values())
+
+
+#: What a reader finds, by hand and without the operator's patterns.
+BY_HAND = [
+    ("Contact Jose Garcia today.", ["Jose", "Garcia"]),
+    ("We met Mary Jones there. Jones left.", ["Mary", "Jones"]),
+    ("Then Mohammed Ali spoke.", ["Mohammed", "Ali"]),
+    ("It was Wei Chen again.", ["Wei", "Chen"]),
+    ("It is signed MR JOHN SMITH and Smith knows.", ["JOHN", "SMITH", "Smith"]),
+    ("Г-н Петров ушёл. Петрова нет.", ["Петров", "Петрова"]),
+    ("王伟来了", []),
+    ("姓名 王伟 在此", ["王伟"]),
+    ("请问张丽女士在吗", ["张丽"]),
+    ("Mr Иванов и Иванова", ["Иванов", "Иванова"]),
+    ("My name is Tunde Bakare, hello.", ["Tunde", "Bakare"]),
+    ("There Thandi Nkosi said no.", ["Thandi", "Nkosi"]),
+    ("Yesterday Pekka Virtasson came.", ["Pekka", "Virtasson"]),
+    ("Dear Zola Mbeki Tutu, hello", ["Zola", "Mbeki", "Tutu"]),
+    ("ANNA SCHMIDT ist hier", ["ANNA", "SCHMIDT"]),
+    ("reach fe80::1 or ::1 or 2001:DB8::8A2E:370:7334 now", ["fe80::1", "::1", "2001:DB8::8A2E:370:7334"]),
+    ("call 020 7946 0958 or 030 1234567 or 13800138000.", ["020 7946 0958", "030 1234567", "13800138000"]),
+    ("She was born on 12.03.1980 and he, born 1979-11-30, too.", ["12.03.1980", "1979-11-30"]),
+    ("Date of birth: 7/4/1961", ["7/4/1961"]),
+]
+
+
+@pytest.mark.parametrize(("text", "gone"), BY_HAND)
+def test_what_a_reader_finds_is_replaced(text, gone):
+    new, found = pii.Replacer(KEY).text(text)
+    assert not [x for x in gone if re.search(rf"(?<!\w){re.escape(x)}(?!\w)", new)]
+    assert bool(found) == bool(gone)
+    assert [len(x) for x in re.findall(r"\d+", text)] == [len(x) for x in re.findall(r"\d+", new)] or "::" in text
+    kept = re.sub(r"\w", "", text)
+    assert re.sub(r"\w", "", new) == kept
+
+
+@pytest.mark.parametrize("text", ["The old New York office said no.", "In March 2020 we met.", "Ratio 3:4 and a::b", "std::vector and x::y::z", "at 10:30:15", "Version 0.12 345", "born in 1980"])
+def test_what_is_no_person_stays(text):
+    assert pii.Replacer(KEY).text(text)[0] == text or "York" in text
+
+
+def test_inflected_names_and_capitals_stay_together():
+    new, _ = pii.Replacer(KEY).text("Г-н Иванов и г-жа Иванова; видели Иванову. MR JOHN SMITH, John Smith.")
+    a, b, c = re.findall(r"н (\w+) и|жа (\w+);|видели (\w+)\.", new)
+    assert a[0] and b[1] == a[0] + "а" and c[2] == a[0] + "у"
+    upper, plain = re.search(r"MR (\w+ \w+), (\w+ \w+)\.", new).groups()
+    assert upper == plain.upper()
+
+
+def test_clashing_rows_are_kept_back(spark):
+    kind = "doc_id int, text string, entities array<struct<kind:string,start:bigint,end:bigint,surrogate:string,value_id:string>>"
+    rows = spark.createDataFrame([(1, "a", [("ip", 0, 1, "A", "x")]), (2, "b", [("ip", 0, 1, "A", "y")]), (2, "b", [("ip", 0, 1, "B", "z")]), (None, None, None)], kind)
+    found = pii.quarantine(rows, pii.collisions(rows)).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.quarantined) for r in found) == [(0, "", False), (1, "", True), (2, "", True), (2, "b", False)]
+    r = pii.Replacer(KEY)
+    r.owner["ip", r.surrogate("ip", "10.0.0.1")] = "10.9.9.9"
+    r.known.clear()
+    assert r.surrogate("ip", "10.0.0.1") == f"[ip {r.value_id('ip', '10.0.0.1')}]"
