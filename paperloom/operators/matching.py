@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy, text
 from ..session import importable
 from ..session import listed as few
+from . import terms
 
 # Words that tell nothing about a research area.
 AREA_STOPWORDS = (
@@ -117,29 +118,28 @@ def area_tokens(name: Column | str) -> Column:
 
 
 def records_for_areas(areas: DataFrame, records: DataFrame, most: int = 6) -> DataFrame:
-    """Per area (area_id, name) the records (seq, citation_count, hay) that share most of its words, then most cited: an equi-join on
-    words, each pair counted before it is ranked."""
-    wanted = areas.select("area_id", F.explode(area_tokens("name")).alias("token"))
-    have = records.select("seq", "citation_count", F.explode(F.array_distinct(text.words("hay"))).alias("token"))
-    shared = have.join(wanted, "token").groupBy("area_id", "seq").agg(F.count("*").alias("overlap"), F.first("citation_count").alias("citation_count"))
-    order = Window.partitionBy("area_id").orderBy(F.desc("overlap"), F.desc("citation_count"), "seq")
-    return shared.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    """Per area (area_id, name) the records (seq, citation_count, hay) that share most of its words, then most cited, by
+    :func:`terms.most_shared`."""
+    wanted = areas.select(F.col("area_id").alias("key"), area_tokens("name").alias("tokens"))
+    have = records.select("seq", "citation_count", text.words("hay").alias("tokens"))
+    found = terms.most_shared(wanted, have, most)
+    return found.select(F.col("key").alias("area_id"), "seq", "overlap", "citation_count", "rank")
 
 
-def containing(records: DataFrame, terms: DataFrame, hay: str, most: int | None = None) -> DataFrame:
+def containing(records: DataFrame, wanted: DataFrame, hay: str, most: int | None = None) -> DataFrame:
     """Pairs of terms (term_id, term), a list of settings, and records (seq, hay) that contain them, case aside; per term the first
     ``most`` in order."""
-    pairs = records.join(few(terms), F.contains(F.lower(hay), F.lower("term"))).select("term_id", "term", "seq")
+    pairs = records.join(few(wanted), F.contains(F.lower(hay), F.lower("term"))).select("term_id", "term", "seq")
     if most is None:
         return pairs
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("term_id").orderBy("seq"))).where(F.col("rank") <= most)
 
 
-def mutual(records: DataFrame, terms: DataFrame, items: str) -> DataFrame:
+def mutual(records: DataFrame, wanted: DataFrame, items: str) -> DataFrame:
     """Pairs of terms and records one of whose ``items`` contains the term or is contained in it."""
     low = F.lower("term")
     some = F.exists(F.col(items), lambda x: F.contains(F.lower(x), low) | F.contains(low, F.lower(x)))
-    return records.join(few(terms), some).select("term_id", "term", "seq")
+    return records.join(few(wanted), some).select("term_id", "term", "seq")
 
 
 def survey_titles(df: DataFrame, per_topic: int = 12, most_topics: int = 500) -> DataFrame:
