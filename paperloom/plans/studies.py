@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import terms
+from ..operators import terms, vectors
 from .catalog import PAPERS, papers, query, read
 
 __all__ = ["read"]
@@ -47,3 +47,29 @@ def q_reference_seeds(spark, sf):
     """The titles that most other documents refer to."""
     asked = references(spark, sf)
     return terms.seeds(asked, terms.best_titles(terms.build(papers(spark, sf).select("seq", "title")), asked))
+
+
+# -- vectors -------------------------------------------------------------------------------------------------------------
+
+
+def embeddings(spark, sf):
+    rows = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return rows, rows.where("id % 100 = 0")
+
+
+@query(
+    """WITH d AS (SELECT q.vec_id, x.vec_id AS neighbour, list_sum(list_transform(list_zip(q.embedding::DOUBLE[], x.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) ** 2)) AS away
+      FROM embeddings q JOIN embeddings x ON q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id)
+    SELECT vec_id, neighbour, row_number() OVER (PARTITION BY vec_id ORDER BY away, neighbour) AS rank FROM d QUALIFY rank <= 10"""
+)
+def q_nearest_vectors(spark, sf):
+    """The ten nearest rows of every hundredth one, exactly."""
+    rows, asked = embeddings(spark, sf)
+    return vectors.exact(vectors.build(rows), asked).select(F.col("id").alias("vec_id"), "neighbour", "rank")
+
+
+@query()
+def q_vector_codes(spark, sf):
+    """About the same by codes; tests measure the share that is found."""
+    rows, asked = embeddings(spark, sf)
+    return vectors.by_codes(vectors.build(rows), asked).select(F.col("id").alias("vec_id"), "neighbour", "rank")
