@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import terms, vectors
+from ..operators import citations, terms, vectors
 from .catalog import PAPERS, papers, query, read
 
 __all__ = ["read"]
@@ -73,3 +73,35 @@ def q_vector_codes(spark, sf):
     """About the same by codes; tests measure the share that is found."""
     rows, asked = embeddings(spark, sf)
     return vectors.by_codes(vectors.build(rows), asked).select(F.col("id").alias("vec_id"), "neighbour", "rank")
+
+
+# -- citations -----------------------------------------------------------------------------------------------------------
+
+LINKS = "links AS (SELECT DISTINCT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem)"
+
+
+def part_links(spark, sf):
+    """Parts cite their suppliers."""
+    return read(spark, sf, "lineitem").select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst"))
+
+
+@query(
+    f"""WITH {LINKS}, both_ AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), s AS (SELECT p_partkey * 2 AS node FROM part WHERE p_size = 1),
+    l1 AS (SELECT dst AS node, min(src) AS via FROM both_ JOIN s ON src = node WHERE dst NOT IN (FROM s) GROUP BY dst),
+    l2 AS (SELECT dst AS node, min(src) AS via FROM both_ JOIN l1 ON src = node WHERE dst NOT IN (FROM s) AND dst NOT IN (SELECT node FROM l1) GROUP BY dst)
+    SELECT node, 0 AS level, NULL::BIGINT AS via FROM s UNION ALL SELECT node, 1, via FROM l1 UNION ALL SELECT node, 2, via FROM l2"""
+)
+def q_snowball(spark, sf):
+    """What two steps from the smallest parts reach, along links and against them."""
+    seeds = read(spark, sf, "part").where("p_size = 1").select((F.col("p_partkey") * 2).alias("node"))
+    return citations.snowball(part_links(spark, sf), seeds, 2)
+
+
+@query(
+    f"""WITH {LINKS}, d AS (SELECT src, count(*) AS n FROM links GROUP BY src), w AS (SELECT src AS node, 1.0::DOUBLE AS x FROM d
+      UNION ALL SELECT dst, 1 + sum(0.85::DOUBLE / n) FROM links JOIN d USING (src) GROUP BY dst)
+    SELECT node, round(x / sum(x) OVER () * 1e6, 4) AS rank FROM w"""
+)
+def q_citation_rank(spark, sf):
+    """PageRank of parts and suppliers, in millionths."""
+    return citations.rank(part_links(spark, sf)).select("node", F.round(F.col("rank") * 1e6, 4).alias("rank"))

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from paperloom.operators import terms, vectors
+from paperloom.operators import citations, terms, vectors
 
 SF = "/root/testdata/sf0.1"
 
@@ -112,3 +112,49 @@ def test_most_shared_equals_all_counts(spark):
         if rated:
             want[key] = [(s, -o) for o, _, s in rated[:4]]
     assert dict(got) == want
+
+
+# -- citations -----------------------------------------------------------------------------------------------------------
+
+
+def graph(seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(120)] + [(7, k) for k in range(60, 120)] + [(3, 3), (None, 1), (1, None), (5, 6), (5, 6), (200, 201)]
+    return edges, sorted({(a, b) for a, b in edges if a is not None and b is not None and a != b})
+
+
+@pytest.mark.parametrize(("forward", "backward"), [(True, True), (True, False), (False, True), (False, False)])
+def test_snowball_equals_a_plain_walk(spark, forward, backward):
+    given, edges = graph(1)
+    seeds, around = [3, 11, 999, None, 3], defaultdict(set)
+    for a, b in edges:
+        if forward:
+            around[a].add(b)
+        if backward:
+            around[b].add(a)
+    want = {x: (0, None) for x in seeds if x is not None}
+    front = set(want)
+    for level in (1, 2, 3):
+        new = {y: min(x for x in front if y in around[x]) for x in front for y in around[x] if y not in want}
+        want |= {y: (level, via) for y, via in new.items()}
+        front = set(new)
+    df, start = spark.createDataFrame(given, "src long, dst long"), spark.createDataFrame([(x,) for x in seeds], "node long")
+    found = citations.snowball(df, start, 3, forward, backward, chunk=8)
+    assert {r.node: (r.level, r.via) for r in found.collect()} == want
+    assert citations.snowball(df.limit(0), start, 2).count() == 3
+
+
+def test_ranks_equal_power_iteration(spark):
+    given, edges = graph(2)
+    nodes = sorted({x for e in edges for x in e})
+    degree, p, d = Counter(a for a, _ in edges), {x: 1 / len(nodes) for x in nodes}, 0.5
+    for _ in range(80):
+        idle = sum(p[x] for x in nodes if not degree[x])
+        new = {x: (1 - d) / len(nodes) + d * idle / len(nodes) for x in nodes}
+        for a, b in edges:
+            new[b] += d * p[a] / degree[a]
+        p = new
+    df = spark.createDataFrame(given, "src long, dst long")
+    found = {r.node: r["rank"] for r in citations.rank(df, damping=d, least=1e-5, chunk=8).collect()}
+    assert found.keys() == p.keys() and all(abs(found[x] - p[x]) < 1e-6 for x in p)
+    assert citations.rank(df.limit(0)).count() == 0
