@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from ..operators import citations, terms, vectors
+from ..operators import citations, facets, itemsets, terms, timeline, vectors
 from .catalog import PAPERS, papers, query, read
 
 __all__ = ["read"]
@@ -105,3 +107,100 @@ def q_snowball(spark, sf):
 def q_citation_rank(spark, sf):
     """PageRank of parts and suppliers, in millionths."""
     return citations.rank(part_links(spark, sf)).select("node", F.round(F.col("rank") * 1e6, 4).alias("rank"))
+
+
+# -- words that go together ----------------------------------------------------------------------------------------------
+
+COMMON = 0.2
+WORDS = rf"""w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS w FROM documents WHERE doc_id IS NOT NULL), n AS (SELECT count(DISTINCT doc_id) AS n FROM documents),
+one AS (SELECT w, count(*) AS n FROM w GROUP BY w HAVING count(*) >= ceil({COMMON} * (SELECT n FROM n))), f AS (SELECT doc_id, w FROM w SEMI JOIN one USING (w)),
+two AS (SELECT a.w AS a, b.w AS b, count(*) AS n FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.w < b.w GROUP BY ALL HAVING count(*) >= ceil({COMMON} * (SELECT n FROM n)))"""
+
+
+def word_sets(spark, sf, longest):
+    docs = read(spark, sf, "documents").where("doc_id IS NOT NULL")
+    rows = docs.agg(F.count_distinct("doc_id")).first()[0]
+    words = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("item"))
+    return itemsets.frequent(words, max(1, math.ceil(COMMON * rows)), longest), rows
+
+
+@query(
+    f"""WITH {WORDS} SELECT two.a, two.b, two.n, round(two.n * (SELECT n FROM n)::DOUBLE / (x.n * y.n), 9) AS lift, round(log2(two.n * (SELECT n FROM n)::DOUBLE / (x.n * y.n)), 9) AS pmi
+    FROM two JOIN one x ON x.w = a JOIN one y ON y.w = b"""
+)
+def q_word_pairs(spark, sf):
+    """Pairs of words that a fifth of the documents have, and how much more often than by chance."""
+    found = itemsets.associations(*word_sets(spark, sf, 2))
+    return found.select("a", "b", "n", F.round("lift", 9).alias("lift"), F.round("pmi", 9).alias("pmi"))
+
+
+@query(
+    f"""WITH {WORDS} SELECT a.w || ' ' || b.w || ' ' || c.w AS items, count(*) AS n FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.w < b.w JOIN f c ON a.doc_id = c.doc_id AND b.w < c.w
+    GROUP BY a.w, b.w, c.w HAVING count(*) >= ceil({COMMON} * (SELECT n FROM n))"""
+)
+def q_word_triples(spark, sf):
+    """Three words that a fifth of the documents have."""
+    found, _ = word_sets(spark, sf, 3)
+    return found.where(F.size("items") == 3).select(F.array_join("items", " ").alias("items"), "n")
+
+
+# -- attributes ----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH p AS (SELECT * FROM part WHERE (p_brand IN ('Brand#11', 'Brand#23', 'Brand#34') OR p_size BETWEEN 5 AND 20) AND NOT (p_type LIKE 'ECONOMY%' AND p_size BETWEEN 1 AND 10))
+    SELECT 'p_brand' AS attribute, p_brand AS value, count(*) AS n FROM p GROUP BY ALL UNION ALL SELECT 'p_type', p_type, count(*) FROM p GROUP BY ALL UNION ALL SELECT 'p_size', p_size::VARCHAR, count(*) FROM p GROUP BY ALL"""
+)
+def q_part_facets(spark, sf):
+    """Counts of all values among the parts that a filter leaves."""
+    parts = read(spark, sf, "part")
+    index = facets.build(parts, "p_brand", "p_type", "p_size", id="p_partkey")
+    economy = facets.Among("p_type", tuple(r[0] for r in parts.select("p_type").where("p_type LIKE 'ECONOMY%'").distinct().limit(1000).collect()))
+    where = (facets.Among("p_brand", ("Brand#11", "Brand#23", "Brand#34")) | facets.Between("p_size", 5, 20)) & ~(economy & facets.Between("p_size", 1, 10))
+    return facets.counts(index, facets.select(index, where))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE NOT (o_orderstatus = 'O') AND (o_orderpriority IN ('1-URGENT', '2-HIGH') OR year(o_orderdate) = 1996)")
+def q_order_filter(spark, sf):
+    """Orders that fulfil a filter, read from blocks alone."""
+    rows = read(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    index = facets.build(rows, "o_orderstatus", "o_orderpriority", "year", id="o_orderkey")
+    where = ~facets.Among("o_orderstatus", ("O",)) & (facets.Among("o_orderpriority", ("1-URGENT", "2-HIGH")) | facets.Between("year", 1996, 1996))
+    return facets.ids(facets.select(index, where))
+
+
+# -- time ----------------------------------------------------------------------------------------------------------------
+
+HOURS = """c AS (SELECT event_type AS kind, date_trunc('hour', ts) AS step, count(*) AS n FROM events GROUP BY ALL), b AS (SELECT min(step) AS lo, max(step) AS hi FROM c),
+s AS (SELECT kind, step, coalesce(n, 0) AS n FROM (SELECT kind, step FROM (SELECT DISTINCT kind FROM c), (SELECT unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS step FROM b)) LEFT JOIN c USING (kind, step))"""
+
+
+def hours(spark, sf):
+    return timeline.series(read(spark, sf, "events"), "event_type", "ts")
+
+
+@query(f"WITH {HOURS} SELECT kind, step, n FROM s")
+def q_timeline(spark, sf):
+    """Events of each type in each hour, hours without any too."""
+    return hours(spark, sf)
+
+
+@query(
+    f"""WITH RECURSIVE {HOURS}, w AS (SELECT *, sum(n) OVER (PARTITION BY step) AS whole, row_number() OVER (PARTITION BY kind ORDER BY step) AS i, count(*) OVER (PARTITION BY kind) AS m FROM s),
+    r AS (SELECT kind, sum(n) / sum(whole) AS p, least(1.5 * sum(n) / sum(whole), 1 - 1e-9) AS q, 0.5 * ln(max(m)) AS up FROM w GROUP BY kind),
+    x AS (SELECT w.*, up, -(n * ln(p) + (whole - n) * ln(1 - p)) AS c0, -(n * ln(q) + (whole - n) * ln(1 - q)) AS c1 FROM w JOIN r USING (kind)),
+    v(kind, i, low, past, high, before, since, last) AS (SELECT DISTINCT kind, 0::BIGINT, 0::DOUBLE, ''::VARCHAR, 'inf'::DOUBLE, ''::VARCHAR, NULL::TIMESTAMP, NULL::TIMESTAMP FROM x
+      UNION ALL SELECT v.kind, x.i, least(low, high) + c0, CASE WHEN high < low THEN before || since || '~' || last || ';' ELSE past END, least(high, low + up) + c1,
+        CASE WHEN high <= low + up THEN before ELSE past END, CASE WHEN high <= low + up THEN since ELSE x.step END, x.step FROM v JOIN x ON x.kind = v.kind AND x.i = v.i + 1),
+    e AS (SELECT kind, unnest(string_split(rtrim(CASE WHEN high < low THEN before || since || '~' || last || ';' ELSE past END, ';'), ';')) AS b FROM v JOIN (SELECT kind, max(i) AS i FROM x GROUP BY kind) USING (kind, i))
+    SELECT kind, split_part(b, '~', 1)::TIMESTAMP AS start, split_part(b, '~', 2)::TIMESTAMP AS "end" FROM e WHERE b <> ''"""
+)
+def q_bursts(spark, sf):
+    """Hours in which a type of event is unusually frequent."""
+    return timeline.bursts(hours(spark, sf), 1.5, 0.5)
+
+
+@query()
+def q_change_points(spark, sf):
+    """Hours at which the level of a type's events changes; tests compare with a plain search."""
+    return timeline.changes(hours(spark, sf), 0.7)

@@ -1,11 +1,14 @@
+import itertools
 import math
 import random
 from collections import Counter, defaultdict
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from paperloom.operators import citations, terms, vectors
+from paperloom.operators import citations, facets, itemsets, terms, timeline, vectors
 
 SF = "/root/testdata/sf0.1"
 
@@ -158,3 +161,103 @@ def test_ranks_equal_power_iteration(spark):
     found = {r.node: r["rank"] for r in citations.rank(df, damping=d, least=1e-5, chunk=8).collect()}
     assert found.keys() == p.keys() and all(abs(found[x] - p[x]) < 1e-6 for x in p)
     assert citations.rank(df.limit(0)).count() == 0
+
+
+# -- itemsets ------------------------------------------------------------------------------------------------------------
+
+
+def test_itemsets_equal_all_combinations(spark):
+    rng = random.Random(6)
+    rows = [(i, f"w{min(int(rng.expovariate(0.25)), 14)}") for i in [*range(-70, 200), 10**12] for _ in range(rng.randint(0, 7))]
+    rows += [(i, "all") for i in range(200)] + [(None, "all"), (5, None)] + rows[:20]
+    have = defaultdict(set)
+    for i, x in rows:
+        if i is not None and x is not None:
+            have[i].add(x)
+    count = Counter(c for items in have.values() for n in (1, 2, 3, 4) for c in itertools.combinations(sorted(items), n))
+    df = spark.createDataFrame(rows, "id long, item string")
+    found = itemsets.frequent(df, 12, 4)
+    got = {tuple(r["items"]): r["n"] for r in found.collect()}
+    assert got == {c: n for c, n in count.items() if n >= 12} and max(map(len, got)) == 4
+    for r in itemsets.associations(found, len(have)).collect():
+        assert r.lift == pytest.approx(count[r.a, r.b] * len(have) / count[(r.a,)] / count[(r.b,)]) and r.pmi == pytest.approx(math.log2(r.lift))
+    assert itemsets.frequent(df.limit(0), 1).count() == itemsets.frequent(df, 10**6).count() == 0
+
+
+# -- attributes ----------------------------------------------------------------------------------------------------------
+
+
+def test_conditions_equal_filters(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["x", "y", "z", None]), rng.choice([1, 2, 30, None]), "one") for i in [*range(0, 300), *range(32760, 32780), 10**7, 10**9]] + [(None, "x", 1, "one")]
+    df = spark.createDataFrame(rows, "id long, a string, b int, c string").cache()
+    index = facets.build(df, "a", "b", "c").cache()
+    a, b = facets.Among("a", ("x", None)), facets.Between("b", 2, 30)
+    cases = {
+        "a = 'x' OR a IS NULL": a, "NOT (a = 'x' OR a IS NULL)": ~a, "coalesce(b BETWEEN 2 AND 30, false)": b, "NOT coalesce(b BETWEEN 2 AND 30, false)": ~b,
+        "(a = 'x' OR a IS NULL) AND NOT coalesce(b BETWEEN 2 AND 30, false)": a & ~b, "NOT ((a = 'x' OR a IS NULL) OR coalesce(b BETWEEN 2 AND 30, false))": ~(a | b),
+        "NOT ((a = 'x' OR a IS NULL) AND NOT coalesce(b BETWEEN 2 AND 30, false))": ~(a & ~b), "false": facets.Among("a", ("none",)), "true": ~facets.Among("nothing", ()) | facets.Among("c", ("one",)), "NOT NOT (b = 1)": ~~facets.Among("b", (1,)),
+    }
+    for sql, where in cases.items():
+        chosen = facets.select(index, where)
+        kept = df.where("id IS NOT NULL").where(sql).collect()
+        assert sorted(r.id for r in facets.ids(chosen).collect()) == sorted(r.id for r in kept), sql
+        want = Counter((k, None if r[k] is None else str(r[k])) for r in kept for k in "abc")
+        assert {(r.attribute, r.value): r.n for r in facets.counts(index, chosen).collect()} == dict(want), sql
+
+
+# -- time ----------------------------------------------------------------------------------------------------------------
+
+
+def plain_bursts(n, whole, ratio, effort):
+    """Both states at every step, with whole courses."""
+    p = sum(n) / sum(whole)
+    cost = lambda k, q: -(n[k] * math.log(q) + (whole[k] - n[k]) * math.log(1 - q))
+    rates, up = (min(p, 1 - 1e-9), min(p * ratio, 1 - 1e-9)), effort * math.log(len(n))
+    low, high = (0.0, []), (math.inf, [])
+    for k in range(len(n)):
+        new_low = (high[0], high[1]) if high[0] < low[0] else low
+        new_high = high if high[0] <= low[0] + up else (low[0] + up, low[1])
+        low, high = (new_low[0] + cost(k, rates[0]), new_low[1] + [0]), (new_high[0] + cost(k, rates[1]), new_high[1] + [1])
+    course = [0, *(high if high[0] < low[0] else low)[1], 0]
+    return [(k, next(j for j in range(k, len(n)) if not course[j + 2])) for k in range(len(n)) if course[k + 1] and not course[k]]
+
+
+def plain_changes(n, effort):
+    """Every beginning at every step."""
+    m, mean = len(n), sum(n) / len(n)
+    b = sum((x - mean) ** 2 for x in n) / m * math.log(m) * effort
+    best, path = [-b], [[]]
+    for j in range(1, m + 1):
+        run = lambda i: sum(x * x for x in n[i:j]) - sum(n[i:j]) ** 2 / (j - i)  # noqa: E731, B023
+        value, i = min((best[i] + run(i) + b, i) for i in range(j))
+        best.append(value)
+        path.append([*path[i], i])
+    return [i for i in path[m] if i]
+
+
+def test_bursts_and_changes_equal_plain_searches(spark):
+    rng, start = np.random.default_rng(5), datetime(2024, 3, 1)
+    levels = {"calm": [20] * 70, "burst": [8] * 30 + [40] * 6 + [8] * 34, "step": [5] * 25 + [15] * 20 + [3] * 25, "rare": [0] * 35 + [1] * 35}
+    counts = {k: [int(x) for x in rng.poisson(v)] for k, v in levels.items()}
+    rows = [(k, start + timedelta(hours=h, minutes=i % 60)) for k, v in counts.items() for h, n in enumerate(v) for i in range(n)] + [(None, start), ("calm", None)]
+    df = spark.createDataFrame(rows, "kind string, ts timestamp")
+    filled = timeline.series(df, "kind", "ts").cache()
+    got = defaultdict(dict)
+    for r in filled.collect():
+        got[r.kind][int((r.step - start) / timedelta(hours=1))] = r.n
+    assert {k: [v[h] for h in sorted(v)] for k, v in got.items()} == counts
+    whole = [sum(v[h] for v in counts.values()) for h in range(70)]
+    at = lambda x: int((x - start) / timedelta(hours=1))
+    found = defaultdict(list)
+    for r in timeline.bursts(filled, 2.0, 1.0).orderBy("start").collect():
+        found[r.kind].append((at(r.start), at(r.end)))
+    assert dict(found) == {k: x for k, v in counts.items() if (x := plain_bursts(v, whole, 2.0, 1.0))} and any(b - a >= 4 for a, b in found["burst"])
+    for effort in (0.1, 2.0):
+        cuts = defaultdict(list)
+        for r in timeline.changes(filled, effort).orderBy("step").collect():
+            cuts[r.kind].append(at(r.step))
+        assert dict(cuts) == {k: x for k, v in counts.items() if (x := plain_changes(v, effort))}
+    assert len(cuts["step"]) == 2
+    none = timeline.series(df.where(F.lit(False)), "kind", "ts")
+    assert none.count() == timeline.bursts(none).count() == timeline.changes(none).count() == 0
