@@ -61,6 +61,11 @@ def valid_queries(df: DataFrame, least: int = 5, untouched: int = 3) -> DataFram
     return df.join(counts, "topic").where((F.col("n") <= untouched) | (F.col("n_kept") < least) | F.coalesce("keep", F.lit(True))).select(*df.columns)
 
 
+def unjudged(df: DataFrame, judgements: DataFrame, key: str = "seq") -> DataFrame:
+    """Records that no judgement is of; several of one record, and those of a null one, are nothing special."""
+    return df.join(judgements.select(key).distinct(), key, "left_anti")
+
+
 def judge_gate(df: DataFrame, least_relevance: int = 3, least_tier: str = "useful", exclude_specific: bool = False) -> DataFrame:
     """Drop judged records that are off topic, of low tier or, if asked, domain-specific; unjudged and failed ones stay."""
     floor = {t: k for k, t in enumerate(scores.TIERS)}.get(least_tier, 2)

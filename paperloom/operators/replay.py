@@ -127,6 +127,19 @@ def masks(df: DataFrame, raw: str = "raw") -> DataFrame:
     return _parsed(df, raw, repair=False).withColumn("mask", F.try_variant_get("v_", "$", "array<boolean>")).drop("v_")
 
 
+def generated_queries(df: DataFrame, raw: str = "raw", most: int = 10) -> DataFrame:
+    """seq, topic, place and query of the search queries that replies (a list of strings each) give topics (seq, topic); the first ``most``
+    that aren't blank, and the usual templates for a topic without a list.  Of equal queries the first counts, over all topics."""
+    from ..sources.retrieval import template_queries
+    from .dedup import first_by
+
+    found = F.filter(F.transform(F.try_variant_get("v_", "$", "array<string>"), lambda q: F.trim(q)), lambda q: q.isNotNull() & (q != ""))
+    rows = _parsed(df, raw, repair=False).withColumn("queries_", F.slice(F.coalesce(found, F.array().cast("array<string>")), 1, most)).drop("v_")
+    given = rows.where(F.size("queries_") > 0).select("seq", "topic", F.posexplode("queries_").alias("place", "query"))
+    usual = template_queries(rows.where(F.size("queries_") == 0).select("seq", "topic"))
+    return first_by(given.unionByName(usual), F.col("query"), F.col("seq"), F.col("place"))
+
+
 _PART = "struct<name:string,description:string>"
 _PIECES = {
     "synthesis": {

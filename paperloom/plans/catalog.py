@@ -335,7 +335,7 @@ def q_judge_rerank(spark, sf):
 
 @query("SELECT d.doc_id AS seq FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def q_unjudged_kept(spark, sf):
-    return read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id", "left_anti").select(F.col("doc_id").alias("seq"))
+    return filters.unjudged(papers(spark, sf), read(spark, sf, "labels").select(F.col("doc_id").alias("seq"))).select("seq")
 
 
 @query(
@@ -496,7 +496,8 @@ def q_reply_repair(spark, sf):
     return read(spark, sf, "events").select("event_id", replies.int_of(replies.reply_json(raw), "k").alias("k"))
 
 
-VARIANT_TOPICS = ("Agentic RAG Systems", "LLM", "the systems", "Graph Neural Networks for Knowledge Tracing", "AI and ML for NLP")
+#: Beginnings that, before the names of parts, make topics with acronyms, fillers and abbreviations.
+VARIANT_TOPICS = ("Agentic RAG Systems ", "LLM ", "the systems ", "", "AI and ML for ")
 
 
 def _variants_sql() -> str:
@@ -506,7 +507,7 @@ def _variants_sql() -> str:
     for short, full in text.ABBREVIATIONS.items():
         spelled = f"regexp_replace({spelled}, '\\b{short}\\b', '{full}', 'g')"
     drop = lambda x: _drop_sql(x, text.QUERY_FILLER)
-    return f"""WITH t(topic) AS (VALUES {', '.join(f"('{t}')" for t in VARIANT_TOPICS)}), w AS (SELECT topic, regexp_extract_all(lower(topic), '[a-z0-9]+') AS w FROM t),
+    return f"""WITH t AS (SELECT DISTINCT ([{', '.join(f"'{t}'" for t in VARIANT_TOPICS)}])[(p_partkey % 5)::INT + 1] || p_name AS topic FROM part), w AS (SELECT topic, regexp_extract_all(lower(topic), '[a-z0-9]+') AS w FROM t),
     x AS (SELECT topic, {drop("flatten(list_transform(w, lambda a: string_split(coalesce(" + table(text.QUERY_ACRONYMS) + "[a], a), ' ')))")} AS full_, {drop("w")} AS short FROM w),
     v AS (SELECT topic, [CASE WHEN len(full_) > 0 THEN array_to_string(full_, ' ') || ' survey' END, CASE WHEN len(short) > 0 THEN array_to_string(short, ' ') || ' survey' END,
       CASE WHEN len(full_) > 3 THEN array_to_string(full_[2:], ' ') || ' survey' END] AS v FROM x),
@@ -516,7 +517,8 @@ def _variants_sql() -> str:
 
 @query(_variants_sql())
 def q_query_variants(spark, sf):
-    topics = importable(spark).createDataFrame([(t,) for t in VARIANT_TOPICS], "topic string")
+    begin = F.element_at(F.array(*[F.lit(t) for t in VARIANT_TOPICS]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    topics = read(spark, sf, "part").select(F.concat(begin, "p_name").alias("topic")).distinct()
     return topics.select("topic", F.array_join(text.query_variants("topic"), "|").alias("variants"), text.expand_abbreviations("topic").alias("expanded"))
 
 

@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import citations, facets, itemsets, terms, timeline, vectors
+from ..operators import citations, facets, graph, itemsets, replay, terms, timeline, vectors
+from ..sinks import tables, versions
 from .catalog import PAPERS, papers, query, read
 
 __all__ = ["read"]
@@ -204,3 +205,47 @@ def q_bursts(spark, sf):
 def q_change_points(spark, sf):
     """Hours at which the level of a type's events changes; tests compare with a plain search."""
     return timeline.changes(hours(spark, sf), 0.7)
+
+
+# -- versions of a library, generated queries, edges ---------------------------------------------------------------------
+
+
+def editions(spark, sf):
+    """Parts as records that come in three turns, with DOIs and arXiv ids that recur."""
+    p = read(spark, sf, "part")
+    key = lambda c, n: F.concat(F.lit(c), (F.col("p_partkey") % n).cast("string"))
+    return p.select(
+        (F.col("p_partkey") % 3).alias("turn"), F.col("p_partkey").alias("seq"), F.concat_ws(" ", "p_name", (F.col("p_partkey") % 97).cast("string")).alias("title"), F.col("p_size").cast("long").alias("citation_count"),
+        F.col("p_retailprice").alias("quality_score"), F.when(F.col("p_partkey") % 4 == 0, key("d", 211)).alias("doi"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).alias("abstract"), F.lit(None).cast("string").alias("pdf_url"),
+        F.when(F.col("p_partkey") % 5 == 0, key("x", 307)).alias("arxiv_id"),
+    )
+
+
+@query()
+def q_library_upserts(spark, sf):
+    """The library after three turns of upserts by title, DOI and arXiv id; tests compare with one record at a time."""
+    return versions.upsert_seeded(editions(spark, sf), "turn")
+
+
+@query(
+    """WITH t AS (SELECT DISTINCT p_name AS topic, min(p_partkey) AS seq FROM part GROUP BY p_name),
+    g AS (SELECT seq, topic, unnest(range(0, 2)) AS place, unnest([topic || ' survey', 'review of ' || topic]) AS query FROM t WHERE seq % 3 <> 0
+      UNION ALL SELECT seq, topic, unnest(range(0, 5)), unnest([topic || ' survey', topic || ' review', topic || ' systematic review', topic || ' overview', topic || ' taxonomy']) FROM t WHERE seq % 3 = 0)
+    SELECT seq, topic, place, query FROM g QUALIFY row_number() OVER (PARTITION BY query ORDER BY seq, place) = 1"""
+)
+def q_generated_queries(spark, sf):
+    """Queries from replies that are lists, fenced or not, and templates where a reply is none."""
+    t = read(spark, sf, "part").groupBy(F.col("p_name").alias("topic")).agg(F.min("p_partkey").alias("seq"))
+    found = F.concat(F.lit('[" '), "topic", F.lit(' survey", "", "review of '), "topic", F.lit('"]'))
+    raw = F.when(F.col("seq") % 3 == 1, found).when(F.col("seq") % 3 == 2, F.concat(F.lit("```json\n"), found, F.lit("\n```"))).otherwise("sorry")
+    return replay.generated_queries(t.withColumn("raw", raw)).select("seq", "topic", "place", "query")
+
+
+@query(
+    """WITH e AS (SELECT p_partkey AS pos, (['is_subfield_of', 'uses', 'evaluated_by', 'applied_to', 'contrasts_with', 'emerged_after', 'part_of', 'made_of_many'])[(p_partkey % 8)::INT + 1] AS edge_type FROM part)
+    SELECT pos, (['is a subfield of', 'uses', 'is evaluated by', 'is applied to', 'contrasts with', 'emerged after', 'is part of', 'made of many'])[(pos % 8)::INT + 1] AS label FROM e"""
+)
+def q_edge_labels(spark, sf):
+    kinds = F.array(*[F.lit(x) for x in (*graph.EDGE_TYPES, "made_of_many")])
+    edges = read(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.element_at(kinds, (F.col("p_partkey") % 8 + 1).cast("int")).alias("edge_type"))
+    return tables.labelled_edges(edges).select("pos", "label")

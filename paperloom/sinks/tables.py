@@ -221,10 +221,23 @@ def mind_map(root: str, trees: DataFrame, most: int = 6) -> str:
     return "\n".join(out)
 
 
+# How relations are read out.
+EDGE_LABELS = {
+    "is_subfield_of": "is a subfield of", "part_of": "is part of", "uses": "uses", "applied_to": "is applied to", "evaluated_by": "is evaluated by", "contrasts_with": "contrasts with", "emerged_after": "emerged after",
+}
+
+
+def labelled_edges(edges: DataFrame) -> DataFrame:
+    """Edges with ``label``, how their type is read out; a type that isn't known, with spaces for underscores."""
+    known = F.create_map(*[F.lit(x) for pair in EDGE_LABELS.items() for x in pair])
+    return edges.withColumn("label", F.coalesce(known[F.col("edge_type")], F.replace("edge_type", F.lit("_"), F.lit(" "))))
+
+
 def graph_diagram(edges: DataFrame, most: int = 24) -> str:
-    """At most ``most`` labelled edges (pos, source, target, edge_type) and the nodes they use, as a Mermaid graph."""
+    """At most ``most`` labelled edges (pos, source, target, edge_type; ``label``, if there is one, says how the type is read out) and the
+    nodes they use, as a Mermaid graph."""
     rows = edges.orderBy("pos").limit(most).select(
-        diagram_label("source").alias("s"), diagram_label("target").alias("t"), F.replace("edge_type", F.lit("_"), F.lit(" ")).alias("e")
+        diagram_label("source").alias("s"), diagram_label("target").alias("t"), (diagram_label("label") if "label" in edges.columns else F.replace("edge_type", F.lit("_"), F.lit(" "))).alias("e")
     ).collect()
     ids = {n: f"n{k}" for k, n in enumerate(dict.fromkeys(x for r in rows for x in (r["s"], r["t"])))}
     return "\n".join(["graph LR", *(f'  {i}["{n}"]' for n, i in ids.items()), *(f"  {ids[r['s']]} -->|{r['e']}| {ids[r['t']]}" for r in rows)])

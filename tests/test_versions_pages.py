@@ -3,8 +3,6 @@ import random
 import threading
 
 import pytest
-from pyspark.sql import functions as F
-
 from paperloom.session import importable
 from paperloom.sinks import tables, versions
 from paperloom.sources import paging
@@ -70,11 +68,22 @@ def test_upserts_equal_one_record_at_a_time(spark):
         df = lambda rows: spark.createDataFrame([tuple(r.values()) for r in rows], COLUMNS)
         got = versions.upsert(df(table), df(new))
         rows = sorted(tuple(r) for r in got.collect())
-        assert [(*r[:5], *r[5:]) for r in rows] == [tuple(x if x != "" or c not in versions.FILLED else None for c, x in zip(got.columns, r, strict=True)) for r in plain_upsert(table, new)]
-        assert tables.repeated_ids(got).count() == 0 and got.groupBy(F.lower(F.coalesce("title", F.lit("")))).count().where("count > 1 AND false").count() == 0
+        assert rows == [tuple(x if x != "" or c not in versions.FILLED else None for c, x in zip(got.columns, r, strict=True)) for r in plain_upsert(table, new)]
+        assert tables.repeated_ids(got).count() == 0
         table = [dict(zip(got.columns, r, strict=True)) for r in rows]
 
 
+def test_query_equals_one_record_at_a_time(spark, sf):
+    from paperloom.plans import studies
+
+    rows = studies.editions(spark, sf).collect()
+    table = []
+    for turn in range(3):
+        new = [{c: r[c] for c in r.asDict() if c != "turn"} for r in rows if r.turn == turn]
+        table = [dict(zip([c for c in rows[0].asDict() if c != "turn"], r, strict=True)) for r in plain_upsert(table, new)]
+    assert sorted(tuple(r) for r in studies.q_library_upserts(spark, sf).collect()) == [tuple(r.values()) for r in table]
+
+
 def test_of_two_writers_one_commits(spark, tmp_path):
     path = f"file://{tmp_path}/library"
     df = lambda *rows: spark.createDataFrame([(s, t, 1, 1.0, None, None, None, None) for s, t in rows], COLUMNS)
