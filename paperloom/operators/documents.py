@@ -78,7 +78,7 @@ def collected(t: DataFrame, flag: str, out: str) -> DataFrame:
     """Per paper the first lines of body text under a flag, joined and cut."""
     own = t.where((F.col("kind") == "body") & F.col(flag))
     first = own.withColumn("n_", F.row_number().over(Window.partitionBy("paper").orderBy("page", "pos"))).where(F.col("n_") <= LINES)
-    ordered = first.groupBy("paper").agg(F.array_sort(F.collect_list(F.struct("n_", "line"))).alias("x"))
+    ordered = first.groupBy("paper").agg(F.sort_array(F.collect_list(F.struct("n_", "line"))).alias("x"))
     return ordered.select("paper", F.substring(F.array_join(F.transform("x", lambda v: v["line"]), " "), 1, WIDTH).alias(out))
 
 
@@ -86,7 +86,7 @@ def structure(chars: DataFrame) -> DataFrame:
     """paper, sections, subsections, conclusion_text and future_work_text of documents given by their characters."""
     own = chars.where(F.col("page") <= PAGES)
     t = classified(lines(own), sizes_at(own.where(F.col("size") > 4), "paper", "size", {"p85": 0.85, "p90": 0.90}))
-    in_order = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("page", "pos", "section", "line")))), lambda v: v)
+    in_order = lambda kind: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("page", "pos", "section", "line")))), lambda v: v)
     heads = t.where("kind <> 'body'").groupBy("paper").agg(
         F.transform(in_order("section"), lambda v: v["line"]).alias("sections"),
         F.transform(in_order("subsection"), lambda v: F.struct(v["section"].alias("section"), v["line"].alias("line"))).alias("subsections"),
@@ -98,4 +98,4 @@ def captions(tables: DataFrame, most: int = 20, width: int = 120) -> DataFrame:
     """Per paper the first rows of its tables (paper, pos, cells) as captions."""
     text = tables.select("paper", "pos", F.substring(F.trim(F.array_join(F.filter("cells", lambda c: c.isNotNull() & (c != "")), " ")), 1, width).alias("caption"))
     cut = text.where("caption <> ''").withColumn("n_", F.row_number().over(Window.partitionBy("paper").orderBy("pos"))).where(F.col("n_") <= most)
-    return cut.groupBy("paper").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_", "caption"))), lambda v: v["caption"]).alias("captions"))
+    return cut.groupBy("paper").agg(F.transform(F.sort_array(F.collect_list(F.struct("n_", "caption"))), lambda v: v["caption"]).alias("captions"))

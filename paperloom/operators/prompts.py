@@ -107,5 +107,5 @@ def topic_rows(df: DataFrame, name: str, pos: str = "pos", group: str = "topic")
     own = [F.col(c) for c in ("title", "year", "orientation", "top_level_taxonomy") if c in df.columns]
     own += [(F.slice(c, 1, most) if most else F.col(c)).alias(c) for c, most in ROW_LIMITS[name].items() if c in df.columns]
     each = df.select(group, F.struct(F.col(pos).alias("p"), F.to_json(F.struct(*own)).alias("j"), F.col("title").alias("t")).alias("x"))
-    rows = each.groupBy(group).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    rows = each.groupBy(group).agg(F.sort_array(F.collect_list("x")).alias("xs"))
     return rows.select(group, F.transform("xs", lambda v: v["t"]).alias("titles"), F.concat(F.lit("["), F.array_join(F.transform("xs", lambda v: v["j"]), ","), F.lit("]")).alias("records"))

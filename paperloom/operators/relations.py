@@ -96,7 +96,7 @@ def every_link(problems: DataFrame, areas: DataFrame) -> DataFrame:
 
 def reverse(links: DataFrame, left: str, right: str, *group: str) -> DataFrame:
     """right → sorted lefts."""
-    return links.groupBy(*group, right).agg(F.array_sort(F.collect_set(left)).alias("lefts"))
+    return links.groupBy(*group, right).agg(F.sort_array(F.collect_set(left)).alias("lefts"))
 
 
 def with_glossary(items: DataFrame, glossary: DataFrame, name: str = "name") -> DataFrame:
@@ -108,11 +108,11 @@ def with_glossary(items: DataFrame, glossary: DataFrame, name: str = "name") ->
 def tree(links: DataFrame, root: str, child: str, leaf: str, most_children: int = 8, most_leaves: int = 6) -> DataFrame:
     """Rows (root, child, child_pos, leaf, leaf_pos) as one nested value for each root, in order and within limits."""
     leaves = links.where(F.col(leaf).isNotNull()).withColumn("n_", F.row_number().over(Window.partitionBy(root, child).orderBy("leaf_pos"))).where(F.col("n_") <= most_leaves)
-    low = leaves.groupBy(root, child).agg(F.array_sort(F.collect_list(F.struct("leaf_pos", F.col(leaf).alias("label")))).alias("x"))
+    low = leaves.groupBy(root, child).agg(F.sort_array(F.collect_list(F.struct("leaf_pos", F.col(leaf).alias("label")))).alias("x"))
     mid = links.groupBy(root, child).agg(F.min("child_pos").alias("child_pos")).join(low, [root, child], "left")
     mid = mid.withColumn("n_", F.row_number().over(Window.partitionBy(root).orderBy("child_pos"))).where(F.col("n_") <= most_children)
     labels = F.transform(F.coalesce("x", F.array().cast("array<struct<leaf_pos:int,label:string>>")), lambda v: v["label"])
     node = F.struct("child_pos", F.col(child).alias("label"), labels.alias("children"))
-    return mid.groupBy(root).agg(F.array_sort(F.collect_list(node)).alias("n")).select(
+    return mid.groupBy(root).agg(F.sort_array(F.collect_list(node)).alias("n")).select(
         F.col(root).alias("label"), F.transform("n", lambda v: F.struct(v["label"].alias("label"), v["children"].alias("children"))).alias("children")
     )

@@ -465,7 +465,7 @@ def q_cache_key(spark, sf):
 def q_inverted_index(spark, sf):
     """Texts as inverted indexes, built within the row from the sorted words, and read back."""
     words = F.array_remove(F.split(F.regexp_replace("text", r"[^\x20-\x7e]", " "), " "), "")
-    placed = F.array_sort(F.transform(words, lambda w, p: F.struct(w.alias("w"), p.alias("p"))))
+    placed = F.sort_array(F.transform(words, lambda w, p: F.struct(w.alias("w"), p.alias("p"))))
     rows = read(spark, sf, "documents").select(F.col("doc_id").alias("seq"), placed.alias("s")).where(F.size("s") > 0)
     rows = rows.select("seq", "s", F.expr("filter(sequence(0, size(s) - 1), i -> i = 0 OR get(s, i).w <> get(s, i - 1).w)").alias("r"))
     entry = "struct(get(s, a).w, transform(slice(s, a + 1, coalesce(get(r, j + 1), size(s)) - a), x -> x.p))"

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import citations, facets, graph, itemsets, replay, terms, timeline, vectors
+from ..operators import citations, facets, graph, itemsets, raters, replay, standing, terms, timeline, vectors
 from ..sinks import tables, versions
 from .catalog import PAPERS, papers, query, read
 
@@ -249,3 +249,48 @@ def q_edge_labels(spark, sf):
     kinds = F.array(*[F.lit(x) for x in (*graph.EDGE_TYPES, "made_of_many")])
     edges = read(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.element_at(kinds, (F.col("p_partkey") % 8 + 1).cast("int")).alias("edge_type"))
     return tables.labelled_edges(edges).select("pos", "label")
+
+
+# -- raters and standing -------------------------------------------------------------------------------------------------
+
+
+def votes(spark, sf):
+    """Five raters of different care say what the labels of quality are."""
+    rows = read(spark, sf, "labels").where("quality IS NOT NULL").select(F.col("doc_id").alias("item"), F.col("quality").cast("int").alias("truth"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("rater"))
+    wrong = F.crc32(F.concat_ws("-", "item", "rater").cast("binary")) % 10 < F.col("rater")
+    return rows.select("item", "rater", F.when(wrong, 1 - F.col("truth")).otherwise(F.col("truth")).alias("label"))
+
+
+@query()
+def q_consensus(spark, sf):
+    """What five raters mean together, to millionths; tests compare with a plain run."""
+    return raters.consensus(votes(spark, sf), [0, 1], 3).select("item", "label", F.round("p", 6).alias("p"))
+
+
+@query(
+    """WITH v AS (SELECT l_orderkey AS item, l_returnflag AS label, count(*) AS k FROM lineitem GROUP BY ALL), i AS (SELECT item, sum(k) AS m, sum(k * k) AS same FROM v GROUP BY item HAVING m > 1),
+    o AS (SELECT sum(m) AS n, sum((m * m - same) / (m - 1)) AS apart FROM i), e AS (SELECT sum(k * k) AS pairs FROM (SELECT label, sum(k) AS k FROM v SEMI JOIN i USING (item) GROUP BY label))
+    SELECT n::BIGINT AS n, round(apart / n, 9) AS observed, round((n * n - pairs) / (n * (n - 1)), 9) AS expected, round(1 - (apart / n) / ((n * n - pairs) / (n * (n - 1))), 9) AS alpha FROM o, e"""
+)
+def q_agreement(spark, sf):
+    """How far the lines of an order agree on what was returned."""
+    rows = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("rater"), F.col("l_returnflag").alias("label"))
+    found = raters.agreement(rows)
+    return found.select("n", *[F.round(c, 9).alias(c) for c in ("observed", "expected", "alpha")])
+
+
+@query(
+    """WITH w AS (SELECT l_suppkey, l_partkey, count(*) AS c FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY c DESC) AS i FROM w)
+    SELECT l_suppkey, count(*) AS works, sum(c)::BIGINT AS citations, count(*) FILTER (WHERE c >= i) AS h FROM r GROUP BY l_suppkey"""
+)
+def q_h_index(spark, sf):
+    """Suppliers as authors, their parts as works, line items as citations."""
+    works = read(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("citations"))
+    return standing.h_index(works, "l_suppkey")
+
+
+@query()
+def q_distinct_readers(spark, sf):
+    """About how many customers ordered, by status, priority and in all, from sketches; tests compare with exact counts."""
+    orders = read(spark, sf, "orders").select("o_orderstatus", "o_orderpriority", "o_custkey")
+    return standing.rollup(standing.sketches(orders, "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderstatus", "o_orderpriority")

@@ -24,9 +24,9 @@ def layer(links: DataFrame, key: str, left_label: str, right_label: str, topic:
     """One adjacent layer of a linked tree: topic and a struct of key, leftLabel, rightLabel and links, a mapping of each left node to
     its right nodes.  ``links`` has topic, left, left_pos, right, right_pos; repeated links count once, at their first place."""
     once = links.where("left IS NOT NULL AND right IS NOT NULL").groupBy(topic, "left", "right").agg(F.min("left_pos").alias("left_pos"), F.min("right_pos").alias("right_pos"))
-    rights = once.groupBy(topic, "left").agg(F.min("left_pos").alias("left_pos"), F.array_sort(F.collect_list(F.struct("right_pos", "right"))).alias("x"))
+    rights = once.groupBy(topic, "left").agg(F.min("left_pos").alias("left_pos"), F.sort_array(F.collect_list(F.struct("right_pos", "right"))).alias("x"))
     entry = F.struct("left_pos", "left", F.transform("x", lambda v: v["right"]).alias("rights"))
-    lefts = rights.groupBy(topic).agg(F.array_sort(F.collect_list(entry)).alias("y"))
+    lefts = rights.groupBy(topic).agg(F.sort_array(F.collect_list(entry)).alias("y"))
     mapping = F.map_from_entries(F.transform("y", lambda v: F.struct(v["left"], v["rights"])))
     return lefts.select(topic, F.struct(F.lit(key).alias("key"), F.lit(left_label).alias("leftLabel"), F.lit(right_label).alias("rightLabel"), mapping.alias("links")).alias("layer"))
 
@@ -37,7 +37,7 @@ def linked_tree(*layers: DataFrame, topic: str = "topic") -> DataFrame:
     for k, one in enumerate(layers):
         placed = one.withColumn("at", F.lit(k))
         rows = placed if rows is None else rows.unionByName(placed)
-    pairs = rows.groupBy(topic).agg(F.array_sort(F.collect_list(F.struct("at", F.to_json("layer").alias("json")))).alias("x"))
+    pairs = rows.groupBy(topic).agg(F.sort_array(F.collect_list(F.struct("at", F.to_json("layer").alias("json")))).alias("x"))
     return pairs.select(topic, F.concat(F.lit('{"pairs":['), F.array_join(F.transform("x", lambda v: v["json"]), ","), F.lit("]}")).alias("data"))
 
 

@@ -55,7 +55,7 @@ def cards(ranked: DataFrame, summaries: DataFrame, judgements: DataFrame) -> Dat
 def landscape(areas: DataFrame, records: DataFrame, n_records: int) -> DataFrame:
     """Areas (area_id, name, pos, coverage_count) with their key records and whether few records cover them."""
     hits = matching.records_for_areas(areas, records).join(records.select("seq", "title", "anchor"), "seq")
-    grouped = hits.groupBy("area_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "anchor", "citation_count"))).alias("records"))
+    grouped = hits.groupBy("area_id").agg(F.sort_array(F.collect_list(F.struct("rank", "title", "anchor", "citation_count"))).alias("records"))
     flagged = relations.low_coverage(areas.withColumn("n_records", F.lit(n_records)))
     return flagged.join(grouped, "area_id", "left")
 

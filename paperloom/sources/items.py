@@ -49,7 +49,7 @@ def abstract_of(index: Column) -> Column:
     """The words of an inverted index (word → positions) in order; of words at one place the last counts; gaps vanish."""
     placed = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     numbered = F.transform(placed, lambda x, i: F.struct(x["p"].alias("p"), i.alias("i"), x["w"].alias("w")))
-    ordered = F.array_sort(numbered)
+    ordered = F.sort_array(numbered)
     # bound as a variable, so that it is sorted once and not for each of its elements
     kept = lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["p"], F.lit(-1)) != x["p"])
     joined = F.get(F.transform(F.array(ordered), lambda s: F.array_join(F.transform(kept(s), lambda x: x["w"]), " ")), F.lit(0))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators import citations, facets, itemsets, terms, timeline, vectors
+from paperloom.operators import citations, facets, itemsets, raters, standing, terms, timeline, vectors
 
 SF = "/root/testdata/sf0.1"
 
@@ -261,3 +261,65 @@ def test_bursts_and_changes_equal_plain_searches(spark):
     assert len(cuts["step"]) == 2
     none = timeline.series(df.where(F.lit(False)), "kind", "ts")
     assert none.count() == timeline.bursts(none).count() == timeline.changes(none).count() == 0
+
+
+# -- raters and standing -------------------------------------------------------------------------------------------------
+
+
+def plain_consensus(votes, labels, rounds, smoothed):
+    items, people = sorted({v[0] for v in votes}), sorted({v[1] for v in votes})
+    p = {i: {t: sum(v == (i, v[1], t) for v in votes if v[0] == i) / sum(v[0] == i for v in votes) for t in labels} for i in items}
+    for _ in range(rounds):
+        prior = {t: sum(p[i][t] for i in items) + smoothed for t in labels}
+        said = {(r, t, x): smoothed + sum(p[i][t] for i, q, y in votes if q == r and y == x) for r in people for t in labels for x in labels}
+        new = {}
+        for i in items:
+            odds = {t: prior[t] for t in labels}
+            for _, r, x in (v for v in votes if v[0] == i):
+                for t in labels:
+                    odds[t] *= said[r, t, x] / sum(said[r, t, y] for y in labels)
+            new[i] = {t: odds[t] / sum(odds.values()) for t in labels}
+        p = new
+    return p
+
+
+def test_consensus_and_agreement_equal_plain_runs(spark):
+    rng = random.Random(3)
+    votes = [(i, r, rng.choice("abc") if rng.random() < 0.15 * r else "abc"[i % 3]) for i in range(40) for r in range(5) if rng.random() < 0.8]
+    votes += [(99, 0, "a"), (0, 1, "b"), (0, 1, "b")]
+    df = spark.createDataFrame([*votes, (None, 1, "a"), (1, None, "a"), (1, 1, None)], "item int, rater int, label string")
+    found = defaultdict(dict)
+    for r in raters.consensus(df, list("abc"), 4).collect():
+        found[r["item"]][r.label] = r.p
+    want = plain_consensus(votes, list("abc"), 4, raters.SMOOTHED)
+    assert found.keys() == want.keys() and all(abs(found[i][t] - want[i][t]) < 1e-9 for i in want for t in "abc")
+    # alpha from all ordered pairs of votes within items and over all
+    by = defaultdict(list)
+    for i, _, x in votes:
+        by[i].append(x)
+    by = {i: v for i, v in by.items() if len(v) > 1}
+    every = [x for v in by.values() for x in v]
+    apart = sum(a != b for v in by.values() for k, a in enumerate(v) for j, b in enumerate(v) if k != j)
+    observed = sum(sum(a != b for k, a in enumerate(v) for j, b in enumerate(v) if k != j) / (len(v) - 1) for v in by.values()) / len(every)
+    expected = sum(a != b for k, a in enumerate(every) for j, b in enumerate(every) if k != j) / (len(every) * (len(every) - 1))
+    (row,) = raters.agreement(df).collect()
+    assert apart and row.n == len(every) and row.observed == pytest.approx(observed) and row.expected == pytest.approx(expected) and row.alpha == pytest.approx(1 - observed / expected)
+    assert raters.agreement(df.limit(0)).count() == raters.consensus(df.limit(0), ["a"], 1).count() == 0
+
+
+def test_precision_and_its_spread(spark):
+    rows = spark.range(1, 401).selectExpr("id", "int(id) AS rank", "id % 4 <> 0 AS relevant")
+    found = {r.k: r for r in raters.precision(rows, (40, 400)).collect()}
+    for k in (40, 400):
+        error = math.sqrt(0.75 * 0.25 / k)
+        assert found[k].precision == 0.75 and abs(0.75 - found[k].low - 1.96 * error) < 0.6 * error and abs(found[k].high - 0.75 - 1.96 * error) < 0.6 * error
+    assert raters.precision(rows.limit(0), (5,)).count() == 0
+
+
+def test_sketches_stay_within_their_error(spark):
+    found = standing.rollup(standing.sketches(spark.range(60_000).selectExpr("id % 20000 AS x", "id % 3 AS a", "id % 7 AS b"), "x", "a", "b"), "a", "b").collect()
+    exact = defaultdict(set)
+    for i in range(60_000):
+        for key in ((i % 3, i % 7), (i % 3, None), (None, None)):
+            exact[key].add(i % 20000)
+    assert len(found) == len(exact) == 25 and all(abs(r.n / len(exact[r.a, r.b]) - 1) < 4 * 1.04 / 64 for r in found)
