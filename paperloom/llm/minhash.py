@@ -195,8 +195,9 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def differences(pivot: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray], weighted: bool) -> np.ndarray:
-    """Shingles of ``own`` that go beyond ``pivot``; as many of the least as another text near ``own`` must share one of.
+def surplus(pivot: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray], weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of ``own`` that go beyond ``pivot``, as many of the least as another text near ``own`` must share one of, and for each what
+    goes beyond from there on.
 
     A near text shares SIMILARITY of the size of ``own`` at least, of which ``pivot`` can account for the common part only.  So
     much has to come from what goes beyond; shingles at the end whose weights together don't reach it can be left out.
@@ -204,19 +205,26 @@ def differences(pivot: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.
     (x, n), (y, m) = own, pivot
     if not weighted:
         n, m = np.ones_like(n), np.ones_like(m)
-    if not len(y):
-        return x
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    excess = n - np.where(y[at] == x, np.minimum(n, m[at]), 0)
+    if len(y):
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        excess = n - np.where(y[at] == x, np.minimum(n, m[at]), 0)
+    else:
+        excess = n
     total = int(n.sum())
     needed = max(1, math.ceil(SIMILARITY * total - (total - int(excess.sum())) - 1e-9))
     tail = np.cumsum(excess[::-1])[::-1]
-    return x[(excess > 0) & (tail >= needed)]
+    kept = (excess > 0) & (tail >= needed)
+    return x[kept], tail[kept]
+
+
+def differences(pivot: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray], weighted: bool) -> np.ndarray:
+    """The shingles of :func:`surplus`."""
+    return surplus(pivot, own, weighted)[0]
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, weighted: bool = True, detail: bool = False) -> DataFrame:
     """a, b, linked (their whole texts have ``SIMILARITY`` or more), common (size of the common part) of pairs (a, b) of nodes, and with
-    ``detail`` the :func:`differences` of b from a; without, only pairs whose sizes allow the similarity.
+    ``detail`` the :func:`surplus` of b over a, beyond and rest; without, only pairs whose sizes allow the similarity.
 
     Only texts in such pairs leave the table.  The members b of a pivot a are dealt into chunks, each of which meets the pivot's
     text once, at its head, so that a pivot with a large share of all members is no burden to any task.
@@ -251,12 +259,13 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, weighted: bool =
                 own = shingles(text.as_py())
                 j = jaccard(mine, own, weighted)
                 total = float(mine[1].sum() + own[1].sum()) if weighted else len(mine[0]) + len(own[0])
-                out.append((a, b, j >= SIMILARITY - 1e-12, j * total / (1 + j), differences(mine, own, weighted).view(np.int64) if detail else []))
-            kinds = [pa.binary(), pa.binary(), pa.bool_(), pa.float64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["a", "b", "linked", "common", "beyond"])
+                beyond, rest = surplus(mine, own, weighted) if detail else (np.zeros(0, _U), np.zeros(0, np.int64))
+                out.append((a, b, j >= SIMILARITY - 1e-12, j * total / (1 + j), beyond.view(np.int64), rest))
+            kinds = [pa.binary(), pa.binary(), pa.bool_(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["a", "b", "linked", "common", "beyond", "rest"])
 
     both = heads.unionByName(members).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "member")
-    done = materialize(both.select("a", "member", "b", "text").mapInArrow(batches, "a binary, b binary, linked boolean, common double, beyond array<bigint>"), "rated")
+    done = materialize(both.select("a", "member", "b", "text").mapInArrow(batches, "a binary, b binary, linked boolean, common double, beyond array<bigint>, rest array<bigint>"), "rated")
     for table_ in used:
         discard(table_)
     return done
@@ -286,9 +295,10 @@ def classes(docs: DataFrame, weighted: bool = True) -> DataFrame:
     now = rated.join(nodes.select(F.col("node").alias("b"), "size"), "b").join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
     counted = now.groupBy("a", "root").agg(F.count("*").alias("m"))
     largest = counted.groupBy("a").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1").select("a", "top")
-    left = materialize(now.join(largest, "a").select("a", F.col("b").alias("node"), "size", "common", "beyond", "root", (F.col("root") != F.col("top")).alias("outside")), "left")
+    left = materialize(now.join(largest, "a").select("a", F.col("b").alias("node"), "size", "common", "beyond", "rest", "root", (F.col("root") != F.col("top")).alias("outside")), "left")
     # a pair that shares several pivots, 25 at most, meets under the least of them: any would find it
-    left_of = left.join(left.groupBy("node").agg(F.collect_set("a").alias("pivots")), "node")
+    left_of = materialize(left.join(left.groupBy("node").agg(F.collect_set("a").alias("pivots")), "node"), "left-of")
+    discard(left)
     side = lambda df, c, *on: df.select(*on, F.col("node").alias(c), *(F.col(v).alias(f"{c}_{v}") for v in ("size", "common", "root", "outside", "pivots")))
     # sizes must fit, and what the pivot doesn't account for must lie within what each has beyond it
     needed = SIMILARITY / (1 + SIMILARITY) * (F.col("x_size") + F.col("y_size"))
@@ -296,11 +306,12 @@ def classes(docs: DataFrame, weighted: bool = True) -> DataFrame:
     apart = (F.col("x_root") != F.col("y_root")) & (F.least("x_size", "y_size") >= SIMILARITY * F.greatest("x_size", "y_size") - 1e-9)
     apart &= (needed - F.least("x_common", "y_common") <= beyond + 1e-6) & (~F.col("x_outside") | (F.col("y") < F.col("x")))
     apart &= F.col("a") == F.array_min(F.array_intersect("x_pivots", "y_pivots"))
-    # two near texts share something that the pivot doesn't have; short lists of differences go along, so that the pair meets at the
-    # least of what it shares alone and not at all of it
-    marks = left_of.select("*", F.explode("beyond").alias("mark"), F.when(F.size("beyond") <= CARRIED, F.col("beyond")).alias("list"))
-    met = F.col("x_list").isNull() | F.col("y_list").isNull() | (F.col("mark") == F.array_min(F.array_intersect("x_list", "y_list")))
-    marked = lambda df, c: side(df, c, "a", "mark", F.col("list").alias(f"{c}_list"))
+    # two near texts share something that the pivot doesn't have; the differences before each, the first ``CARRIED`` at most, go along, so
+    # that a pair meets at the first of what it shares and not at all of it; from there on both must have what the pivot doesn't account for
+    marks = left_of.select("*", F.posexplode("beyond").alias("at", "mark")).withColumn("before", F.slice("beyond", F.lit(1), F.least("at", F.lit(CARRIED))))
+    marks = marks.withColumn("rest", F.element_at("rest", F.col("at") + 1))
+    met = ~F.arrays_overlap("x_before", "y_before") & (needed - F.least("x_common", "y_common") <= F.least("x_rest", "y_rest") + 1e-6)
+    marked = lambda df, c: side(df, c, "a", "mark", F.col("before").alias(f"{c}_before"), F.col("rest").alias(f"{c}_rest"))
     one = marked(marks.where("outside"), "y").join(marked(marks, "x"), ["a", "mark"]).where(apart & met).select("x", "y")
     # ... or have almost all from the pivot; sizes that fit are in one step of 1 / SIMILARITY or in neighbouring ones
     step_of = F.floor(F.log(F.col("size").cast("double")) / -math.log(SIMILARITY)).cast("int")
@@ -310,7 +321,7 @@ def classes(docs: DataFrame, weighted: bool = True) -> DataFrame:
     two = side(around, "y", "a", "step").join(side(inner, "x", "a", "step"), ["a", "step"]).where(apart & most).select("x", "y")
     pairs = one.unionByName(two).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     step = materialize(pairs, "step")
-    discard(left)
+    discard(left_of)
     if not step.isEmpty():
         more = verify(step, nodes, docs, weighted)
         before, roots = roots, components(links.unionByName(more.where("linked").select("a", "b")))
