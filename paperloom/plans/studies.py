@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import citations, facets, graph, itemsets, raters, replay, standing, terms, timeline, vectors
+from ..operators import citations, facets, graph, itemsets, raters, replay, standing, taxonomy, terms, timeline, vectors
 from ..sinks import tables, versions
 from .catalog import PAPERS, papers, query, read
 
@@ -294,3 +294,21 @@ def q_distinct_readers(spark, sf):
     """About how many customers ordered, by status, priority and in all, from sketches; tests compare with exact counts."""
     orders = read(spark, sf, "orders").select("o_orderstatus", "o_orderpriority", "o_custkey")
     return standing.rollup(standing.sketches(orders, "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderstatus", "o_orderpriority")
+
+
+# -- taxonomies ----------------------------------------------------------------------------------------------------------
+
+
+def brand_taxonomies(spark, sf):
+    """Brands as surveys, whose types hold parts: survey, node, parent, label."""
+    p = read(spark, sf, "part").select("p_brand", "p_type", "p_name").distinct()
+    kind = F.concat_ws(" ", F.lower("p_type"), F.when(F.length("p_brand") % 2 == 0, "goods"))
+    tops = p.select(F.col("p_brand").alias("survey"), F.concat_ws("|", "p_brand", "p_type").alias("node"), F.lit(None).cast("string").alias("parent"), kind.alias("label"))
+    return tops.unionByName(p.select("p_brand", F.concat_ws("|", "p_brand", "p_type", "p_name"), F.concat_ws("|", "p_brand", "p_type"), "p_name").toDF("survey", "node", "parent", "label")).distinct()
+
+
+@query()
+def q_taxonomy_merge(spark, sf):
+    """Elements of the merged taxonomy and the brands that have them; tests compare with a plain run."""
+    nodes = brand_taxonomies(spark, sf)
+    return taxonomy.frequency(nodes, taxonomy.merge(nodes, 2))

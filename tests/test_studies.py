@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators import citations, facets, itemsets, raters, standing, terms, timeline, vectors
+from paperloom.operators import citations, facets, itemsets, raters, standing, taxonomy, terms, timeline, vectors
 
 SF = "/root/testdata/sf0.1"
 
@@ -323,3 +323,69 @@ def test_sketches_stay_within_their_error(spark):
         for key in ((i % 3, i % 7), (i % 3, None), (None, None)):
             exact[key].add(i % 20000)
     assert len(found) == len(exact) == 25 and all(abs(r.n / len(exact[r.a, r.b]) - 1) < 4 * 1.04 / 64 for r in found)
+
+
+# -- taxonomies ----------------------------------------------------------------------------------------------------------
+
+
+def plain_merge(nodes, levels, least, hashed):
+    """The same rounds with every pair rated; nodes are (survey, node, parent, label)."""
+    rows = {(s, n, p, tuple(sorted(words(t)))) for s, n, p, t in nodes if s is not None and n is not None and words(t)}
+    element, out = {None: ""}, {}
+    for level in range(levels):
+        now = [(s, n, p, w, element[p] + "/" + " ".join(w)) for s, n, p, w in rows if (p is None) == (level == 0) and p in element]
+        scope = {i: element[p] for _, _, p, _, i in now}
+        spots = defaultdict(set)
+        for s, _, p, _, i in now:
+            spots[i].add((s, p))
+        sim = lambda a, b: 2 * len(own[a] & own[b]) / (len(own[a]) + len(own[b]))  # noqa: E731, B023
+        own = {i: set(w) for *_, w, i in now}
+        near = {a: {b for b in own if b != a and scope[a] == scope[b] and sim(a, b) >= least - 1e-9 and not spots[a] & spots[b]} for a in own}
+        turn = lambda i: (hashed[i], i)
+        left, pivot = set(own), {}
+        while left:
+            first = {i for i in left if all(turn(i) < turn(j) for j in near[i] & left)}
+            wish = {i: max(near[i] & first, key=lambda b: (sim(i, b), -hashed[b], b)) for i in left - first if near[i] & first}  # noqa: B023
+            for i, b in wish.items():
+                rivals = [j for j, c in wish.items() if c == b and j != i and spots[i] & spots[j]]
+                if all((-sim(i, b), hashed[i], i) < (-sim(j, b), hashed[j], j) for j in rivals):
+                    pivot[i] = b
+            pivot |= {i: i for i in first}
+            left -= set(pivot)
+        element = {n: pivot[i] for _, n, _, _, i in now} | ({None: ""} if level < 0 else {})
+        out |= {n: (level, e) for n, e in element.items()}
+    return out
+
+
+def test_taxonomies_merge_in_any_order(spark):
+    rng = random.Random(12)
+    vocabulary = "graph neural network deep model tree learning data survey text".split()
+    nodes = []
+    for s in range(6):
+        for k in range(5):
+            nodes.append((f"s{s}", f"{s}.{k}", None, " ".join(rng.sample(vocabulary, rng.randint(1, 3)))))
+            nodes += [(f"s{s}", f"{s}.{k}.{j}", f"{s}.{k}", " ".join(rng.sample(vocabulary, rng.randint(1, 4)))) for j in range(4)]
+    nodes += [("s0", "bare", None, "?!"), ("s0", "under", "bare", "graph"), (None, "lost", None, "graph"), nodes[0]]
+    kind = "survey string, node string, parent string, label string"
+    results = []
+    for _ in range(2):
+        rng.shuffle(nodes)
+        found = taxonomy.merge(spark.createDataFrame(nodes, kind), 2)
+        results.append({r.node: (r.level, r.element) for r in found.collect()})
+    names = {e for _, e in results[0].values()} | {i for i in _items(nodes, results[0])}
+    hashed = {r.i: r.h for r in spark.createDataFrame([(n,) for n in names], "i string").select("i", F.xxhash64("i").alias("h")).collect()}
+    assert results[0] == results[1] == plain_merge(nodes, 2, taxonomy.LEAST, hashed)
+    counts = {(r.level, r.element): (r.surveys, r.nodes) for r in taxonomy.frequency(spark.createDataFrame(nodes, kind), found).collect()}
+    of = {n: s for s, n, _, _ in nodes}
+    want = defaultdict(set)
+    for n, x in results[0].items():
+        want[x].add(n)
+    assert counts == {x: (len({of[n] for n in ns}), len(ns)) for x, ns in want.items()} and max(s for s, _ in counts.values()) > 2
+    assert taxonomy.merge(spark.createDataFrame([], kind)).count() == 0
+
+
+def _items(nodes, merged):
+    """Names of all labels below the merged parents."""
+    for _, _, p, t in nodes:
+        if words(t) and (p is None or p in merged):
+            yield (merged[p][1] if p is not None else "") + "/" + " ".join(sorted(words(t)))
