@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import citations, facets, graph, itemsets, raters, replay, standing, taxonomy, terms, timeline, vectors
+from ..session import shared_dir
 from ..sinks import tables, versions
+from ..streaming import digest
 from .catalog import PAPERS, papers, query, read
 
 __all__ = ["read"]
@@ -312,3 +315,17 @@ def q_taxonomy_merge(spark, sf):
     """Elements of the merged taxonomy and the brands that have them; tests compare with a plain run."""
     nodes = brand_taxonomies(spark, sf)
     return taxonomy.frequency(nodes, taxonomy.merge(nodes, 2))
+
+
+# -- digest --------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id AS seq, min(doc_id) OVER (PARTITION BY lower(trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g')))) AS leader FROM documents")
+def q_stream_leaders(spark, sf):
+    """Leaders of documents by their titles, as they arrive in a stream of the table's files."""
+    whole = read(spark, sf, "documents")
+    stream = spark.readStream.schema(whole.schema).parquet(f"{sf}/documents.parquet*")
+    rows = stream.select(F.col("doc_id").alias("seq"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), *[F.lit(None).cast("string").alias(c) for c in ("doi", "arxiv_id")], F.lit(None).cast("timestamp").alias("at"))
+    at = f"{shared_dir(spark)}/digest-{uuid.uuid4().hex}"
+    digest.follow(rows, f"{at}/library", f"{at}/state").awaitTermination()
+    return digest.assigned(spark, f"{at}/library")

@@ -100,8 +100,11 @@ def read_version(spark: SparkSession, path: str, version: int | None = None) ->
     return spark.read.schema(known["schema"]).parquet(f"{path}/{known['data']}")
 
 
-def commit(df: DataFrame, path: str, based_on: int) -> int:
-    """Write ``df`` as the version after ``based_on`` and return its number; :class:`Conflict` if there is one already."""
+def commit(df: DataFrame, path: str, based_on: int, **notes) -> int:
+    """Write ``df`` as the version after ``based_on`` and return its number; :class:`Conflict` if there is one already.
+
+    ``notes`` are kept in the manifest.
+    """
     spark, number, name = df.sparkSession, based_on + 1, f"data/{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{name}")
     jvm, at, files = _files(spark, f"{path}/manifests/{number}.json")
@@ -110,7 +113,7 @@ def commit(df: DataFrame, path: str, based_on: int) -> int:
     options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.CreateOpts, 1)
     options[0] = jvm.org.apache.hadoop.fs.Options.CreateOpts.createParent()
     out = files.create(own, flags, options)
-    out.write(json.dumps({"version": number, "based_on": based_on, "data": name, "schema": df._jdf.schema().toDDL()}).encode())
+    out.write(json.dumps({**notes, "version": number, "based_on": based_on, "data": name, "schema": df._jdf.schema().toDDL()}).encode())
     out.close()
     free = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     free[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
