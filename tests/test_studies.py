@@ -99,6 +99,24 @@ def test_titles_found_equal_all_scores(spark):
     assert terms.best_titles(empty, spark.createDataFrame([("a",)], "text string")).count() == 0
 
 
+def test_lookups_compare_few_pairs_and_carry_no_words(spark):
+    """Texts that share half of their words with titles of the same length: bounds leave few pairs, of which only ids are written."""
+    rng = random.Random(9)
+    usual, rare = [f"u{k}" for k in range(150)], [f"r{k}" for k in range(4000)]
+    title = lambda: " ".join(rng.sample(usual, 12) + rng.sample(rare, 6))
+    titles = [(i, title()) for i in range(600)]
+    texts = [title() for _ in range(570)] + [t + " more" for _, t in titles[:30]]
+    index = terms.build(spark.createDataFrame(titles, "seq long, title string"))
+    sets = spark.createDataFrame([(t,) for t in texts], "text string").select(terms.words_key("text").alias("words"))
+    sets = sets.withColumn("key", terms.hashed(terms.F.array_join("words", " ")))
+    sets = terms.term_sets(sets, index.words, index.rarest).withColumn("total", terms.total("terms")).withColumn("id", terms.F.xxhash64("key"))
+    pairs = terms.candidates(sets, index.postings, index.least)
+    assert dict(pairs.dtypes) == {"id": "bigint", "seq": "bigint"}
+    assert 30 <= pairs.count() <= 60
+    assert terms.resolved(index, spark.createDataFrame([(t,) for t in texts], "text string")).count() >= 30
+    index.discard()
+
+
 def test_most_shared_equals_all_counts(spark):
     rng = random.Random(8)
     vocabulary = [f"t{k}" for k in range(25)]
