@@ -23,9 +23,22 @@ from ..functions.text import normalized_title
 from ..schema import RECORD, present
 from ..session import discard, importable, listed, materialize
 from .graph import components
+from .terms import few
 
 #: Least fuzzy ratio, in percent; length of the substrings that block the similarity join; rounds before chains are replayed.
 PERCENT, GRAM, ROUNDS = 95, 4, 3
+#: Groups of characters that are counted.
+GROUPS = 16
+
+
+def counts_of(name: str) -> list[Column]:
+    """How often a text has the characters of each of ``GROUPS`` groups, up to 255, eight in a word: count0, count1, …"""
+
+    def count(k: int) -> Column:
+        own = "".join(f"\\x{{{c:x}}}" for c in range(1, 128) if c % GROUPS == k)
+        return F.least(F.length(F.regexp_replace(name, f"[^{own}]", "")), F.lit(255)).cast("long")
+
+    return [sum((F.shiftleft(count(8 * m + k), 8 * k) for k in range(1, 8)), count(8 * m)).alias(f"count{m}") for m in range(GROUPS // 8)]
 
 
 def fuzzy_pairs(titles: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -33,23 +46,29 @@ def fuzzy_pairs(titles: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Titles of lengths x <= y with ratio r lie within d = (1 - r)(x + y) insertions and deletions, and y <= x (2 - r) / r.  Each
     edit spoils at most GRAM substrings, so the GRAM*d + 1 rarest substrings of both titles have one in common: only those are
-    joined on.  Lengths and a bounded edit distance, both built in, thin the candidates; the ratio itself is an Arrow UDF.
+    joined on.  Lengths, counts of characters in the join itself, and a bounded edit distance, all built in, thin the candidates; the
+    ratio itself is an Arrow UDF.
     """
     gap = (100 - percent) / 100
     reach = 200 / percent  # (x + y) / x at most, since 2 x / (x + y) >= percent / 100 for the shorter x
     spoiled = F.floor(F.length("title") * (gap * reach) + 1e-6) * GRAM + 1
-    # one scan of the title: a look ahead at each code point
+    # one scan of the title: a look ahead at each code point; equal hashes of different substrings only add candidates
     runs = F.regexp_extract_all("title", F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1))
-    grams = F.when(F.length("title") < GRAM, F.array("title")).otherwise(F.array_distinct(runs))
-    rows = titles.select("id", F.length("title").alias("n"), spoiled.cast("int").alias("keep"), F.explode(grams).alias("gram"))
-    usual = rows.groupBy("gram").agg(F.count("*").alias("df"))
-    ordered = rows.join(usual.where("df > 1"), "gram", "left").select("id", "n", "keep", "gram", F.coalesce("df", F.lit(1)).alias("df"))
+    grams = F.array_distinct(F.transform(F.when(F.length("title") < GRAM, F.array("title")).otherwise(runs), lambda x: F.xxhash64(x)))
+    usual = titles.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    # titles are dealt by id once, and their substrings stay there, as long as the counts are few enough to be broadcast
+    rows = titles.select("id", "title").repartition("id").select("id", F.length("title").alias("n"), spoiled.cast("int").alias("keep"), *counts_of("title"), F.explode(grams).alias("gram"))
+    marks = [f"count{k}" for k in range(GROUPS // 8)]
+    ordered = rows.join(few(usual), "gram", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     prefix = ordered.withColumn("n_", F.row_number().over(Window.partitionBy("id").orderBy("df", "gram"))).where("n_ <= keep AND df > 1")
-    one = prefix.select("gram", F.col("id").alias("a"), F.col("n").alias("la"))
-    two = prefix.select("gram", F.col("id").alias("b"), F.col("n").alias("lb"))
+    one = prefix.select("gram", F.col("id").alias("a"), F.col("n").alias("la"), *(F.col(m).alias(f"a_{m}") for m in marks))
+    two = prefix.select("gram", F.col("id").alias("b"), F.col("n").alias("lb"), *(F.col(m).alias(f"b_{m}") for m in marks))
     budget = F.floor((F.col("la") + F.col("lb")) * gap + 1e-6).cast("int")
-    # grams and lengths only: the titles join the candidates, not each of their grams
-    pairs = one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= budget)).select("a", "b", budget.alias("budget")).distinct()
+    # an edit changes one count of characters by one
+    byte = lambda x, k: F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))
+    apart = sum((F.abs(byte(F.col(f"a_{m}"), k) - byte(F.col(f"b_{m}"), k)) for m in marks for k in range(8)), F.lit(0))
+    # grams, lengths and counts only: the titles join the candidates, not each of their grams
+    pairs = one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= budget) & (apart <= budget)).select("a", "b", budget.alias("budget")).distinct()
     near = pairs.join(titles.select(F.col("id").alias("a"), F.col("title").alias("ta")), "a").join(titles.select(F.col("id").alias("b"), F.col("title").alias("tb")), "b")
     near = near.where(F.expr("levenshtein(ta, tb, budget) BETWEEN 0 AND budget"))
 

@@ -159,3 +159,23 @@ def test_cross_queries(spark):
     got = {r["query_string"] for r in dedup.cross_queries(topics, terms).collect()}
     assert got == {f'"{t}" "{s}"' for t in ("RAG", "LLM") for s in ("survey", "review")}
     assert dedup.cross_queries(topics.limit(0), terms).count() == 0
+
+
+def test_fuzzy_candidates_are_few(spark, monkeypatch):
+    """Titles of one length and of the same substrings: counts of characters part most, before any pair is written."""
+    import random
+
+    rng = random.Random(3)
+    parts = ["tion", "ring", "ment", "able", "ness", "port", "land", "ship"]
+    titles = [(k, "".join(rng.choice(parts) for _ in range(12))) for k in range(200)] + [(500, "tion" * 12), (501, "tion" * 11 + "tiox")]
+    df = spark.createDataFrame(titles, "id long, title string")
+    text = dedup.fuzzy_pairs(df)
+    got = {(r.a, r.b) for r in text.collect()}
+    from paperloom.functions import fuzzy
+
+    want = {(a, b) for a, x in titles for b, y in titles if a < b and x != y and fuzzy.close(x, y, dedup.PERCENT)}
+    assert got == want and (500, 501) in got
+    counts = {r.id: [(w >> 8 * k) & 255 for w in (r.count0, r.count1) for k in range(8)] for r in df.select("id", *dedup.counts_of("title")).collect()}
+    apart = lambda a, b: sum(abs(x - y) for x, y in zip(counts[a], counts[b], strict=True))
+    assert all(sum(counts[k]) == len(t) for k, t in titles)
+    assert sum(apart(a, b) <= 4 for a in range(200) for b in range(a)) < 200 * 199 / 2 / 10
