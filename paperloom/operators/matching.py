@@ -17,6 +17,10 @@ AREA_STOPWORDS = (
     "approaches", "approach", "methods", "method",
 )
 
+#: Widths and numbers of neighbours of the substrings by which a text is looked for in others, and the least length of a text that has any.
+TIERS = ((8, 9), (24, 17))
+LONG = sum(TIERS[0]) - 1
+
 
 def named_like(df: DataFrame, table: DataFrame, name: str, known: str = "name", value: str = "points", pos: str = "pos", otherwise=None) -> DataFrame:
     """Add ``value`` of the entry of ``table`` (known, value, pos) with the same name, else of the first in order that contains
@@ -53,6 +57,37 @@ def contained(small: DataFrame, big: DataFrame, group: list[str]) -> DataFrame:
     return rarest.join(large, [*group, "gram"]).where(F.contains("b", F.col("s"))).select(*group, "s", "b")
 
 
+def selected(name: str, width: int, window: int) -> Column:
+    """The least hash of each ``window`` neighbouring substrings of ``width`` characters of a text, or null if it is shorter than that."""
+    last = F.length(name) - width + 1
+    hashes = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(F.col(name), i, F.lit(width))))
+    least = lambda all_: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(all_) - window + 1), lambda i: F.array_min(F.slice(all_, i, F.lit(window)))))
+    return F.when(F.length(name) >= width + window - 1, F.element_at(F.transform(F.array(hashes), least), 1))
+
+
+def contained_long(small: DataFrame, big: DataFrame, group: list[str]) -> DataFrame:
+    """:func:`contained` for texts ``s`` of ``LONG`` characters or more, by ids and hashes; the texts join the candidates only.
+
+    Of each few neighbouring substrings of a text the one with the least hash is selected.  What is selected in ``s`` is so in every text
+    that contains it, since the neighbours are the same; so ``s`` is looked for by the rarest of its own.  Longer texts have longer
+    substrings to be looked for by, which few others share.
+    """
+    ids = lambda df, x: df.where(F.length(x) >= LONG).select(*group, x).distinct().withColumn(f"{x}_id", F.unhex(F.md5(x)))
+    one, two = ids(small, "s"), ids(big, "b")
+    pairs = None
+    for k, (width, window) in enumerate(TIERS):
+        least, beyond = width + window - 1, sum(TIERS[k + 1]) - 1 if k + 1 < len(TIERS) else None
+        own = one.where(F.length("s") >= least) if beyond is None else one.where((F.length("s") >= least) & (F.length("s") < beyond))
+        large = two.select(*group, "b_id", F.explode(selected("b", width, window)).alias("gram"))
+        usual = large.groupBy(*group, "gram").agg(F.count("*").alias("n_"))
+        each = own.select(*group, "s_id", F.explode(selected("s", width, window)).alias("gram"))
+        # a text with a selected substring that no other has is in none
+        rarest = each.join(usual, [*group, "gram"], "left").groupBy(*group, "s_id").agg(F.min_by("gram", F.struct(F.coalesce("n_", F.lit(0)), "gram")).alias("gram"))
+        met = rarest.join(large, [*group, "gram"]).select(*group, "s_id", "b_id")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    return pairs.join(one, [*group, "s_id"]).join(two, [*group, "b_id"]).where(F.contains("b", F.col("s"))).select(*group, "s", "b")
+
+
 def resolve(links: DataFrame, names: DataFrame, ref: str, group: list[str] | None = None) -> DataFrame:
     """Add ``resolved``: the name of ``names`` (group, name, pos) that ``ref`` equals up to case, else the first that contains it or
     is contained in it within the group, else null; blank references match by equality only.  Equal texts meet by hash, the others by
@@ -89,7 +124,7 @@ def find_records(fragments: DataFrame, records: DataFrame, least: float = 70, ma
     """For each title fragment (topic, fid, fragment) the record (topic, seq, title) it means, if that is clear.
 
     A title that equals, or contains or is contained in, the fragment (the contained one over ``long`` characters) wins, first in
-    order; these meet by :func:`contained`.  For the rest it is the record whose telling words are most alike, if it is ``margin`` ahead of
+    order; these meet by :func:`contained_long`.  For the rest it is the record whose telling words are most alike, if it is ``margin`` ahead of
     the second.  That ratio is of characters, which no key blocks without loss, so a topic's remaining references are rated against all
     of its records: both are those of one report.
     """
@@ -97,15 +132,21 @@ def find_records(fragments: DataFrame, records: DataFrame, least: float = 70, ma
     asked = fragments.where(F.trim("fragment") != "").withColumn("f_", F.lower(F.trim("fragment")))
     known = records.select("topic", "seq", "title", F.lower("title").alias("t_"))
     texts, titles = asked.select("topic", F.col("f_").alias("s")), known.select("topic", F.col("t_").alias("b"))
-    inside = contained(texts.where(F.length("s") > long), titles, ["topic"]).select("topic", F.col("s").alias("f_"), F.col("b").alias("t_"))
-    around = contained(titles.where(F.length("b") > long).withColumnRenamed("b", "s"), texts.withColumnRenamed("s", "b"), ["topic"]).select("topic", F.col("b").alias("f_"), F.col("s").alias("t_"))
+    within = contained_long if long + 1 >= LONG else contained
+    inside = within(texts.where(F.length("s") > long), titles, ["topic"]).select("topic", F.col("s").alias("f_"), F.col("b").alias("t_"))
+    around = within(titles.where(F.length("b") > long).withColumnRenamed("b", "s"), texts.withColumnRenamed("s", "b"), ["topic"]).select("topic", F.col("b").alias("f_"), F.col("s").alias("t_"))
     same = texts.select("topic", F.col("s").alias("f_"), F.col("s").alias("t_"))
     first = known.groupBy("topic", "t_").agg(F.min("seq").alias("seq"))
     sure = inside.unionByName(around).unionByName(same).join(first, ["topic", "t_"]).groupBy("topic", "f_").agg(F.min("seq").alias("seq"))
     found = asked.select("topic", "fid", "f_").join(sure, ["topic", "f_"]).select("topic", "fid", "seq")
     rest = asked.drop("f_").join(found, ["topic", "fid"], "left_anti").join(known.drop("t_"), "topic")
     signed = rest.withColumns({"f_": text.title_signature("fragment"), "t_": text.title_signature("title")}).where("f_ <> ''")
-    rated = signed.withColumn("score", fuzzy.columns()["token_set_ratio"]("f_", "t_"))
+    # without a common word it is the ratio of the distinct words, at most twice the shorter in both; what is no more than
+    # least - margin can't win, and can't keep another from winning
+    size = lambda x: F.length(F.array_join(F.array_distinct(F.split(x, " ")), " "))
+    shorter = F.arrays_overlap(F.split("f_", " "), F.split("t_", " ")) | (200 * F.least(size("f_"), size("t_")) > (least - margin) * (size("f_") + size("t_")))
+    rated = signed.where(shorter).withColumn("score", fuzzy.columns()["token_set_ratio"]("f_", "t_")).where(F.col("score") > least - margin)
+    rated = rated.select("topic", "fid", "seq", "score")
     w = Window.partitionBy("topic", "fid").orderBy(F.desc("score"), "seq")
     clear = rated.withColumns({"n_": F.row_number().over(w), "second": F.coalesce(F.lead("score").over(w), F.lit(0.0))})
     likely = clear.where((F.col("n_") == 1) & (F.col("score") >= least) & (F.col("score") - F.col("second") >= margin))

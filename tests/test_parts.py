@@ -150,3 +150,21 @@ def test_settings(tmp_path):
     s = load(str(tmp_path / "topics.yaml"), year_to=2025, min_quality_score=0)
     assert (s.topics, s.year_from, s.year_to, s.venue_scores, s.min_quality_score) == (("a", "b"), 2021, 2025, {"arXiv": 8}, 20.0)
     assert volume_bound(s, 3)["upper_bound"] == 3000
+
+
+def test_long_texts_contained_in_others_meet_by_few_ids(spark):
+    """All lengths around the tiers', at all places, in groups, with texts of one letter; against plain containment."""
+    import random
+
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("ab \u00e9") for _ in range(n))
+    big = [(g, text(rng.randint(1, 120))) for g in ("x", "y") for _ in range(60)] + [("x", "a" * 200), ("y", "\U0001f600b" * 50)]
+    small = []
+    for g, b in big:
+        for n in (15, 16, 17, 24, 39, 40, 41, 60):
+            at = rng.randint(0, max(len(b) - n, 0))
+            small.append((rng.choice("xy") if rng.random() < 0.2 else g, b[at : at + n]))
+    one, two = spark.createDataFrame(small, "g string, s string"), spark.createDataFrame(big, "g string, b string")
+    want = {(g, s, b) for g, s in small for h, b in big if g == h and len(s) >= matching.LONG and s in b}
+    got = [tuple(r) for r in matching.contained_long(one, two, ["g"]).collect()]
+    assert len(want) > 100 and len(got) == len(set(got)) and set(got) == want
