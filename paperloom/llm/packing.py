@@ -89,18 +89,17 @@ class WordCoder:
         if "<|" in text and any(s in text for s in self.special):
             return self.whole(text).tobytes()
         runs, known = text.lower().split(), self.known
-        try:
-            return b"".join(map(known.__getitem__, runs))
-        except KeyError:
+        if unknown := set(runs).difference(known):
             if len(known) > REMEMBERED:
                 known.clear()
-            new = {r: self.parts(r) for r in runs if r not in known}
+                unknown = set(runs)
+            new = {r: self.parts(r) for r in unknown}
             if words := list({w for parts in new.values() for w in parts if w not in known}):
                 self.learn(words)
             for r, parts in new.items():
                 if len(parts) != 1:
                     known[r] = b"".join(map(known.__getitem__, parts))
-            return b"".join(map(known.__getitem__, runs))
+        return b"".join(map(known.__getitem__, runs))
 
 
 @lru_cache(maxsize=2)
