@@ -6,10 +6,11 @@ the order within pairs is learned.  Features are measures of the text's form and
 neighbouring words, each text's of unit length.  The cut is a quantile of the training scores: that of the bad documents'
 share.  Scores are shifted and squashed so that the cut is at ``THRESHOLD``.
 
-Training takes a bounded sample of labelled rows: at most ``PER_CLASS`` documents of each label, those with the smallest
-hashes of their ids, and ``PAIRS`` pairs of them.  Scoring takes every text whole.
+Training takes every labelled training row: they are dealt into blocks of about ``BLOCK``, each block gives weights from ``PAIRS``
+pairs of its own, and these are averaged.  A label that is too rare for its rows to reach all blocks has them in as many as it
+takes.  The measures' centres and scales, and the cut, are those of all training rows.  Scoring takes every text whole.
 
-Defined results: null texts are scored like empty ones; without both labels in the sample every score is 0.5; repeated rows
+Defined results: null texts are scored like empty ones; without both labels in the training rows every score is 0.5; repeated rows
 are scored alike and stay repeated; equal scores at the quantile fall on one side of it; extra columns are kept by
 :func:`keep_good` and not returned by :func:`score`.
 """
@@ -28,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table
-from .toxicity import labelled_sample
+from .common import discard, materialize, remainder, table
 
-#: Documents of each label in the training sample, preference pairs, score from which a document counts as good.
-PER_CLASS, PAIRS, THRESHOLD = 2500, 60_000, 0.3
+#: Training rows of a block, rows of each label that a block should have, preference pairs of a block.
+BLOCK, EACH, PAIRS = 4000, 200, 60_000
+#: Score from which a document counts as good, parts of which one is 1 when weights are summed as whole numbers.
+THRESHOLD, PARTS = 0.3, 10**9
 #: Hashed content features, words whose place a worker remembers, steps of training, weight of the penalty.
 HASHED, REMEMBERED, STEPS, PENALTY = 1 << 16, 300_000, 150, 1e-3
 
@@ -111,15 +113,18 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(z, -500, 500)))).tolist()
 
 
-def train(texts: list[str | None], labels: list[int], bad_share: float, pairs: int = PAIRS, penalty: float = PENALTY, steps: int = STEPS) -> Model:
-    """Fit to labelled texts; ``bad_share`` is the share of bad documents among all training rows."""
+def train(
+    texts: list[str | None], labels: list[int], bad_share: float, pairs: int = PAIRS, penalty: float = PENALTY, steps: int = STEPS, form: tuple[np.ndarray, np.ndarray] | None = None
+) -> Model:
+    """Fit to labelled texts; ``bad_share`` is the share of bad documents among all training rows, ``form`` centre and scale of the
+    measures, if not those of these texts."""
     width = len(features(""))
     rows = np.array([features(t) for t in texts], np.float64).reshape(len(texts), width)
     y = np.array(labels)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return Model(np.zeros(width), np.ones(width), np.zeros(width), np.zeros(HASHED), math.log(THRESHOLD / (1 - THRESHOLD)))
-    model = Model(rows.mean(0), rows.std(0) + 1e-6, np.zeros(width), np.zeros(HASHED), 0.0)
+    model = Model(*(form or (rows.mean(0), rows.std(0) + 1e-6)), np.zeros(width), np.zeros(HASHED), 0.0)
     x = np.clip((rows - model.centre) / model.scale, -6, 6)
     found = [content(t) for t in texts]
     # entries by document for scores, and by place for gradients, so that both are sums of runs
@@ -166,12 +171,94 @@ def weighted_quantile(values: np.ndarray, weights: np.ndarray, share: float) ->
     return float((ordered[max(k - 1, 0)] + ordered[min(k, len(ordered) - 1)]) / 2)
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Train on the labels' own training rows: never on those whose crc32(id) mod 5 is 0."""
-    texts, ys = labelled_sample(docs, labels, "quality", 5, 0, per_class)
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """k, t and y: id, text and label of every training row, of copies one; never of those whose crc32(id) mod 5 is 0."""
     rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 5) != 0))
-    share = rows.agg(F.avg(1 - F.col("quality"))).first()[0]
-    return train(texts, ys, float(share or 0.0))
+    rows = rows.groupBy(F.col("doc_id").alias("k")).agg(F.max("quality").cast("int").alias("y"))
+    texts = docs.select(F.col("doc_id").alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).join(rows, "k")
+    return texts.groupBy("k").agg(F.min("t").alias("t"), F.max("y").alias("y"))
+
+
+def dealt(rows: DataFrame, counts: dict[int, int], block: int = BLOCK) -> tuple[DataFrame, int]:
+    """block, k, t and y of training rows, and the number of blocks; rows of a rare label go to several, so that each block has some."""
+    blocks = max(1, round(sum(counts.values()) / block))
+    copies = {y: max(1, min(blocks, math.ceil(EACH * blocks / n))) for y, n in counts.items()}
+    most = F.when(F.col("y") == 1, copies[1]).otherwise(copies[0])
+    at = F.explode(F.sequence(F.lit(0), most - 1)).alias("copy")
+    return rows.select("k", "t", "y", at).select(F.pmod(F.xxhash64("k") + F.col("copy"), F.lit(blocks)).cast("int").alias("block"), "k", "t", "y"), blocks
+
+
+def nth(ranks: DataFrame, n: int) -> int:
+    """The ``n``-th least, from 0, of whole numbers (rank): 16 bits a round, by counts."""
+    found, rest = None, ranks
+    for shift in (48, 32, 16, 0):
+        own = rest.groupBy(F.shiftright("rank", shift).alias("head")).count().orderBy("head").collect()
+        for head, count in own:
+            if n < count:
+                break
+            n -= count
+        found, rest = head, rest.where(F.shiftright("rank", shift) == head)
+    return found
+
+
+def ordered(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the values; the same function turns them back, as :func:`value` has it."""
+    bits = (np.asarray(values, np.float64) + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(2**63 - 1))
+
+
+def value(rank: int) -> float:
+    bits = np.array([rank], np.int64)
+    return float((bits ^ ((bits >> 63) & np.int64(2**63 - 1))).view(np.float64)[0])
+
+
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, block: int = BLOCK) -> Model:
+    """Train on all of the labels' own training rows: never on those whose crc32(id) mod 5 is 0."""
+    rows = materialize(training_rows(docs, labels), "training")
+    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(counts) < 2:
+        discard(rows)
+        return train([], [], 0.0)
+    width = len(features(""))
+
+    def measures(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            yield pa.RecordBatch.from_arrays([pa.array([features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))], ["x"])
+
+    each = rows.select("t").mapInArrow(measures, "x array<double>")
+    found = each.agg(*(f(F.col("x")[k]) for f in (F.avg, F.stddev_pop) for k in range(width))).first()
+    # sums of doubles depend on their order in the last digits
+    form = np.round(found[:width], 9), np.round(found[width:], 9) + 1e-6
+
+    def weights(table_: pa.Table) -> pa.Table:
+        own = table_.sort_by("k")
+        model = train(own.column("t").to_pylist(), own.column("y").to_pylist(), 0.5, form=form)
+        parts = np.rint(np.concatenate([model.weights, model.hashed]) * PARTS).astype(np.int64)
+        places = np.flatnonzero(parts)
+        _places.clear()
+        return pa.table({"place": pa.array(places, pa.int32()), "parts": pa.array(parts[places])})
+
+    own, blocks = dealt(rows, counts, block)
+    sums = own.groupBy("block").applyInArrow(weights, "place int, parts long").groupBy("place").agg(F.sum("parts")).collect()
+    all_ = np.zeros(width + HASHED)
+    for place, parts in sums:
+        all_[place] = parts / (PARTS * blocks)
+    model = Model(*form, all_[:width], all_[width:], 0.0)
+    shared = spark.sparkContext.broadcast(model)
+
+    def scored(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            yield pa.RecordBatch.from_arrays([pa.array(ordered(shared.value.raw(batch.column(0).to_pylist())))], ["rank"])
+        _places.clear()
+
+    # the cut is midway between the last score within the bad rows' share and the next
+    ranks = materialize(rows.select("t").mapInArrow(scored, "rank long"), "ranks")
+    below = nth(ranks, counts[0] - 1)
+    above = nth(ranks, counts[0])
+    for table_ in (ranks, rows):
+        discard(table_)
+    model.cut = (value(below) + value(above)) / 2
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

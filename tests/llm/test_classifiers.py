@@ -204,3 +204,33 @@ def test_toxicity_of_very_long_texts(spark):
     # every sentence adds to a noisy-or, but only the last one is an offence
     assert 1 >= got[1]["score"] >= got[2]["score"] and got[1]["score"] > 0.5 and got[3]["score"] == got[4]["score"] == 0
     assert [e["start"] >= len(long) - 1 for e in got[1]["offending"]] == [True]
+
+
+def test_every_training_row_teaches_quality(spark, monkeypatch):
+    """Blocks hold all training rows, rare labels reach each, and the cut is that of all rows' scores."""
+    np, F = quality.np, quality.F
+    rng = random.Random(12)
+    rows = [(k, f"fine words number {k} and more of them" if k % 40 else f"bad !! bad !! {k}", int(k % 40 > 0)) for k in range(4000)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(7, "a copy")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, quality int")
+    training = {k: y for k, _, y in rows if zlib.crc32(str(k).encode()) % 5}
+    found = quality.training_rows(docs, labels)
+    assert {r.k: r.y for r in found.collect()} == training and found.count() == len(training)
+    counts = {y: list(training.values()).count(y) for y in (0, 1)}
+    own, blocks = quality.dealt(found, counts, 100)
+    held = {}
+    for r in own.select("block", "k", "y").collect():
+        held.setdefault(r.block, []).append((r.k, r.y))
+    assert len(held) == blocks == round(len(training) / 100) and {k for x in held.values() for k, _ in x} == set(training)
+    assert all({y for _, y in x} == {0, 1} for x in held.values())
+    model = quality.fit(spark, docs, labels, 800)
+    texts = {r.k: r.t for r in found.collect()}
+    scores = np.sort(model.raw([texts[k] for k in training]))
+    assert model.cut == pytest.approx(quality.weighted_quantile(scores, np.ones(len(scores)), counts[0] / len(scores)))
+    # a place of a word that one row alone has, whichever it is, has a weight of its own
+    for k in rng.sample(sorted(training), 50):
+        assert model.hashed[zlib.crc32(str(k).encode()) % quality.HASHED] != 0
+    values = np.array([0.5, -3.0, 0.0, 2.25, -3.0, 1e300, -1e-300])
+    ranks = spark.createDataFrame([(int(x),) for x in quality.ordered(values)], "rank long")
+    assert [quality.value(quality.nth(ranks, n)) for n in range(len(values))] == sorted(values.tolist())
