@@ -15,8 +15,9 @@ pairs: each member is compared with the bucket's pivot, exactly and on whole tex
 different classes may still be near one another.  If no shingle that
 goes beyond p (or occurs more often than in p) is in both, x and y share at most the lesser of what each has in common with p,
 which is too little unless almost all of both is.  So such members are compared if they share one of the (few, least) shingles that go beyond the pivot, or if almost
-all of both comes from it and sizes fit: this finds every link among a bucket's members, and copies that drifted apart on their own
-give no pairs, however many they are.  Texts of similarity 0.8 share no band of 25 in 5 of 100,000 cases.
+all of both comes from it and sizes fit.  What two members share is what both have of the pivot and what both have beyond it; bitmaps of what each has beyond it, and of
+what it lacks, bound that from above, and pairs that can't reach the similarity are dropped in the join.  This finds every link among a bucket's members, and copies
+that drifted apart on their own give no pairs, however many they are.  Texts of similarity 0.8 share no band of 25 in 5 of 100,000 cases.
 
 Words are runs of `[^\\x20\\x09-\\x0D]`; a text with 1 to 4 words has one shingle of all of them, a text without words none.
 Defined results: null texts count as empty and equal texts (the empty one too) are one class; texts without words are near
@@ -32,7 +33,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -40,8 +41,9 @@ from .common import discard, materialize, table
 
 #: Words of a shingle, least similarity, bands, coordinates of a band.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
-#: Members of a pivot that are compared in one go; rows that are broadcast at most (24 bytes each); differences that go along with each.
-CHUNK, BROADCAST_ROWS, CARRIED = 256, 400_000, 128
+#: Members of a pivot that are compared in one go; rows that are broadcast at most (24 bytes each); differences that go along with each;
+#: words of 64 bits in a bitmap of differences.
+CHUNK, BROADCAST_ROWS, CARRIED, BITMAP = 256, 400_000, 128, 8
 
 _U = np.uint64
 _BASE, _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0xD6E8FEB86659FD93)
@@ -195,6 +197,33 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def excess(pivot: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray], weighted: bool) -> np.ndarray:
+    """How much of each shingle of ``own`` goes beyond ``pivot``."""
+    (x, n), (y, m) = own, pivot
+    if not weighted:
+        n, m = np.ones_like(n), np.ones_like(m)
+    if not len(y):
+        return n
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return n - np.where(y[at] == x, np.minimum(n, m[at]), 0)
+
+
+def bitmap(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``BITMAP`` words that have a bit for the hash of each element of positive weight, and by how much all weights exceed the bits.
+
+    The common weight of two such sets is at most the bits that both have and the lesser excess: see :func:`shared_most`.
+    """
+    bits = np.zeros(64 * BITMAP, bool)
+    bits[(elements[weights > 0] % _U(64 * BITMAP)).astype(np.int64)] = True
+    return np.append(np.packbits(bits).view(np.int64), int(weights.sum()) - int(bits.sum()))
+
+
+def shared_most(x: str, y: str) -> Column:
+    """The most that the sets of two bitmaps can have in common."""
+    both = [F.bit_count(F.col(x)[i].bitwiseAND(F.col(y)[i])) for i in range(BITMAP)]
+    return sum(both[1:], both[0]) + F.least(F.col(x)[BITMAP], F.col(y)[BITMAP])
+
+
 def surplus(pivot: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray], weighted: bool) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of ``own`` that go beyond ``pivot``, as many of the least as another text near ``own`` must share one of, and for each what
     goes beyond from there on.
@@ -202,18 +231,12 @@ def surplus(pivot: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndar
     A near text shares SIMILARITY of the size of ``own`` at least, of which ``pivot`` can account for the common part only.  So
     much has to come from what goes beyond; shingles at the end whose weights together don't reach it can be left out.
     """
-    (x, n), (y, m) = own, pivot
-    if not weighted:
-        n, m = np.ones_like(n), np.ones_like(m)
-    if len(y):
-        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-        excess = n - np.where(y[at] == x, np.minimum(n, m[at]), 0)
-    else:
-        excess = n
-    total = int(n.sum())
-    needed = max(1, math.ceil(SIMILARITY * total - (total - int(excess.sum())) - 1e-9))
-    tail = np.cumsum(excess[::-1])[::-1]
-    kept = (excess > 0) & (tail >= needed)
+    x, n = own
+    more = excess(pivot, own, weighted)
+    total = int(n.sum()) if weighted else len(n)
+    needed = max(1, math.ceil(SIMILARITY * total - (total - int(more.sum())) - 1e-9))
+    tail = np.cumsum(more[::-1])[::-1]
+    kept = (more > 0) & (tail >= needed)
     return x[kept], tail[kept]
 
 
@@ -224,7 +247,8 @@ def differences(pivot: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, weighted: bool = True, detail: bool = False) -> DataFrame:
     """a, b, linked (their whole texts have ``SIMILARITY`` or more), common (size of the common part) of pairs (a, b) of nodes, and with
-    ``detail`` the :func:`surplus` of b over a, beyond and rest; without, only pairs whose sizes allow the similarity.
+    ``detail`` the :func:`surplus` of b over a, beyond and rest, and the :func:`bitmap` of what b has beyond a, over, and of what it lacks of a,
+    under; without, only pairs whose sizes allow the similarity.
 
     Only texts in such pairs leave the table.  The members b of a pivot a are dealt into chunks, each of which meets the pivot's
     text once, at its head, so that a pivot with a large share of all members is no burden to any task.
@@ -247,6 +271,10 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, weighted: bool =
     members = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "chunk", F.lit(True).alias("member"), "b", "text")
     heads = chunks.join(texts.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("member"), F.col("a").alias("b"), "text")
 
+    names = ["a", "b", "linked", "common"] + ["beyond", "rest", "over", "under"] * detail
+    kinds = [pa.binary(), pa.binary(), pa.bool_(), pa.float64()] + [pa.list_(pa.int64())] * 4 * detail
+    schema = "a binary, b binary, linked boolean, common double" + ", beyond array<bigint>, rest array<bigint>, over array<bigint>, under array<bigint>" * detail
+
     def batches(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, mine = None, None
         for batch in source:
@@ -259,13 +287,15 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, weighted: bool =
                 own = shingles(text.as_py())
                 j = jaccard(mine, own, weighted)
                 total = float(mine[1].sum() + own[1].sum()) if weighted else len(mine[0]) + len(own[0])
-                beyond, rest = surplus(mine, own, weighted) if detail else (np.zeros(0, _U), np.zeros(0, np.int64))
-                out.append((a, b, j >= SIMILARITY - 1e-12, j * total / (1 + j), beyond.view(np.int64), rest))
-            kinds = [pa.binary(), pa.binary(), pa.bool_(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["a", "b", "linked", "common", "beyond", "rest"])
+                row = (a, b, j >= SIMILARITY - 1e-12, j * total / (1 + j))
+                if detail:
+                    beyond, rest = surplus(mine, own, weighted)
+                    row += (beyond.view(np.int64), rest, bitmap(own[0], excess(mine, own, weighted)), bitmap(mine[0], excess(own, mine, weighted)))
+                out.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names)
 
     both = heads.unionByName(members).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "member")
-    done = materialize(both.select("a", "member", "b", "text").mapInArrow(batches, "a binary, b binary, linked boolean, common double, beyond array<bigint>, rest array<bigint>"), "rated")
+    done = materialize(both.select("a", "member", "b", "text").mapInArrow(batches, schema), "rated")
     for table_ in used:
         discard(table_)
     return done
@@ -295,33 +325,33 @@ def classes(docs: DataFrame, weighted: bool = True) -> DataFrame:
     now = rated.join(nodes.select(F.col("node").alias("b"), "size"), "b").join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
     counted = now.groupBy("a", "root").agg(F.count("*").alias("m"))
     largest = counted.groupBy("a").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1").select("a", "top")
-    left = materialize(now.join(largest, "a").select("a", F.col("b").alias("node"), "size", "common", "beyond", "rest", "root", (F.col("root") != F.col("top")).alias("outside")), "left")
-    # a pair that shares several pivots, 25 at most, meets under the least of them: any would find it
-    left_of = materialize(left.join(left.groupBy("node").agg(F.collect_set("a").alias("pivots")), "node"), "left-of")
-    discard(left)
-    side = lambda df, c, *on: df.select(*on, F.col("node").alias(c), *(F.col(v).alias(f"{c}_{v}") for v in ("size", "common", "root", "outside", "pivots")))
-    # sizes must fit, and what the pivot doesn't account for must lie within what each has beyond it
+    left = materialize(now.join(largest, "a").select("a", F.col("b").alias("node"), "size", "common", "beyond", "rest", "over", "under", "root", (F.col("root") != F.col("top")).alias("outside")), "left")
+    side = lambda df, c, *on: df.select(*on, F.col("node").alias(c), *(F.col(v).alias(f"{c}_{v}") for v in ("size", "common", "root", "outside", "over")))
+    # sizes must fit, and what the pivot doesn't account for must lie within what both have beyond it, by the bits of its shingles
     needed = SIMILARITY / (1 + SIMILARITY) * (F.col("x_size") + F.col("y_size"))
     beyond = F.least(F.col("x_size") - F.col("x_common"), F.col("y_size") - F.col("y_common"))
     apart = (F.col("x_root") != F.col("y_root")) & (F.least("x_size", "y_size") >= SIMILARITY * F.greatest("x_size", "y_size") - 1e-9)
     apart &= (needed - F.least("x_common", "y_common") <= beyond + 1e-6) & (~F.col("x_outside") | (F.col("y") < F.col("x")))
-    apart &= F.col("a") == F.array_min(F.array_intersect("x_pivots", "y_pivots"))
+    beyond = F.least(beyond, shared_most("x_over", "y_over"))
     # two near texts share something that the pivot doesn't have; the differences before each, the first ``CARRIED`` at most, go along, so
     # that a pair meets at the first of what it shares and not at all of it; from there on both must have what the pivot doesn't account for
-    marks = left_of.select("*", F.posexplode("beyond").alias("at", "mark")).withColumn("before", F.slice("beyond", F.lit(1), F.least("at", F.lit(CARRIED))))
+    marks = left.select("*", F.posexplode("beyond").alias("at", "mark")).withColumn("before", F.slice("beyond", F.lit(1), F.least("at", F.lit(CARRIED))))
     marks = marks.withColumn("rest", F.element_at("rest", F.col("at") + 1))
-    met = ~F.arrays_overlap("x_before", "y_before") & (needed - F.least("x_common", "y_common") <= F.least("x_rest", "y_rest") + 1e-6)
+    met = (needed - F.least("x_common", "y_common") <= F.least("x_rest", "y_rest", beyond) + 1e-6) & ~F.arrays_overlap("x_before", "y_before")
     marked = lambda df, c: side(df, c, "a", "mark", F.col("before").alias(f"{c}_before"), F.col("rest").alias(f"{c}_rest"))
     one = marked(marks.where("outside"), "y").join(marked(marks, "x"), ["a", "mark"]).where(apart & met).select("x", "y")
     # ... or have almost all from the pivot; sizes that fit are in one step of 1 / SIMILARITY or in neighbouring ones
     step_of = F.floor(F.log(F.col("size").cast("double")) / -math.log(SIMILARITY)).cast("int")
-    inner = left_of.where(F.col("common") >= SIMILARITY * F.col("size") - 1e-6).withColumn("step", step_of)
+    inner = left.where(F.col("common") >= SIMILARITY * F.col("size") - 1e-6).withColumn("step", step_of)
     most = F.least("x_common", "y_common") >= needed - 1e-6
+    # of the pivot, both have what x has but for what y alone lacks
+    most &= F.col("x_common") - (shared_most("y_under", "y_under") - shared_most("x_under", "y_under")) + beyond >= needed - 1e-6
     around = inner.where("outside").withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
-    two = side(around, "y", "a", "step").join(side(inner, "x", "a", "step"), ["a", "step"]).where(apart & most).select("x", "y")
+    stepped = lambda df, c: side(df, c, "a", "step", F.col("under").alias(f"{c}_under"))
+    two = stepped(around, "y").join(stepped(inner, "x"), ["a", "step"]).where(apart & most).select("x", "y")
     pairs = one.unionByName(two).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     step = materialize(pairs, "step")
-    discard(left_of)
+    discard(left)
     if not step.isEmpty():
         more = verify(step, nodes, docs, weighted)
         before, roots = roots, components(links.unionByName(more.where("linked").select("a", "b")))

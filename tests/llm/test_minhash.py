@@ -146,3 +146,43 @@ def test_edge_cases(spark):
     assert M.keep_one(df.limit(0)).count() == 0
     weighted = {r["doc_id"]: r["class_id"] for r in M.near_duplicates(spark.createDataFrame([(1, "a b c d e " * 20), (2, "a b c d e " * 2)], "doc_id long, text string"), weighted=True).collect()}
     assert weighted == {1: 1, 2: 2}
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_bitmaps_bound_what_two_texts_share(weighted, spark):
+    """Never less than what two sets have in common, and with itself a set has all of its weight."""
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for k in range(200):
+        e = np.unique(M.mix(rng.integers(0, 2**63, size=rng.integers(1, 900), dtype=np.uint64)))
+        n, m = rng.integers(0, 4, (2, len(e))) * (rng.random((2, len(e))) < rng.random())
+        if not weighted:
+            n, m = np.minimum(n, 1), np.minimum(m, 1)
+        rows.append((k, M.bitmap(e, n).tolist(), M.bitmap(e, m).tolist()))
+        want.append((int(np.minimum(n, m).sum()), int(n.sum())))
+    df = spark.createDataFrame(rows, "k long, x array<bigint>, y array<bigint>").select("k", M.shared_most("x", "y").alias("both"), M.shared_most("x", "x").alias("own"))
+    for r in df.collect():
+        assert r["both"] >= want[r["k"]][0]
+        assert r["own"] == want[r["k"]][1]
+
+
+def test_copies_that_share_a_little_are_not_all_compared(spark, monkeypatch):
+    """Texts that go beyond their pivot alike in one sentence only aren't compared in pairs: too little is left for that by the bits of their differences."""
+    compared, old = [], M.verify
+
+    def verify(pairs, *args, detail=False, **kwargs):
+        if not detail:
+            compared.append(pairs.count())
+        return old(pairs, *args, detail=detail, **kwargs)
+
+    monkeypatch.setattr(M, "verify", verify)
+    rng = random.Random(9)
+    base, more = [f"b{k}" for k in range(300)], [f"s{k}" for k in range(10)]
+    texts = [" ".join(base)] + [" ".join(more + noisy(rng, base[:20], 0).split() + noisy(rng, base[20:], 12).split()) for _ in range(80)]
+    near = noisy(rng, texts[1].split(), 2)
+    df = spark.createDataFrame(list(enumerate([*texts, near])), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in M.near_duplicates(df).collect()}
+    want = classes_of([*texts, near])
+    assert want == [*range(81), 1]
+    assert [got[k] for k in range(82)] == want
+    assert sum(compared) < 300
