@@ -47,9 +47,12 @@ class WordCoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merger = Tokenizer.from_file(path)  # for pre-tokens, which are normalised and cut already
+        self.merger.normalizer = None
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.odd = re.compile("[^\t-\r -~\xa0-ɏ]").search
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -62,7 +65,7 @@ class WordCoder:
 
     def learn(self, words: list[str]) -> None:
         """Ids of new pre-tokens, encoded together and parted after each token that ends a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.merger.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(words):
             raw, at = ids.tobytes(), 0
@@ -73,9 +76,7 @@ class WordCoder:
             self.known.update((w, self.whole(w).tobytes()) for w in words)
 
     def parts(self, run: str) -> list[str]:
-        """The pre-tokens of a run; most are letters, or letters and a stop."""
-        if run.isalpha():
-            return [run]
+        """The pre-tokens of a run that isn't all letters; most are letters and a stop."""
         if run[-1] in ".," and run[:-1].isalpha():
             return [run[:-1], run[-1]]
         return self.find(run)
@@ -89,17 +90,22 @@ class WordCoder:
         if "<|" in text and any(s in text for s in self.special):
             return self.whole(text).tobytes()
         runs, known = text.lower().split(), self.known
-        if unknown := set(runs).difference(known):
+        found = list(map(known.get, runs))
+        if gaps := [i for i, ids in enumerate(found) if ids is None]:
             if len(known) > REMEMBERED:
                 known.clear()
-                unknown = set(runs)
-            new = {r: self.parts(r) for r in unknown}
-            if words := list({w for parts in new.values() for w in parts if w not in known}):
-                self.learn(words)
-            for r, parts in new.items():
+            unknown = {runs[i] for i in gaps}
+            words = {r for r in unknown if r.isalpha()}
+            several = {r: self.parts(r) for r in unknown - words}
+            words.update(w for parts in several.values() for w in parts if w not in known)
+            if words:
+                self.learn(list(words))
+            for r, parts in several.items():
                 if len(parts) != 1:
                     known[r] = b"".join(map(known.__getitem__, parts))
-        return b"".join(map(known.__getitem__, runs))
+            for i in gaps:
+                found[i] = known[runs[i]]
+        return b"".join(found)
 
 
 @lru_cache(maxsize=2)

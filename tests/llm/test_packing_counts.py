@@ -24,6 +24,21 @@ def test_word_coder_equals_library(text):
     assert own.encode(text) == want
 
 
+def test_new_words_are_not_cut_again(monkeypatch):
+    """Pre-tokens of plain texts are merged without the tokenizer's own normaliser and pattern, and forgetting them changes no id."""
+    text = "It's a.b 12 l'été, İstanbul ǅ (naïve)\xa0''s don't Zxqwv zxqwv-zxqwv \x7e ȿ… 3½ ª"
+    texts = [text.replace("…", ""), "Again zxqwv, " + text[:20], "other words 7 zxqwv"]
+    want = [np.array(Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    own = packing.WordCoder(PATH)
+    monkeypatch.setattr(own, "tokenizer", None)
+    assert [own.encode(t) for t in texts] == want
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    own.encode("fresh")
+    assert set(own.known) == {"fresh"}
+    assert [own.encode(t) for t in texts] == want  # of the last, one run is known when the memory is emptied
+    assert "zxqwv" not in own.known
+
+
 def pieces_are_sound(pieces, lengths, window):
     """Each id lies in one piece; sequences have no gap, and are full or as long as a power of two."""
     at, fill = defaultdict(list), defaultdict(list)
