@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import discard, materialize, table
+from .common import discard, giving_back, materialize, table
 
 #: Words of a shingle, least similarity, bands, coordinates of a band.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
@@ -186,7 +186,7 @@ def sketches(docs: DataFrame, weighted: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "size", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(batches, "doc_id long, node binary, size long, bands array<bigint>")
+    return rows.mapInArrow(giving_back(batches), "doc_id long, node binary, size long, bands array<bigint>")
 
 
 _NONE = -(2**63)
@@ -295,7 +295,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, weighted: bool =
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names)
 
     both = heads.unionByName(members).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "member")
-    done = materialize(both.select("a", "member", "b", "text").mapInArrow(batches, schema), "rated")
+    done = materialize(both.select("a", "member", "b", "text").mapInArrow(giving_back(batches), schema), "rated")
     for table_ in used:
         discard(table_)
     return done

@@ -29,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import giving_back, table
 
 #: Tokens of a sequence, id that ends a document, documents and tokens of a shard.
 WINDOW, END, SHARD_DOCS, SHARD_TOKENS = 2048, 1, 2048, 2_000_000
 #: BM25's saturation and length normalisation.
 K1, B = 1.2, 0.75
-#: Runs and pre-tokens whose ids a worker remembers.
-REMEMBERED = 850_000
+#: Runs and pre-tokens whose ids a worker remembers; as many where other stages need its memory.
+REMEMBERED, FEWER = 850_000, 200_000
 
 
 class WordCoder:
@@ -58,6 +58,7 @@ class WordCoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.most = REMEMBERED
         self.known: dict[str, bytes] = {}  # of runs and of pre-tokens: a pre-token by itself is a run with the same ids
 
     def whole(self, text: str) -> np.ndarray:
@@ -92,7 +93,7 @@ class WordCoder:
         runs, known = text.lower().split(), self.known
         found = list(map(known.get, runs))
         if gaps := [i for i, ids in enumerate(found) if ids is None]:
-            if len(known) > REMEMBERED:
+            if len(known) > self.most:
                 known.clear()
             unknown = {runs[i] for i in gaps}
             words = {r for r in unknown if r.isalpha()}
@@ -207,11 +208,13 @@ def pack_shard(documents: list[np.ndarray], window: int = WINDOW) -> Iterator[tu
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, forget: bool = False) -> DataFrame:
     """doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id and offset of each piece; one narrow pass.
 
-    With ``forget``, workers drop the ids they remember after each task, which takes time and leaves memory to other stages.
+    With ``forget``, workers remember ``FEWER`` ids, drop them after each task and give its memory back, which takes time and leaves
+    memory to other stages.
     """
 
     def shards(source: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
         own, last = coder(path), np.array([end], "<u4").tobytes()
+        own.most = FEWER if forget else REMEMBERED
         ids, documents, size = [], [], 0
         for batch in source:
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -240,7 +243,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, forge
             base += int(sequence.max()) + 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(batches, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(giving_back(batches) if forget else batches, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def op2_packing(spark, sf_dir):

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import giving_back, materialize, table
 
 #: The key of the registered query; others belong in a secret store.
 KEY = b"paperloom surrogate key"
@@ -520,7 +520,7 @@ def replace_text(docs: DataFrame, key: bytes = KEY, text_col: str = "text", leng
                 columns[length] = pa.array(sizes, batch.schema.field(length).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(batches, docs.schema)
+    return docs.mapInArrow(giving_back(batches), docs.schema)
 
 
 def collisions(rows: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, remainder, table
+from .common import discard, give_back, giving_back, materialize, remainder, table
 
 #: Training rows of a block, rows of each label that a block should have, preference pairs of a block.
 BLOCK, EACH, PAIRS = 4000, 200, 60_000
@@ -126,14 +126,16 @@ def train(
         return Model(np.zeros(width), np.ones(width), np.zeros(width), np.zeros(HASHED), math.log(THRESHOLD / (1 - THRESHOLD)))
     model = Model(*(form or (rows.mean(0), rows.std(0) + 1e-6)), np.zeros(width), np.zeros(HASHED), 0.0)
     x = np.clip((rows - model.centre) / model.scale, -6, 6)
-    found = [content(t) for t in texts]
+    found = [(places.astype(np.int32), values.astype(np.float32)) for places, values in map(content, texts)]
     # entries by document for scores, and by place for gradients, so that both are sums of runs
     sizes = np.array([len(f[0]) for f in found])
-    places, values = np.concatenate([f[0] for f in found]).astype(np.int32), np.concatenate([f[1] for f in found]).astype(np.float32)
+    places, values = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    del found
     order = np.argsort(places, kind="stable")
     owner, turned = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[order], values[order]
     held, used = np.flatnonzero(sizes), np.unique(places)
     by_text, by_place = (np.cumsum(sizes) - sizes)[held], np.searchsorted(places[order], used)
+    del order
     rng = np.random.default_rng(7)
     n = min(pairs, len(good) * len(bad))
     winner, loser = rng.choice(good, n), rng.choice(bad, n)
@@ -225,12 +227,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, block: int = BL
         for batch in source:
             yield pa.RecordBatch.from_arrays([pa.array([features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))], ["x"])
 
-    each = rows.select("t").mapInArrow(measures, "x array<double>")
+    each = rows.select("t").mapInArrow(giving_back(measures), "x array<double>")
     found = each.agg(*(f(F.col("x")[k]) for f in (F.avg, F.stddev_pop) for k in range(width))).first()
     # sums of doubles depend on their order in the last digits
     form = np.round(found[:width], 9), np.round(found[width:], 9) + 1e-6
 
-    def weights(table_: pa.Table) -> pa.Table:
+    def trained(table_: pa.Table) -> pa.Table:
         own = table_.sort_by("k")
         model = train(own.column("t").to_pylist(), own.column("y").to_pylist(), 0.5, form=form)
         parts = np.rint(np.concatenate([model.weights, model.hashed]) * PARTS).astype(np.int64)
@@ -238,6 +240,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, block: int = BL
         _places.clear()
         return pa.table({"place": pa.array(places, pa.int32()), "parts": pa.array(parts[places])})
 
+    def weights(table_: pa.Table) -> pa.Table:
+        out = trained(table_)
+        give_back()
+        return out
+
     own, blocks = dealt(rows, counts, block)
     sums = own.groupBy("block").applyInArrow(weights, "place int, parts long").groupBy("place").agg(F.sum("parts")).collect()
     all_ = np.zeros(width + HASHED)
@@ -252,7 +259,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, block: int = BL
         _places.clear()
 
     # the cut is midway between the last score within the bad rows' share and the next
-    ranks = materialize(rows.select("t").mapInArrow(scored, "rank long"), "ranks")
+    ranks = materialize(rows.select("t").mapInArrow(giving_back(scored), "rank long"), "ranks")
     below = nth(ranks, counts[0] - 1)
     above = nth(ranks, counts[0])
     for table_ in (ranks, rows):
@@ -285,7 +292,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
             yield batch.filter(pa.array([s >= threshold for s in shared.value.scores(batch.column(at).to_pylist())], pa.bool_()))
         _places.clear()
 
-    return docs.mapInArrow(batches, docs.schema)
+    return docs.mapInArrow(giving_back(batches), docs.schema)
 
 
 def op8_quality_classifier(spark, sf_dir):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import giving_back, remainder, table
 
 #: Documents of each label in the training sample, hashed features, remembered words of a worker.
 PER_CLASS, FEATURES, REMEMBERED = 2500, 1 << 18, 400_000
@@ -239,7 +239,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
             yield batch.filter(pa.array([own.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
         own.known.clear()
 
-    return docs.mapInArrow(batches, docs.schema)
+    return docs.mapInArrow(giving_back(batches), docs.schema)
 
 
 def op5_toxicity(spark, sf_dir):
