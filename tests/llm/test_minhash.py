@@ -186,3 +186,43 @@ def test_copies_that_share_a_little_are_not_all_compared(spark, monkeypatch):
     assert want == [*range(81), 1]
     assert [got[k] for k in range(82)] == want
     assert sum(compared) < 300
+
+
+def test_differences_of_one_copy_alone_are_not_joined(spark, monkeypatch):
+    """Of what copies have beyond their pivot, only what another of them has too goes on to the join; the copies that it brings together are found."""
+    marks, old = [], M.materialize
+
+    def materialize(df, name):
+        out = old(df, name)
+        if name == "left":
+            marks.append(sum(len(r["beyond"] or []) for r in out.select("beyond").collect()))
+        return out
+
+    monkeypatch.setattr(M, "materialize", materialize)
+    rng = random.Random(10)
+    base = [f"b{k}" for k in range(300)]
+    texts = [" ".join(base)] + [noisy(rng, base, 12) for _ in range(60)]
+    texts += [noisy(rng, t.split(), 3) for t in texts[1:4]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in M.near_duplicates(df).collect()}
+    want = classes_of(texts)
+    assert want == [*range(61), 1, 2, 3]
+    assert [got[k] for k in range(64)] == want
+    assert 0 < marks[-1] < marks[0] / 3
+
+
+def test_shared_differences_stay(spark):
+    """Two of one pivot's members, one of them outside at least, keep whatever both have, in order and with what is left from there on."""
+    rng = random.Random(11)
+    rows = []
+    for a in (b"p", b"q"):
+        for k in range(30):
+            beyond = sorted(rng.sample(range(400), rng.randint(0, 25)))
+            rows.append((a, bytes([k]), beyond, [rng.randint(1, 99) for _ in beyond], rng.random() < 0.3))
+    left = spark.createDataFrame(rows, "a binary, node binary, beyond array<bigint>, rest array<bigint>, outside boolean")
+    got = {(bytes(r["a"]), bytes(r["node"])): list(zip(r["beyond"] or [], r["rest"] or [], strict=True)) for r in M.met_marks(left).collect()}
+    assert len(got) == len(rows)
+    for a, node, beyond, rest, outside in rows:
+        of = [x for x in rows if x[0] == a]
+        held = lambda m: [x for x in of if m in x[2]]  # noqa: B023, E731
+        assert got[a, node] == [(m, r) for m, r in zip(beyond, rest, strict=True) if len(held(m)) > 1 and any(x[4] for x in held(m))]
