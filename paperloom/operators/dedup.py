@@ -12,8 +12,11 @@ are replayed in order, component by component.  Followers then look up their lea
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +26,9 @@ from ..functions.text import normalized_title
 from ..schema import RECORD, present
 from ..session import discard, importable, listed, materialize
 from .graph import components
-from .terms import few
 
-#: Least fuzzy ratio, in percent; length of the substrings that block the similarity join; rounds before chains are replayed.
-PERCENT, GRAM, ROUNDS = 95, 4, 3
+#: Least fuzzy ratio, in percent; rounds before chains are replayed.
+PERCENT, ROUNDS = 95, 3
 #: Groups of characters that are counted.
 GROUPS = 16
 
@@ -34,48 +36,125 @@ GROUPS = 16
 def counts_of(name: str) -> list[Column]:
     """How often a text has the characters of each of ``GROUPS`` groups, up to 255, eight in a word: count0, count1, …"""
 
+    known, names = "".join(map(chr, range(1, 128))), [chr(ord("a") + k) for k in range(GROUPS)]
+    named = F.translate(name, known, "".join(names[ord(c) % GROUPS] for c in known))
+
     def count(k: int) -> Column:
-        own = "".join(f"\\x{{{c:x}}}" for c in range(1, 128) if c % GROUPS == k)
-        return F.least(F.length(F.regexp_replace(name, f"[^{own}]", "")), F.lit(255)).cast("long")
+        return F.least(F.length(named) - F.length(F.replace(named, F.lit(names[k]), F.lit(""))), F.lit(255)).cast("long")
 
     return [sum((F.shiftleft(count(8 * m + k), 8 * k) for k in range(1, 8)), count(8 * m)).alias(f"count{m}") for m in range(GROUPS // 8)]
 
 
+@cache
+def unspoiled(first: int, last: int, percent: int) -> int:
+    """Characters that a title of ``first`` to ``last`` characters, the shorter of a pair of this ratio, has in a row at least that no
+    insertion or deletion touches: d of them leave one of d + 1 equal parts as it is.  They are in the other title, too."""
+    edits = lambda x: int((200 - 2 * percent) * x / percent + 1e-6)  # noqa: E731  of the shorter's length x, at most
+    return min(x // (edits(x) + 1) for x in range(first, min(last, first + 4000) + 1))
+
+
+def blocked(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """Rows (key, n, id, …) of titles (id, title, …): two titles of this ratio have a key in common; n is the length.
+
+    A range of lengths of the shorter one sets how many characters a pair has in common in a row, and so the width of substrings of
+    which the least hash of each few neighbours is selected: within these characters both have the same neighbours.  A title is in the
+    ranges of its own length and of those that it may be the longer one of.
+    """
+    titles = batch.column("title").to_pylist()
+    n = np.array([len(t) for t in titles], "i8")
+    codes = np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+    start = np.cumsum(n) - n
+    # a range spans twice the factor between the lengths of a pair, so that a title is in two at most
+    bounds = [1]
+    while len(n) and bounds[-1] <= n.max():
+        bounds.append(bounds[-1] * (200 - percent) ** 2 // percent**2 + 1)
+    place = np.searchsorted(bounds, n, "right")
+    least = np.searchsorted(bounds, -(-n * percent // (200 - percent)), "right")
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    factor = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        letters = (codes + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        letters ^= letters >> np.uint64(31)
+        for k in range(1, len(bounds)):
+            own = np.flatnonzero((least <= k) & (place >= k) & (n > 0))
+            wide = unspoiled(bounds[k - 1], bounds[k] - 1, percent)
+            if not len(own) or not wide:  # nothing in a row is certain: all meet
+                found.append((own, np.full(len(own), np.uint64(k) * factor)))
+                continue
+            window = 3 if wide > 6 else 2 if wide > 3 else 1
+            width = wide - window + 1
+            at = np.concatenate([np.arange(start[i], start[i] + n[i]) for i in own])
+            row, own_letters = np.repeat(own, n[own]), letters[at]
+            hashes = np.zeros(max(len(at) - width + 1, 0), "u8")
+            for j in range(width):
+                hashes = hashes * factor + own_letters[j : j + len(hashes)]
+            hashes ^= hashes >> np.uint64(29)
+            hashes *= np.uint64(0x94D049BB133111EB)
+            hashes ^= (hashes >> np.uint64(32)) + np.uint64(k) * factor
+            low = hashes[: len(hashes) - window + 1]
+            for j in range(1, window):
+                low = np.minimum(low, hashes[j : j + len(low)])
+            whole = row[: len(low)] == row[wide - 1 : wide - 1 + len(low)]  # windows within a title
+            new = whole.copy()
+            new[1:] &= (low[1:] != low[:-1]) | ~whole[:-1] | (row[1 : len(low)] != row[: len(low) - 1])
+            pick, by = low[new], row[: len(low)][new]
+            order = np.lexsort((pick, by))
+            pick, by = pick[order], by[order]
+            once = np.ones(len(pick), bool)
+            once[1:] = (pick[1:] != pick[:-1]) | (by[1:] != by[:-1])
+            found.append((by[once], pick[once]))
+    rows = np.concatenate([x for x, _ in found]) if found else np.zeros(0, "i8")
+    keys = np.concatenate([x for _, x in found]) if found else np.zeros(0, "u8")
+    kept = batch.select([c for c in batch.schema.names if c != "title"]).take(pa.array(rows))
+    return pa.RecordBatch.from_arrays([pa.array(keys.view("i8")), pa.array(n[rows]), *kept.columns], ["key", "n", *kept.schema.names])
+
+
+def triples(titles: list[str], width: int = 1024) -> np.ndarray:
+    """How often each title has substrings of three characters, by hash, a row each: an edit takes two at most and adds three, or the reverse."""
+    n = np.array([len(t) for t in titles], "i8")
+    codes = np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+    row = np.repeat(np.arange(len(n)), n)
+    three = (codes[:-2] * np.uint64(961) + codes[1:-1] * np.uint64(31) + codes[2:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    inside = row[:-2] == row[2:]
+    at = row[:-2][inside] * width + (three[inside] % np.uint64(width)).astype("i8")
+    return np.bincount(at, minlength=len(n) * width).reshape(len(n), width).astype("i4")
+
+
 def fuzzy_pairs(titles: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b, ta, tb), a < b, of rows (id, title) with distinct titles whose ratio is ``percent`` or more; exact.
 
-    Titles of lengths x <= y with ratio r lie within d = (1 - r)(x + y) insertions and deletions, and y <= x (2 - r) / r.  Each
-    edit spoils at most GRAM substrings, so the GRAM*d + 1 rarest substrings of both titles have one in common: only those are
-    joined on.  Lengths, counts of characters in the join itself, and a bounded edit distance, all built in, thin the candidates; the
-    ratio itself is an Arrow UDF.
+    Titles of lengths x <= y with ratio r lie within (1 - r)(x + y) insertions and deletions, and y <= x (2 - r) / r.  They meet by
+    the keys of :func:`blocked`.  Lengths and counts of characters thin the candidates in the join itself; the ratio is an Arrow UDF
+    that compares counts of substrings first and leaves a pair as soon as it can't be reached.
     """
     gap = (100 - percent) / 100
-    reach = 200 / percent  # (x + y) / x at most, since 2 x / (x + y) >= percent / 100 for the shorter x
-    spoiled = F.floor(F.length("title") * (gap * reach) + 1e-6) * GRAM + 1
-    # one scan of the title: a look ahead at each code point; equal hashes of different substrings only add candidates
-    runs = F.regexp_extract_all("title", F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1))
-    grams = F.array_distinct(F.transform(F.when(F.length("title") < GRAM, F.array("title")).otherwise(runs), lambda x: F.xxhash64(x)))
-    usual = titles.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    # titles are dealt by id once, and their substrings stay there, as long as the counts are few enough to be broadcast
-    rows = titles.select("id", "title").repartition("id").select("id", F.length("title").alias("n"), spoiled.cast("int").alias("keep"), *counts_of("title"), F.explode(grams).alias("gram"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                yield blocked(batch.slice(at, 500), percent)
+
     marks = [f"count{k}" for k in range(GROUPS // 8)]
-    ordered = rows.join(few(usual), "gram", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    prefix = ordered.withColumn("n_", F.row_number().over(Window.partitionBy("id").orderBy("df", "gram"))).where("n_ <= keep AND df > 1")
-    one = prefix.select("gram", F.col("id").alias("a"), F.col("n").alias("la"), *(F.col(m).alias(f"a_{m}") for m in marks))
-    two = prefix.select("gram", F.col("id").alias("b"), F.col("n").alias("lb"), *(F.col(m).alias(f"b_{m}") for m in marks))
+    rows = titles.select("id", "title", *counts_of("title")).mapInArrow(run, f"key long, n long, id long, {', '.join(f'{m} long' for m in marks)}")
+    one, two = rows.toDF("key", "la", "a", *(f"a_{m}" for m in marks)), rows.toDF("key", "lb", "b", *(f"b_{m}" for m in marks))
     budget = F.floor((F.col("la") + F.col("lb")) * gap + 1e-6).cast("int")
     # an edit changes one count of characters by one
     byte = lambda x, k: F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))
     apart = sum((F.abs(byte(F.col(f"a_{m}"), k) - byte(F.col(f"b_{m}"), k)) for m in marks for k in range(8)), F.lit(0))
-    # grams, lengths and counts only: the titles join the candidates, not each of their grams
-    pairs = one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= budget) & (apart <= budget)).select("a", "b", budget.alias("budget")).distinct()
+    # keys, lengths and counts only: the titles join the candidates, not each of their keys
+    pairs = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= budget) & (apart <= budget)).select("a", "b", budget.alias("budget")).distinct()
     near = pairs.join(titles.select(F.col("id").alias("a"), F.col("title").alias("ta")), "a").join(titles.select(F.col("id").alias("b"), F.col("title").alias("tb")), "b")
-    near = near.where(F.expr("levenshtein(ta, tb, budget) BETWEEN 0 AND budget"))
 
     @F.pandas_udf(T.BooleanType())
     def close(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
-            yield pd.Series([fuzzy.close(x, y, percent) for x, y in zip(a, b, strict=True)], dtype="bool")
+            out = np.zeros(len(a), bool)
+            for at in range(0, len(a), 500):
+                own, other = list(a[at : at + 500]), list(b[at : at + 500])
+                edits = np.array([(100 - percent) * (len(x) + len(y)) // 100 for x, y in zip(own, other, strict=True)], "i8")
+                near = np.abs(triples(own) - triples(other)).sum(1) <= 5 * edits
+                out[at : at + 500] = [bool(n) and fuzzy.close(x, y, percent) for n, x, y in zip(near, own, other, strict=True)]
+            yield pd.Series(out, dtype="bool")
 
     return near.where(close("ta", "tb")).select("a", "b", "ta", "tb")
 

@@ -179,3 +179,41 @@ def test_fuzzy_candidates_are_few(spark, monkeypatch):
     apart = lambda a, b: sum(abs(x - y) for x, y in zip(counts[a], counts[b], strict=True))
     assert all(sum(counts[k]) == len(t) for k, t in titles)
     assert sum(apart(a, b) <= 4 for a in range(200) for b in range(a)) < 200 * 199 / 2 / 10
+
+
+def test_fuzzy_titles_meet_by_few_keys():
+    """Titles of any ratio have a key in common, and those of common short substrings alone have none."""
+    import pyarrow as pa
+
+    def keys(titles, percent):
+        out = dedup.blocked(pa.RecordBatch.from_pydict({"id": list(range(len(titles))), "title": titles}), percent)
+        found = {}
+        for key, k, n in zip(out["key"].to_pylist(), out["id"].to_pylist(), out["n"].to_pylist(), strict=True):
+            assert n == len(titles[k])
+            found.setdefault(k, set()).add(key)
+        return [found.get(k, set()) for k in range(len(titles))]
+
+    rng = random.Random(5)
+    for percent in (95, 80, 50):
+        first = ["".join(rng.choice("abcdéα ") for _ in range(rng.choice((rng.randint(1, 30), rng.randint(30, 400))))) for _ in range(150)]
+        other = []
+        for t in first:
+            t = list(t)
+            for _ in range(rng.randint(0, (100 - percent) * 2 * len(t) // 100 + 1)):
+                if t and rng.random() < 0.4:
+                    del t[rng.randrange(len(t))]
+                else:
+                    t.insert(rng.randint(0, len(t)), rng.choice("abcd"))
+            other.append("".join(t))
+        own = keys(first + other, percent)
+        near = [k for k in range(150) if first[k] and first[k] != other[k] and fuzzy.close(first[k], other[k], percent)]
+        assert len(near) > 30
+        assert all(own[k] & own[150 + k] for k in near)
+        bags = abs(dedup.triples([first[k] for k in near]) - dedup.triples([other[k] for k in near])).sum(1)
+        assert all(d <= 5 * ((100 - percent) * (len(first[k]) + len(other[k])) // 100) for d, k in zip(bags, near, strict=True))
+    parts = ["tion", "ring", "ment", "able", "ness", "port", "land", "ship"]
+    far = ["".join(rng.choice(parts) for _ in range(60)) for _ in range(100)]
+    own = keys(far, 95)
+    fours = [{t[k : k + 4] for k in range(237)} for t in far]
+    met = lambda sets: sum(len(sets[a] & sets[b]) for a in range(100) for b in range(a))
+    assert max(map(len, own)) < 0.7 * 240 and met(own) < met(fours) / 2
