@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, text
-from ..session import importable
+from ..session import importable, materialize
 from ..session import listed as few
 from . import terms
 
@@ -57,12 +60,35 @@ def contained(small: DataFrame, big: DataFrame, group: list[str]) -> DataFrame:
     return rarest.join(large, [*group, "gram"]).where(F.contains("b", F.col("s"))).select(*group, "s", "b")
 
 
+def least_hashes(texts: list[str | None], width: int, window: int) -> list[np.ndarray | None]:
+    """Of each text the least hash of each ``window`` neighbouring substrings of ``width`` characters, once, or None if it is shorter than that."""
+    wide = width + window - 1
+    n = np.array([len(t or "") for t in texts], "i8")
+    codes = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+    low = np.zeros(max(len(codes) - width + 1, 0), "u8")
+    for j in range(width):
+        low = low * np.uint64(0x9E3779B97F4A7C15) + (codes[j : j + len(low)] + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    low ^= low >> np.uint64(31)
+    low *= np.uint64(0x94D049BB133111EB)
+    low = (low ^ low >> np.uint64(29)).view("i8")
+    reach = 1  # neighbours of which the least is known
+    while reach < window:
+        step = min(reach, window - reach)
+        low = np.minimum(low[: max(len(low) - step, 0)], low[step:])
+        reach += step
+    start = np.cumsum(n) - n
+    return [np.unique(low[a : a + k - wide + 1]) if k >= wide else None for a, k in zip(start, n, strict=True)]
+
+
 def selected(name: str, width: int, window: int) -> Column:
-    """The least hash of each ``window`` neighbouring substrings of ``width`` characters of a text, or null if it is shorter than that."""
-    last = F.length(name) - width + 1
-    hashes = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(F.col(name), i, F.lit(width))))
-    least = lambda all_: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(all_) - window + 1), lambda i: F.array_min(F.slice(all_, i, F.lit(window)))))
-    return F.when(F.length(name) >= width + window - 1, F.element_at(F.transform(F.array(hashes), least), 1))
+    """:func:`least_hashes` of a column: in one pass over each text, where built-in substrings begin at a long text's start each time."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([x for at in range(0, len(texts), 500) for x in least_hashes(list(texts[at : at + 500]), width, window)], dtype="object")
+
+    return run(F.col(name))
 
 
 def contained_long(small: DataFrame, big: DataFrame, group: list[str]) -> DataFrame:
@@ -120,13 +146,39 @@ def best_match(queries: DataFrame, candidates: DataFrame, least_set: float = 85,
     return top.withColumn("n_", F.row_number().over(order)).where("n_ = 1").select("qid", "query", "cid", "title", "cites")
 
 
+def alike(fragments: DataFrame, titles: DataFrame, over: float) -> DataFrame:
+    """Pairs (topic, f_, seq, n, score) of distinct texts of words of fragments (topic, f_) and titles (topic, t_, seq, n) whose token set
+    ratio is more than ``over``; exact.
+
+    Texts of words of nearly the same length meet by length, and an Arrow UDF rates them.  Of others the ratio of all words is at most
+    ``over``, so that common words decide: pairs meet by these, and their number and length is all that the score takes.
+    """
+    size = lambda x: F.length(F.array_join(x, " "))
+    one = fragments.withColumn("words", F.array_distinct(F.split("f_", " "))).withColumns({"fn": size(F.col("words")), "fk": F.size("words")})
+    two = titles.withColumn("words", F.array_distinct(F.split("t_", " "))).withColumns({"tn": size(F.col("words")), "tk": F.size("words")})
+    shorter = 200 * F.least("fn", "tn") > over * (F.col("fn") + F.col("tn"))
+    short = one.select("topic", "f_", "fn")
+    if over > 0:
+        sizes = F.sequence(F.floor(F.col("fn") * (over / (200 - over))), F.ceil(F.col("fn") * ((200 - over) / over)))
+        met = short.withColumn("tn", F.explode(sizes.cast("array<int>"))).join(two.select("topic", "t_", "seq", "n", "tn"), ["topic", "tn"])
+    else:
+        met = short.join(two.select("topic", "t_", "seq", "n", "tn"), "topic")
+    near = met.where(shorter).withColumn("score", fuzzy.columns()["token_set_ratio"]("f_", "t_")).select("topic", "f_", "seq", "n", "score")
+    asked = one.select("topic", "f_", "fn", "fk", F.explode("words").alias("word"))
+    held = two.select("topic", "seq", "n", "tn", "tk", F.explode("words").alias("word"))
+    held = held.join(terms.few(asked.select("topic", "word").distinct()), ["topic", "word"], "left_semi")
+    shared = asked.join(held, ["topic", "word"]).where(~shorter).groupBy("topic", "f_", "seq", "n", "fn", "fk", "tn", "tk").agg(F.count("*").alias("k"), F.sum(F.length("word") + 1).alias("c"))
+    part = lambda x: 200.0 * (F.col("c") - 1) / (F.col("c") - 1 + F.col(x))  # noqa: E731  the common words begin the text
+    score = F.when((F.col("k") == F.col("fk")) | (F.col("k") == F.col("tk")), 100.0).otherwise(F.greatest(part("fn"), part("tn")))
+    return near.unionByName(shared.select("topic", "f_", "seq", "n", score.alias("score"))).where(F.col("score") > over)
+
+
 def find_records(fragments: DataFrame, records: DataFrame, least: float = 70, margin: float = 15, long: int = 15) -> DataFrame:
     """For each title fragment (topic, fid, fragment) the record (topic, seq, title) it means, if that is clear.
 
     A title that equals, or contains or is contained in, the fragment (the contained one over ``long`` characters) wins, first in
     order; these meet by :func:`contained_long`.  For the rest it is the record whose telling words are most alike, if it is ``margin`` ahead of
-    the second.  That ratio is of characters, which no key blocks without loss, so a topic's remaining references are rated against all
-    of its records: both are those of one report.
+    the second, by :func:`alike`.
     """
     importable(fragments.sparkSession)
     asked = fragments.where(F.trim("fragment") != "").withColumn("f_", F.lower(F.trim("fragment")))
@@ -139,17 +191,13 @@ def find_records(fragments: DataFrame, records: DataFrame, least: float = 70, ma
     first = known.groupBy("topic", "t_").agg(F.min("seq").alias("seq"))
     sure = inside.unionByName(around).unionByName(same).join(first, ["topic", "t_"]).groupBy("topic", "f_").agg(F.min("seq").alias("seq"))
     found = asked.select("topic", "fid", "f_").join(sure, ["topic", "f_"]).select("topic", "fid", "seq")
-    rest = asked.drop("f_").join(found, ["topic", "fid"], "left_anti").join(known.drop("t_"), "topic")
-    signed = rest.withColumns({"f_": text.title_signature("fragment"), "t_": text.title_signature("title")}).where("f_ <> ''")
-    # without a common word it is the ratio of the distinct words, at most twice the shorter in both; what is no more than
-    # least - margin can't win, and can't keep another from winning
-    size = lambda x: F.length(F.array_join(F.array_distinct(F.split(x, " ")), " "))
-    shorter = F.arrays_overlap(F.split("f_", " "), F.split("t_", " ")) | (200 * F.least(size("f_"), size("t_")) > (least - margin) * (size("f_") + size("t_")))
-    rated = signed.where(shorter).withColumn("score", fuzzy.columns()["token_set_ratio"]("f_", "t_")).where(F.col("score") > least - margin)
-    rated = rated.select("topic", "fid", "seq", "score")
-    w = Window.partitionBy("topic", "fid").orderBy(F.desc("score"), "seq")
-    clear = rated.withColumns({"n_": F.row_number().over(w), "second": F.coalesce(F.lead("score").over(w), F.lit(0.0))})
-    likely = clear.where((F.col("n_") == 1) & (F.col("score") >= least) & (F.col("score") - F.col("second") >= margin))
+    rest = asked.join(found, ["topic", "fid"], "left_anti").select("topic", "fid", text.title_signature("fragment").alias("f_")).where("f_ <> ''")
+    titled = known.select("topic", "seq", text.title_signature("title").alias("t_")).where("t_ <> ''").groupBy("topic", "t_").agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
+    rated = materialize(alike(materialize(rest.select("topic", "f_").distinct(), "fragments"), materialize(titled, "signatures"), least - margin), "rated")
+    w = Window.partitionBy("topic", "f_").orderBy(F.desc("score"), "seq")
+    second = F.when(F.col("n") > 1, F.col("score")).otherwise(F.coalesce(F.lead("score").over(w), F.lit(0.0)))
+    clear = rated.withColumns({"n_": F.row_number().over(w), "second": second})
+    likely = clear.where((F.col("n_") == 1) & (F.col("score") >= least) & (F.col("score") - F.col("second") >= margin)).join(rest, ["topic", "f_"])
     return found.unionByName(likely.select("topic", "fid", "seq"))
 
 

@@ -101,3 +101,41 @@ def test_find_records_looks_every_title_up(spark, tmp_path):
                 want.add((a["s"], a["k"], best[1]))
     assert len(want) > 5
     assert {(r["topic"], r["fid"], r["seq"]) for r in catalog.q_find_records(spark, str(tmp_path)).collect()} == want
+
+
+def test_alike_rates_as_all_pairs_do(spark):
+    """Texts that meet by length or by common words get the scores that rating all pairs gives, and only a few are rated by characters."""
+    import random
+
+    from paperloom.operators import matching
+
+    rng = random.Random(4)
+    words = ["copper", "tin", "zinc", "towns", "early", "smelting", "glacier", "melt", "melts", "range", "ranges", "western", "keepers"]
+    fragments = sorted({(t, " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))) for t in "ab" for _ in range(25)})
+    titles = sorted({(t, " ".join(rng.choice(words) for _ in range(rng.choice((1, 2, 3, 5, 12))))) for t in "ab" for _ in range(40)})
+    one = spark.createDataFrame(fragments, "topic string, f_ string")
+    two = spark.createDataFrame([(t, x, k, 1 + k % 2) for k, (t, x) in enumerate(titles)], "topic string, t_ string, seq long, n long")
+    for over in (55, 30):
+        want = {(t, f, k, 1 + k % 2, s) for t, f in fragments for k, (u, x) in enumerate(titles) if t == u for s in [fuzzy.token_set_ratio(f, x)] if s > over}
+        rows = matching.alike(one, two, over).collect()
+        got = {(r["topic"], r["f_"], r["seq"], r["n"], r["score"]) for r in rows}
+        assert got == want and len(rows) == len(want) > 50
+
+
+def test_least_hashes_of_long_texts():
+    """What a text has of hashes, every text that contains it has; long ones take one pass."""
+    import random
+    import time
+
+    from paperloom.operators import matching
+
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdeé ") for _ in range(2_000_000))
+    for width, window in matching.TIERS:
+        wide = width + window - 1
+        parts = [long[k : k + wide + 9 * m] for m, k in enumerate((0, 7, 500, 63_000, 1_999_000))]
+        began = time.process_time()
+        whole, *own, short, none = matching.least_hashes([long, *parts, long[: wide - 1], None], width, window)
+        assert time.process_time() - began < 20
+        assert short is None and none is None
+        assert all(len(x) and set(x) <= set(whole) for x in own) and len(whole) < len(long) * 3 / window
