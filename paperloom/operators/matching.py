@@ -190,8 +190,9 @@ def find_records(fragments: DataFrame, records: DataFrame, least: float = 70, ma
     same = texts.select("topic", F.col("s").alias("f_"), F.col("s").alias("t_"))
     first = known.groupBy("topic", "t_").agg(F.min("seq").alias("seq"))
     sure = inside.unionByName(around).unionByName(same).join(first, ["topic", "t_"]).groupBy("topic", "f_").agg(F.min("seq").alias("seq"))
-    found = asked.select("topic", "fid", "f_").join(sure, ["topic", "f_"]).select("topic", "fid", "seq")
+    found = materialize(asked.select("topic", "fid", "f_").join(sure, ["topic", "f_"]).select("topic", "fid", "seq"), "found")
     rest = asked.join(found, ["topic", "fid"], "left_anti").select("topic", "fid", text.title_signature("fragment").alias("f_")).where("f_ <> ''")
+    rest = materialize(rest, "rest")
     titled = known.select("topic", "seq", text.title_signature("title").alias("t_")).where("t_ <> ''").groupBy("topic", "t_").agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
     rated = materialize(alike(materialize(rest.select("topic", "f_").distinct(), "fragments"), materialize(titled, "signatures"), least - margin), "rated")
     w = Window.partitionBy("topic", "f_").orderBy(F.desc("score"), "seq")
